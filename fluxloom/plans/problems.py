@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxloom.operators import spikes, units
+from fluxloom.operators import nearby, regular, spikes, timestamps, units
 from fluxloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,4 +20,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return units.units_found(table(spark, d, "obspack"), table(spark, d, "plumes"), table(spark, d, "sources"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p4_found": p4_found}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return regular.missing_hours(table(spark, d, "obspack"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return timestamps.times_found(table(spark, d, "plumes"), table(spark, d, "obspack"), table(spark, d, "sources"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearby.places_found(table(spark, d, "plumes"), table(spark, d, "point_sources"), table(spark, d, "roi_polygons"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p4_found, p5_found, p6_found, p7_found)}
