@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fluxloom.operators import nearby, regular, spikes, timestamps, units
+from fluxloom.operators import drift, nearby, regular, spikes, timestamps, units
 from fluxloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.flag_readings(table(spark, d, "obspack")).select("row_id").distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    changes = drift.schema_changes(drift.file_schemas(drift.tagged_fields(table(spark, d, "plume_raw"))))
+    return changes.select("file_name", "field", "change").distinct()
+
+
+def p2_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = drift.unified_table(table(spark, d, "plume_raw"))
+    return rows.select("feed", "file_name", "line_no", "lon", "lat", "obs_date", "rate", "rate_unit", "rate_std", F.size("branches").alias("n_fields"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return units.units_found(table(spark, d, "obspack"), table(spark, d, "plumes"), table(spark, d, "sources"))
 
@@ -32,4 +43,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return nearby.places_found(table(spark, d, "plumes"), table(spark, d, "point_sources"), table(spark, d, "roi_polygons"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p4_found, p5_found, p6_found, p7_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_table, p4_found, p5_found, p6_found, p7_found)}
