@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import batch_dedup
+from fluxloom.llm import batch_dedup, leakage
 from fluxloom.session import ensure_checkpoint_dir
 from fluxloom.sources.tables import table
 
@@ -29,5 +29,9 @@ def p3_new_batch(spark: SparkSession, d: str) -> DataFrame:
     return index.matches(records.where(F.col("batch") == last)).select("kept_id", F.col("id").alias("plume_id"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_new_batch)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id").distinct()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_new_batch, p9_found)}
 ORACLE_SQL: dict[str, str] = {}
