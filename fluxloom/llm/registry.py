@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import batch_dedup, leakage
+from fluxloom.llm import batch_dedup, leakage, packing, pii
 from fluxloom.session import ensure_checkpoint_dir
 from fluxloom.sources.tables import table
 
@@ -33,5 +33,25 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id").distinct()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_new_batch, p9_found)}
+#: Windows of the packing queries, in tokens.
+TIERS = (512, 1024, 2048)
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(table(spark, d, "documents"), max(TIERS)), TIERS)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, d, "documents")).distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_new_batch, p8_packed, p8_fill, p9_found, p10_found, p10_redacted)}
 ORACLE_SQL: dict[str, str] = {}
