@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from fluxloom.plans import problems
+from fluxloom.plans import problems, reference
+from fluxloom.plans.oracles import ORACLE_SQL as _SQL
 
-QUERIES: dict[str, problems.Query] = dict(problems.QUERIES)
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP: problems.Query = problems.p5_found
+QUERIES: dict[str, problems.Query] = dict(problems.QUERIES) | dict(reference.QUERIES)
+ORACLE_SQL: dict[str, str] = {name: sql for name, sql in _SQL.items() if name in QUERIES}
+FLAGSHIP: problems.Query = reference.preview_dofs
