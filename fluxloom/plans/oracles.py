@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 _FILES = r"""files AS (SELECT file_id,
-  regexp_extract(file_id, '{n}', 1) AS mode, regexp_extract(file_id, '{n}', 2) AS start, regexp_extract(file_id, '{n}' + 1e-9, 4) AS orbit,
+  regexp_extract(file_id, '{n}', 1) AS mode, regexp_extract(file_id, '{n}', 2) AS start, regexp_extract(file_id, '{n}', 4) AS orbit,
   regexp_extract(file_id, '{n}', 5) AS collection, regexp_extract(file_id, '{n}', 6) AS version, regexp_extract(file_id, '{n}', 7) AS modified
   FROM (SELECT DISTINCT file_id FROM satellite_obs) f),
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY orbit ORDER BY CASE WHEN mode = 'RPRO' THEN 1 ELSE 0 END DESC, modified DESC, file_id DESC) AS rn,
