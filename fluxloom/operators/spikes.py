@@ -70,8 +70,8 @@ def scan_series(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(spike, stuck, standardised innovation) of one ordered series: hours ``t``, values ``v``.
 
-    A spike has innovations beyond ``gate`` in both directions of time (a lasting rise is expected from one of its
-    sides) and departs from the level between its neighbours by about ``times_scatter`` times the usual scatter.
+    A spike stands out from what both directions of time together expect by more than ``gate`` and from each by half of
+    that (a lasting rise is expected from one of its sides), and departs from the level between its neighbours by about ``times_scatter`` times the usual scatter.
     """
     n = len(v)
     spike, stuck, z = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n)
@@ -82,8 +82,10 @@ def scan_series(
     bm, bp = (a[::-1] for a in _one_sided(-t[::-1], v[::-1], r, q, gate, patience))
     zf, zb = (v - fm) / np.sqrt(fp + r), (v - bm) / np.sqrt(bp + r)
     z = np.where(np.abs(zf) < np.abs(zb), zf, zb)
-    candidate = (np.abs(z) > gate) & (zf * zb > 0)
     level = (fm / fp + bm / bp) / (1 / fp + 1 / bp)
+    both = (v - level) / np.sqrt(1 / (1 / fp + 1 / bp) + r)
+    # after a gap one side alone expects anything, so each side needs half the gate and both together all of it
+    candidate = (np.abs(both) > gate) & (np.abs(z) > gate / 2) & (zf * zb > 0)
     usual = _robust_sd((v - level)[~candidate]) if (~candidate).sum() >= 4 else np.sqrt(r)
     scatter = max(min(usual, 1.25 * np.sqrt(r + q)), floor)
     spike = candidate & (np.abs(v - level) > 0.9 * times_scatter * scatter)

@@ -165,13 +165,14 @@ def normalise_times(df: DataFrame, key: str, clocks: DataFrame, seen: str = "ing
     ``unreadable`` (instant NULL). The years of the zone table come from ``seen``; the columns in
     ``keep`` are passed through. Empty input gives no rows.
     """
-    rows = df.select(key, "time", "date", "datasource", seen, *keep).where(F.col("time").isNotNull())
+    passed = F.struct(*keep) if keep else F.lit(None)
+    rows = df.select(key, "time", "date", "datasource", passed.alias("_kept")).where(F.col("time").isNotNull())
     rows = rows.join(broadcast_if_small(clocks), "datasource", "left").withColumn("zone", F.coalesce("zone", F.lit("UTC")))
     first = F.coalesce(F.col("month_first"), F.lit(False))
     rows = rows.withColumn("time", F.trim("time")).withColumn("at", _stamp(F.col("time"), F.col("date"), first))
     t = F.col("time")
     epoch = F.when(t.rlike(r"^\d{9,10}(\.\d+)?$"), t.try_cast("double")).when(t.rlike(r"^\d{13}$"), F.floor(t.try_cast("double") / 1000))
-    parsed = rows.select(key, "zone", F.floor(epoch).cast("bigint").alias("epoch"), F.col("at.local").alias("local"), F.col("at.given").alias("given"), *keep)
+    parsed = rows.select(key, "zone", F.floor(epoch).cast("bigint").alias("epoch"), F.col("at.local").alias("local"), F.col("at.given").alias("given"), "_kept")
     parsed = parsed.withColumn("day", F.floor(F.col("local") / 86400).cast("int"))
     years = df.agg(F.year(F.min(seen)).alias("a"), F.year(F.max(seen)).alias("b")).first()
     segments = zone_segments(clocks.select("zone").distinct(), (years["a"] or 1970) - 1, (years["b"] or 1970) + 1)
@@ -190,7 +191,7 @@ def normalise_times(df: DataFrame, key: str, clocks: DataFrame, seen: str = "ing
         .when(n == 0, "nonexistent")
         .otherwise("ok")
     )
-    return hit.select(F.col(key), instant.alias("instant"), status.alias("status"), *keep)
+    return hit.select(F.col(key), instant.alias("instant"), status.alias("status"), *(["_kept.*"] if keep else []))
 
 
 def times_found(plumes: DataFrame, obs: DataFrame, sources: DataFrame) -> DataFrame:

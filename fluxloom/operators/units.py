@@ -129,15 +129,15 @@ def with_kg_per_h(plumes: DataFrame, sources: DataFrame) -> DataFrame:
     A record's unit is named by its label, else by its remarks, else by its datasource's description.
     """
     feeds = sources.where(F.col("feeds_table") == "plumes").select(
-        F.col("source_name").alias("datasource"), rate_unit(F.col("description")).alias("default_unit")
+        F.col("source_name").alias("datasource"), rate_unit(F.col("description")).alias("_default_unit")
     )
     out = plumes.join(broadcast_if_small(feeds), "datasource", "left")
-    unit = F.coalesce(rate_unit(F.col("rate_unit")), rate_unit(F.col("remarks")), F.col("default_unit"))
+    unit = F.coalesce(rate_unit(F.col("rate_unit")), rate_unit(F.col("remarks")), F.col("_default_unit"))
     rate = finite(F.col("emission_rate"))
     return (
         out.withColumn("rate_unit_true", unit)
         .withColumn("kg_h", F.when(rate > 0, rate * factor(unit, RATE)))
-        .drop("default_unit")
+        .drop("_default_unit")
     )
 
 
