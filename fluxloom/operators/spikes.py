@@ -101,7 +101,7 @@ def scan_series(
         if j - k >= stuck_len:
             outside = np.r_[same[:k], same[j:]]
             habit = (outside.sum() + 0.5) / (len(outside) + 1.0)
-            if n * habit ** (j - k - 1) < 0.05:
+            if n * habit ** (stuck_len - 1) < 0.5:
                 stuck[k:j] = True
             k = j
         else:
