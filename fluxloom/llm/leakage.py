@@ -23,9 +23,10 @@ from fluxloom.session import broadcast_if_small, cut
 GRAM = 5
 
 
-def _context(tokens: Column, at: Column) -> Column:
-    """Hashes of the terms from GRAM-1 before to GRAM-1 after position ``at`` (0-based); NULL beyond the ends."""
-    return F.transform(F.sequence(at - (GRAM - 1), at + (GRAM - 1)), lambda k: F.when(k >= 0, F.get(tokens, k.cast("int"))))
+def _padded(tokens: Column, beyond: int) -> Column:
+    """``tokens`` with GRAM-1 places of ``beyond`` at both ends, so that a slice is the context of a position."""
+    edge = F.array_repeat(F.lit(beyond).cast("bigint"), GRAM - 1)
+    return F.concat(edge, tokens, edge)
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None, context: bool = False) -> DataFrame:
@@ -35,17 +36,18 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, context: bool = Fa
     """
     tok = docs.select("doc_id", words(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     hashed = tok.select("doc_id", F.transform("tokens", lambda w: F.xxhash64(w)).alias("h"))
-    flat = hashed.select("doc_id", "h", F.posexplode("h").alias("pos", "term"))
-    if terms is not None:
-        flat = flat.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
-    return flat.select("term", "doc_id", "pos", *([_context(F.col("h"), F.col("pos")).alias("ctx")] if context else []))
+    padded = hashed.select("doc_id", "h", _padded(F.col("h"), 0).alias("wide"))
+    flat = padded.select("doc_id", "wide", F.posexplode("h").alias("pos", "term"))
+    # the context is cut out before any join, so no row carries more of its text than that
+    flat = flat.select("term", "doc_id", "pos", *([F.slice("wide", F.col("pos") + 1, 2 * GRAM - 1).alias("ctx")] if context else []))
+    return flat if terms is None else flat.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
 
 
 def _item_terms(items: DataFrame) -> DataFrame:
     """item_id, ipos, term, ctx of every word of every test item."""
     tok = items.select("item_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     flat = tok.select("item_id", "h", F.posexplode("h").alias("ipos", "term"))
-    return flat.select("item_id", "ipos", "term", _context(F.col("h"), F.col("ipos")).alias("ictx"), F.size("h").alias("n"))
+    return flat.select("item_id", "ipos", "term", F.slice(_padded(F.col("h"), 1), F.col("ipos") + 1, 2 * GRAM - 1).alias("ictx"), F.size("h").alias("n"))
 
 
 def pivots(terms: DataFrame, counts: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def phrase_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     counts = cut(postings(docs, terms).groupBy("term").agg(F.count("*").alias("df")))
     anchors = pivots(terms, counts).where(F.col("df") > 0).select("item_id", "ipos", "term", "ictx")
     found = postings(docs, anchors, context=True).join(broadcast_if_small(cut(anchors)), "term")
-    agree = F.zip_with("ctx", "ictx", lambda a, b: a.isNotNull() & (a == b))
+    agree = F.zip_with("ctx", "ictx", lambda a, b: a == b)
     side = lambda part: F.aggregate(part, F.struct(F.lit(True).alias("go"), F.lit(0).alias("n")), lambda s, x: F.struct((s["go"] & F.coalesce(x, F.lit(False))).alias("go"), (s["n"] + (s["go"] & F.coalesce(x, F.lit(False))).cast("int")).alias("n")), lambda s: s["n"])
     runs = found.withColumn("agree", agree).select(
         "item_id", "doc_id", "pos", "ipos", side(F.reverse(F.slice("agree", 1, GRAM - 1))).alias("left"), side(F.slice("agree", GRAM + 1, GRAM - 1)).alias("right")
