@@ -139,4 +139,10 @@ SELECT ci AS "I", cj AS "J", round(sum(w * mean) / sum(w) + 1e-9, 4) AS mean, co
     "native_labels": "SELECT i, j, CAST(row_number() OVER (ORDER BY j DESC, i DESC) AS INT) AS element FROM state_vector WHERE is_roi",
     "strongest_labels": f"WITH {_SENS} SELECT element, count(*) AS cells, round(sum(a), 6) AS total FROM sens WHERE element IS NOT NULL GROUP BY element ORDER BY round(sum(a), 8) DESC, element LIMIT 40",
     "forced_native": f"WITH {_SENS}, {_PT} SELECT i, j, round(CASE WHEN (i, j) IN (SELECT (i, j) FROM ptc) THEN 1.1 ELSE a END, 6) AS a FROM sens",
+    "element_runs": """SELECT DISTINCT element, CASE WHEN element > 466 THEN 'oh' WHEN element > 462 THEN 'boundary' ELSE 'emission' END AS kind,
+  CAST(CASE WHEN element <= 462 THEN ceil(element / 5.0) ELSE 93 + element - 462 END AS INT) AS run, CAST(CASE WHEN element = 463 THEN 10 ELSE 0 END AS DOUBLE) AS north, CAST(CASE WHEN element = 466 THEN 10 ELSE 0 END AS DOUBLE) AS west
+  FROM state_vector WHERE element IS NOT NULL""",
+    "first_hour": "WITH r AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, user_id AS cell, sum(value) AS v FROM events GROUP BY 1, 2) SELECT hour % 24 AS h, count(*) AS n, round(sum(v), 3) AS v FROM r WHERE hour >= 19725 * 24 GROUP BY 1",
+    "tracer_sensitivity": f"WITH {_K}, x AS (SELECT *, CASE WHEN vec_id % 12 + 1 > 11 THEN 'oh' WHEN vec_id % 12 + 1 > 7 THEN 'boundary' ELSE 'emission' END AS kind FROM kk), y AS (SELECT *, CASE kind WHEN 'oh' THEN 0.1 WHEN 'boundary' THEN 10.0 ELSE 0.5 END AS s FROM x) SELECT vec_id, kind, round((k[1] * 1.5 + 0.25 - k[1]) / s, 6) AS first, round((k[8] * 1.5 + 0.25 - k[8]) / s, 6) AS last FROM y",
+    "stream_windows": "SELECT CAST(floor(epoch(ts) / 604800) * 604800 AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
 }

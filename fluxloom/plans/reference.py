@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxloom.functions.geo import position
-from fluxloom.operators import bias, emissions, inversion, kalman, preview, report, soundings, statevector, units
+from fluxloom.operators import bias, emissions, inversion, kalman, model, preview, report, soundings, statevector, units
 from fluxloom.operators.grid import GRID, dilate
+from fluxloom.session import ensure_checkpoint_dir
 from fluxloom.sources.tables import dataset_of, finite, site_of, table, usable
+from fluxloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -498,3 +501,52 @@ def forced_native(spark: SparkSession, d: str) -> DataFrame:
 def reduced_state_vector(spark: SparkSession, d: str) -> DataFrame:
     cells = cell_sensitivity(spark, d).where("is_roi").select("i", "j", "lon", "lat", "a")
     return statevector.reduce_by_information(cells, "a", 0.15, statevector.MAX_CLUSTER[0.25]).select("i", "j", "label")
+
+
+# --- model runs and streams --------------------------------------------------------------------
+
+
+@query
+def element_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Kind and perturbation run of every element when boundaries and OH are optimised too."""
+    e = labelled(spark, d).select("element").distinct()
+    n = 467
+    kind = model.element_kind(F.col("element"), n, True, True, True)
+    north = model.boundary_perturbation(F.col("element"), n, 10.0, True, True)
+    return e.select("element", kind.alias("kind"), model.run_number(F.col("element"), n, 5, True, True, True).alias("run"), north[0].alias("north"), north[3].alias("west"))
+
+
+@query
+def first_hour(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly totals of a run whose first hour comes from the run before, per hour of day."""
+    rows = table(spark, d, "events").select(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("hour"), F.col("user_id").alias("cell"), "value").groupBy("hour", "cell").agg(F.sum("value").alias("v"))
+    start = 19725 * 24  # 2024-01-03
+    run, before = rows.where(F.col("hour") > start), rows.where(F.col("hour") <= start)
+    return model.with_first_hour(run, before, ["cell"]).groupBy(F.pmod(F.col("hour"), F.lit(24)).alias("h")).agg(F.count("*").alias("n"), _r(F.sum("v"), 3).alias("v"))
+
+
+@query
+def tracer_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """Change per unit of two elements' tracers against the base run."""
+    rows = jacobian_rows(spark, d)
+    base, moved = F.col("k"), F.transform("k", lambda x: x * 1.5 + 0.25)
+    kind = model.element_kind((F.col("vec_id") % 12 + 1), 12, True, True, True)
+    x = model.sensitivity(moved, base, kind, F.lit(0.5), 0.1, 10.0)
+    return rows.select("vec_id", kind.alias("kind"), _r(x[0]).alias("first"), _r(x[7]).alias("last"))
+
+
+@query
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events per 7-day window and type, read as a stream and drained through a checkpointed query."""
+    source = table(spark, d, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parque[t]")  # as a pattern: one file or a folder
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid4().hex}"
+    weeks = incremental.windowed_means(stream, "ts", "event_type", "value")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+
+    incremental.drain_updates(weeks, write, f"{base}/state")
+    # of a window updated in several batches the last state holds
+    out = spark.read.parquet(f"{base}/out").groupBy("start", "key").agg(F.max_by(F.struct("n", "total"), "epoch").alias("s"))
+    return out.select("start", F.col("key").alias("event_type"), "s.n", _r("s.total", 3).alias("total"))
