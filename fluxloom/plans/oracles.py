@@ -69,6 +69,31 @@ _L, _KF = "(cells * 25000.0)", "(cells * 25000.0) * (CAST(0.4 AS DOUBLE) * 0.029
 
 _USABLE = "value IS NOT NULL AND NOT isnan(value) AND value > 0 AND value < 1e20"
 
+_NEAREST = "CASE WHEN {0} > 1.5 THEN 'ppt' WHEN {0} > -1.5 THEN 'ppb' WHEN {0} > -5 THEN 'ppm' WHEN {0} > -8 THEN 'percent' ELSE 'mol/mol' END"
+_FILE_UNITS = f"fu AS (SELECT file_name, median(CASE WHEN {_USABLE} THEN log10(value) END) - 3.267 AS vm, median(CASE WHEN ch4 > 0 AND NOT isnan(ch4) THEN log10(ch4) END) - 3.267 AS cm FROM obspack GROUP BY file_name)"
+_PER = r"\s*(/|per|an?)?\s*"
+_RATE_OF = (
+    "CASE WHEN regexp_matches(lower({0}), '(^|[^a-z])(kt|gg|kilotonnes?)" + _PER + "(y|yr|year|a|annum)([^a-z]|$)') THEN 'kt/yr' "
+    "WHEN regexp_matches(lower({0}), '(^|[^a-z])(lbs?|pounds?)" + _PER + "(h|hr|hour|hourly)([^a-z]|$)') THEN 'lb/h' "
+    "WHEN regexp_matches(lower({0}), '(^|[^a-z])(kgh|(kg|kilograms?)( ch4)?" + _PER + "(h|hr|hour|hourly))([^a-z]|$)') THEN 'kg/h' "
+    "WHEN regexp_matches(lower({0}), '(^|[^a-z])(g|grams?)" + _PER + "(s|sec|second)([^a-z]|$)') THEN 'g/s' "
+    "WHEN regexp_matches(lower({0}), '(^|[^a-z])(t|mg|tonnes?|tons?)" + _PER + "(h|hr|hour|hourly)([^a-z]|$)') THEN 't/h' END"
+)
+
+
+def _hex_double(at: int) -> str:
+    big = " || ".join(f"substr(g, {at + k}, 2)" for k in range(14, -1, -2))
+    top = f"CAST('0x' || substr({big}, 1, 3) AS BIGINT)"
+    return f"(CASE WHEN {top} >= 2048 THEN -1 ELSE 1 END) * (1 + CAST('0x' || substr({big}, 4, 13) AS BIGINT) / pow(2.0, 52)) * pow(2.0, {top} % 2048 - 1023)"
+
+
+_NUM = r"[-+]?[0-9]+(?:\.[0-9]*)?"
+_POSITION = f"""raw AS (SELECT plume_id, trim(geometry) AS g, lon, lat, regexp_matches(trim(geometry), '^01[0-9A-Fa-f]{{40}}$') AS w FROM plumes),
+ ab AS (SELECT plume_id, lon, lat, CASE WHEN w THEN {_hex_double(11)} ELSE try_cast(regexp_extract(g, '({_NUM})[ ,]+({_NUM})[^0-9.]', 1) AS DOUBLE) END AS a,
+  CASE WHEN w THEN {_hex_double(27)} ELSE try_cast(regexp_extract(g, '({_NUM})[ ,]+({_NUM})[^0-9.]', 2) AS DOUBLE) END AS b FROM raw),
+ both_ AS (SELECT plume_id, coalesce(a, CASE WHEN NOT isnan(lon) AND lon <> -9999 AND NOT isnan(lat) AND lat <> -9999 THEN lon END) AS a, coalesce(b, CASE WHEN NOT isnan(lon) AND lon <> -9999 AND NOT isnan(lat) AND lat <> -9999 THEN lat END) AS b FROM ab),
+ pos AS (SELECT plume_id, CASE WHEN abs(b) <= 90 THEN a ELSE b END AS lon, CASE WHEN abs(b) <= 90 THEN b ELSE a END AS lat FROM both_ WHERE a IS NOT NULL AND b IS NOT NULL)"""
+
 ORACLE_SQL: dict[str, str] = {
     "p5_found": f"""WITH u AS (SELECT DISTINCT split_part(split_part(obspack_id, '~', 2), '_', 2) AS site, CAST(floor(epoch(time) / 3600) AS BIGINT) AS h FROM obspack
   WHERE contains(split_part(obspack_id, '~', 2), 'insitu') AND {_USABLE}),
@@ -145,4 +170,18 @@ SELECT ci AS "I", cj AS "J", round(sum(w * mean) / sum(w) + 1e-9, 4) AS mean, co
     "first_hour": "WITH r AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, user_id AS cell, sum(value) AS v FROM events GROUP BY 1, 2) SELECT hour % 24 AS h, count(*) AS n, round(sum(v), 3) AS v FROM r WHERE hour >= 19725 * 24 GROUP BY 1",
     "tracer_sensitivity": f"WITH {_K}, x AS (SELECT *, CASE WHEN vec_id % 12 + 1 > 11 THEN 'oh' WHEN vec_id % 12 + 1 > 7 THEN 'boundary' ELSE 'emission' END AS kind FROM kk), y AS (SELECT *, CASE kind WHEN 'oh' THEN 0.1 WHEN 'boundary' THEN 10.0 ELSE 0.5 END AS s FROM x) SELECT vec_id, kind, round((k[1] * 1.5 + 0.25 - k[1]) / s, 6) AS first, round((k[8] * 1.5 + 0.25 - k[8]) / s, 6) AS last FROM y",
     "stream_windows": "SELECT CAST(floor(epoch(ts) / 604800) * 604800 AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
+    "p4_found": f"""WITH {_FILE_UNITS},
+ o AS (SELECT 'value' AS field, row_id, {_NEAREST.format("vm")} AS unit FROM obspack JOIN fu USING (file_name) WHERE {_USABLE} UNION ALL
+  SELECT 'ch4', row_id, {_NEAREST.format("cm")} FROM obspack JOIN fu USING (file_name) WHERE ch4 IS NOT NULL),
+ p AS (SELECT plume_id, coalesce({_RATE_OF.format("rate_unit")}, {_RATE_OF.format("remarks")}, {_RATE_OF.format("description")}) AS unit FROM plumes
+  LEFT JOIN (SELECT source_name, description FROM sources WHERE feeds_table = 'plumes') s ON datasource = source_name WHERE emission_rate > 0 AND NOT isnan(emission_rate))
+SELECT field, row_id, unit FROM o WHERE unit <> 'ppb' UNION ALL SELECT 'emission_rate', plume_id, unit FROM p WHERE unit <> 'kg/h'""",
+    "p7_found": f"""WITH {_POSITION},
+ src AS (SELECT source_id, lon AS a, lat AS b FROM point_sources WHERE lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat) AND lon <> -9999 AND lat <> -9999),
+ ring AS (SELECT roi_id, string_split(unnest(regexp_extract_all(wkt, '[(]([^()]+)[)]', 1)), ',') AS pts FROM roi_polygons),
+ pt AS (SELECT roi_id, pts, unnest(generate_series(1, len(pts) - 1)) AS k FROM ring),
+ edge AS (SELECT roi_id, CAST(split_part(trim(pts[k]), ' ', 1) AS DOUBLE) AS x1, CAST(split_part(trim(pts[k]), ' ', 2) AS DOUBLE) AS y1, CAST(split_part(trim(pts[k + 1]), ' ', 1) AS DOUBLE) AS x2, CAST(split_part(trim(pts[k + 1]), ' ', 2) AS DOUBLE) AS y2 FROM pt)
+SELECT DISTINCT 'near' AS kind, plume_id, source_id AS place_id FROM pos, src
+  WHERE 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b - lat) / 2), 2) + cos(radians(lat)) * cos(radians(b)) * pow(sin(radians(a - lon) / 2), 2)))) <= 2000
+UNION ALL SELECT 'inside', plume_id, roi_id FROM pos, edge WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY plume_id, roi_id HAVING count(*) % 2 = 1""",
 }
