@@ -123,7 +123,7 @@ def _scan_shards(**limits: float):
 
 
 def flag_readings(
-    obs: DataFrame, files: DataFrame | None = None, *, low: float = 600.0, high: float = 5000.0, shard_rows: int = 1500, margin: float = 0.2, **limits: float
+    obs: DataFrame, *, low: float = 600.0, high: float = 5000.0, shard_rows: int = 1500, margin: float = 0.2, **limits: float
 ) -> DataFrame:
     """Bad readings of ``obs``: row_id, reason (``impossible``, ``spike``, ``stuck``) and standardised innovation.
 
@@ -133,17 +133,15 @@ def flag_readings(
     dataset's size, so a dataset with a third of all rows is spread over as many tasks as it needs. A dataset of
     fewer than four readings has no normal behaviour to compare with. Empty input gives no rows.
     """
-    files = obspack_file_units(obs) if files is None else files
-    span = (
-        obs.where(F.col("time").isNotNull())
-        .groupBy("file_name")
-        .agg(F.first(dataset_of(F.col("obspack_id")), ignorenulls=True).alias("dataset"), F.min("time").alias("t0"), F.max("time").alias("t1"), F.count("*").alias("n"))
-    )
+    timed = F.col("time").isNotNull()
+    span = [F.first(dataset_of(F.col("obspack_id")), ignorenulls=True).alias("dataset"), F.min("time").alias("t0"), F.max("time").alias("t1"), F.count(F.when(timed, 1)).alias("n")]
+    files = obspack_file_units(obs, ("value",), extra=span)
     per = W.partitionBy("dataset")
     seconds = F.unix_seconds(F.max("t1").over(per)) - F.unix_seconds(F.min("t0").over(per)) + 1
     shards = F.greatest(F.lit(1), F.round(F.sum("n").over(per) / shard_rows)).cast("long")
-    plan = span.select("file_name", F.unix_seconds(F.min("t0").over(per)).alias("start"), F.ceil(seconds / shards).alias("width"), shards.alias("shards"))
-    meta = files.select("file_name", factor(F.col("value_unit_true"), MOLE_FRACTION).alias("to_ppb")).join(plan, "file_name", "left")
+    meta = files.select(
+        "file_name", factor(F.col("value_unit_true"), MOLE_FRACTION).alias("to_ppb"), F.unix_seconds(F.min("t0").over(per)).alias("start"), F.ceil(seconds / shards).alias("width"), shards.alias("shards")
+    )
 
     value = F.col("value")
     rows = obs.select("row_id", "obspack_id", "file_name", "time", value).where(value.isNotNull() & ~F.isnan(value)).join(meta, "file_name", "left")
@@ -153,18 +151,14 @@ def flag_readings(
         "row_id", "obspack_id", "dataset", (F.unix_micros("time") / 3.6e9).alias("time_h"), F.when(fits, ppb).alias("ppb"), (~fits).alias("impossible"), "start", "width", "shards"
     )
     placed = F.col("dataset").isNotNull() & F.col("time_h").isNotNull() & F.col("width").isNotNull()
-    loose = rows.where(~placed & F.col("impossible")).select("row_id", F.lit("impossible").alias("reason"), F.lit(0.0).alias("z"))
     at = (F.col("time_h") * 3600 - F.col("start")) / F.col("width")
-    last = F.col("shards") - 1
-    home = F.least(F.greatest(F.floor(at), F.lit(0)), last)
-    spread = F.array_distinct(
-        F.array(home, F.least(F.greatest(F.floor(at - margin), F.lit(0)), last), F.least(F.greatest(F.floor(at + margin), F.lit(0)), last))
-    )
+    inner = lambda x: F.least(F.greatest(F.floor(x), F.lit(0)), F.col("shards") - 1)
+    # rows without a place in a series are spread by hash and only looked at one by one
+    home = F.when(placed, inner(at)).otherwise(-1 - F.pmod(F.xxhash64("row_id"), F.lit(1024)))
+    spread = F.when(placed, F.array_distinct(F.array(inner(at), inner(at - margin), inner(at + margin)))).otherwise(F.array(home))
     sharded = (
-        rows.where(placed)
-        .withColumn("home", home)
+        rows.withColumn("home", home)
         .withColumn("shard", F.explode(spread))
-        .select("dataset", "shard", "row_id", "obspack_id", "time_h", "ppb", "impossible", (F.col("home") == F.col("shard")).alias("core"))
+        .select(F.coalesce("dataset", F.lit("")).alias("dataset"), "shard", "row_id", "obspack_id", "time_h", F.when(placed, F.col("ppb")).alias("ppb"), "impossible", (F.col("home") == F.col("shard")).alias("core"))
     )
-    flagged = sharded.groupBy("dataset", "shard").applyInPandas(_scan_shards(**limits), "row_id long, reason string, z double")
-    return flagged.unionByName(loose)
+    return sharded.groupBy("dataset", "shard").applyInPandas(_scan_shards(**limits), "row_id long, reason string, z double")

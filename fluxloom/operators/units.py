@@ -30,25 +30,35 @@ class ScaleMixture:
     factors: dict[str, float]
 
 
-def fit_scale_mixture(
-    df: DataFrame, value: Column, factors: dict[str, float], level: float, per_decade: int = 50, rounds: int = 25
-) -> ScaleMixture:
-    """Fit the mixture by EM on a histogram of log10(value).
+@dataclass(frozen=True)
+class Quantity:
+    """A column recorded in unknown units: its name, the values, the units parsed from its labels if it has any."""
+
+    name: str
+    value: Column
+    label: Column | None = None
+
 
-    The histogram covers all rows and has at most ``per_decade`` bins per decade of a double's range, so what reaches
+def fit_scale_mixtures(df: DataFrame, quantities: list[Quantity], factors: dict[str, float], level: float, per_decade: int = 50, rounds: int = 25) -> dict[str, ScaleMixture]:
+    """Fit a mixture per quantity by EM on histograms of log10(value), all from one scan.
+
+    The histograms cover all rows and have at most ``per_decade`` bins per decade of a double's range, so what reaches
     the driver is bounded whatever the table's size. ``level`` (common unit) starts the search: a shift of all
     components by one conversion factor is otherwise not identifiable. An empty table gives the starting values.
     """
-    bins = (
-        df.where(usable(value, 1e300)).groupBy(F.floor(F.log10(value) * per_decade).alias("b")).agg(F.count("*").alias("n")).collect()
-    )
+    binned = [F.struct(F.lit(q.name).alias("name"), F.floor(F.log10(F.when(usable(q.value, 1e300), q.value)) * per_decade).alias("b")) for q in quantities]
+    bins = df.select(F.explode(F.array(*binned)).alias("x")).where(F.col("x.b").isNotNull()).groupBy("x.name", "x.b").agg(F.count("*").alias("n")).collect()
+    return {q.name: _fit([(r["b"], r["n"]) for r in bins if r["name"] == q.name], factors, level, per_decade, rounds) for q in quantities}
+
+
+def _fit(bins: list[tuple[int, int]], factors: dict[str, float], level: float, per_decade: int, rounds: int) -> ScaleMixture:
     units = list(factors)
     off = np.array([-math.log10(factors[u]) for u in units])
     mu, spread, bad = math.log10(level), 0.05, 0.03
     w = np.full(len(units), 1.0 / len(units))
     if bins:
-        x = (np.array([r["b"] for r in bins], dtype=float) + 0.5) / per_decade
-        n = np.array([r["n"] for r in bins], dtype=float)
+        x = (np.array([b for b, _ in bins], dtype=float) + 0.5) / per_decade
+        n = np.array([k for _, k in bins], dtype=float)
         for _ in range(rounds):
             d = x[:, None] - mu - off[None, :]
             core = (1 - bad) * w * np.exp(-0.5 * (d / spread) ** 2) / (spread * math.sqrt(2 * math.pi))
@@ -65,51 +75,55 @@ def fit_scale_mixture(
     return ScaleMixture(mu, spread, dict(zip(units, w.tolist())), bad, factors)
 
 
-def source_units(
-    df: DataFrame, value: Column, source: str, mixture: ScaleMixture, label: Column | None = None, label_weight: float = 2.0
-) -> DataFrame:
-    """Per ``source``: unit, its posterior, number of usable rows, and whether it stays uncertain.
+def source_units(df: DataFrame, source: str, quantities: list[Quantity], mixtures: dict[str, ScaleMixture], extra: list[Column] | None = None, label_weight: float = 2.0) -> DataFrame:
+    """Per ``source`` and quantity: {name}_unit_true, {name}_posterior and {name}_uncertain, beside aggregates ``extra``.
 
     Every usable row adds the log-likelihood of its value under each component; a bad reading falls on the heavy tail
     and weighs little. Labels (units already parsed) vote with ``label_weight`` in all, so a stale label loses
-    against a handful of values. Sources without a usable value follow their labels, else the common unit.
-    Columns: source, unit, posterior, n, uncertain.
+    against a handful of values. Sources without a usable value follow their labels, else the commonest unit. One
+    aggregation serves all quantities.
     """
-    x = F.when(usable(value), F.log10(value))
-    named = label if label is not None else F.lit(None).cast("string")
-    scores = []
-    for unit, f in mixture.factors.items():
-        d = F.abs(x - F.lit(mixture.level - math.log10(f)))
-        core = F.exp(F.lit(-0.5) * (d / mixture.spread) ** 2) * ((1 - mixture.bad) / mixture.spread)
-        scores.append(F.sum(F.log(core + F.exp(-d / 0.4) * mixture.bad)).alias(f"s_{unit}"))
-    votes = [F.sum(F.when(named == u, 1).otherwise(0)).alias(f"v_{u}") for u in mixture.factors]
-    agg = df.groupBy(source).agg(F.count(x).alias("n"), F.count(named).alias("n_named"), *scores, *votes)
-
-    def total(u: str) -> Column:
-        vote = F.when(F.col("n_named") > 0, F.col(f"v_{u}") / F.col("n_named") * label_weight).otherwise(0.0)
-        return F.coalesce(F.col(f"s_{u}"), F.lit(0.0)) + vote + math.log(mixture.weights[u])
-
-    best = F.greatest(*[total(u) for u in mixture.factors])
-    mass = sum((F.exp(total(u) - best) for u in mixture.factors), F.lit(0.0))
-    pick = F.coalesce(*[F.when(total(u) == best, F.lit(u)) for u in mixture.factors])
-    return agg.select(source, pick.alias("unit"), (F.lit(1.0) / mass).alias("posterior"), "n").withColumn("uncertain", F.col("posterior") < 0.99)
-
-
-def obspack_file_units(obs: DataFrame, level_ppb: float = 1850.0) -> DataFrame:
-    """Unit of ``value`` and of ``ch4`` per file: file_name, value_unit_true, ch4_unit_true and their posteriors.
+    aggs, out = list(extra or []), []
+    for q in quantities:
+        mix, name = mixtures[q.name], q.name
+        x = F.when(usable(q.value), F.log10(q.value))
+        for unit, f in mix.factors.items():
+            d = F.abs(x - F.lit(mix.level - math.log10(f)))
+            core = F.exp(F.lit(-0.5) * (d / mix.spread) ** 2) * ((1 - mix.bad) / mix.spread)
+            aggs.append(F.sum(F.log(core + F.exp(-d / 0.4) * mix.bad)).alias(f"_{name}_s_{unit}"))
+            if q.label is not None:
+                aggs.append(F.count(F.when(q.label == unit, 1)).alias(f"_{name}_v_{unit}"))
+        if q.label is not None:
+            aggs.append(F.count(q.label).alias(f"_{name}_named"))
+
+        def total(u: str, q: Quantity = q, mix: ScaleMixture = mix) -> Column:
+            score = F.coalesce(F.col(f"_{q.name}_s_{u}"), F.lit(0.0)) + math.log(mix.weights[u])
+            if q.label is None:
+                return score
+            named = F.col(f"_{q.name}_named")
+            return score + F.when(named > 0, F.col(f"_{q.name}_v_{u}") / named * label_weight).otherwise(0.0)
+
+        best = F.greatest(*[total(u) for u in mix.factors])
+        mass = sum((F.exp(total(u) - best) for u in mix.factors), F.lit(0.0))
+        pick = F.coalesce(*[F.when(total(u) == best, F.lit(u)) for u in mix.factors])
+        out += [pick.alias(f"{name}_unit_true"), (F.lit(1.0) / mass).alias(f"{name}_posterior"), (F.lit(1.0) / mass < 0.99).alias(f"{name}_uncertain")]
+    agg = df.groupBy(source).agg(*aggs)
+    kept = [c for c in agg.columns[1:] if not c.startswith("_")]
+    return agg.select(source, *kept, *out)
+
+
+def _value_quantity() -> Quantity:
+    return Quantity("value", F.col("value"), fraction_unit(F.col("value_unit")))
+
+
+def obspack_file_units(obs: DataFrame, names: tuple[str, ...] = ("value", "ch4"), level_ppb: float = 1850.0, extra: list[Column] | None = None) -> DataFrame:
+    """Unit of ``value`` and of ``ch4`` (those in ``names``) per file, with posteriors, beside aggregates ``extra``.
 
     One file keeps one unit (also across its redelivered rows), so evidence is pooled per file. ``level_ppb`` is the
-    usual level of the gas and only starts the fit.
+    usual level of the gas and only starts the fit. Two scans: the histograms, and the aggregation per file.
     """
-    fraction = MOLE_FRACTION
-    mv = fit_scale_mixture(obs, F.col("value"), fraction, level_ppb)
-    mc = fit_scale_mixture(obs, F.col("ch4"), fraction, level_ppb)
-    keep = obs.select("file_name", "value", "ch4", fraction_unit(F.col("value_unit")).alias("label"))
-    v = source_units(keep, F.col("value"), "file_name", mv, F.col("label"))
-    c = source_units(keep, F.col("ch4"), "file_name", mc)
-    v = v.select("file_name", F.col("unit").alias("value_unit_true"), F.col("posterior").alias("value_posterior"))
-    c = c.select("file_name", F.col("unit").alias("ch4_unit_true"), F.col("posterior").alias("ch4_posterior"))
-    return v.join(c, "file_name")
+    quantities = [q for q in (_value_quantity(), Quantity("ch4", F.col("ch4"))) if q.name in names]
+    return source_units(obs, "file_name", quantities, fit_scale_mixtures(obs, quantities, MOLE_FRACTION, level_ppb), extra)
 
 
 def with_ppb(obs: DataFrame, files: DataFrame | None = None) -> DataFrame:
