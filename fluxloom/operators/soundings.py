@@ -51,6 +51,29 @@ def screened(obs: DataFrame, columns: list[str], lon: tuple[float, float], lat:
     return rows.groupBy("file_id", "scanline", "pixel").agg(value).select("file_id", "scanline", "pixel", "v.*")
 
 
+def blended(obs: DataFrame, chi2: Column, lon: tuple[float, float], lat: tuple[float, float], water: bool = False, worst: float = 20_000.0) -> DataFrame:
+    """Screening of blended soundings, which carry no quality value: class 3 is out, class 2 where ``chi2`` is above ``worst``.
+
+    A missing class or chi2 passes.
+    """
+    surface = F.coalesce(F.col("surface_class").bitwiseAND(3), F.lit(5))
+    bad = (surface == 3) | ((surface == 2) & F.coalesce(chi2 > worst, F.lit(False)))
+    if not water:
+        bad = bad | (surface == 1)
+    inside = (F.col("lon") > lon[0]) & (F.col("lon") < lon[1]) & (F.col("lat") > lat[0]) & (F.col("lat") < lat[1]) & (F.col("lat") > -60)
+    return obs.where(inside & (F.array_max("lon_b") - F.array_min("lon_b") < 100) & finite(F.col("xch4")).isNotNull() & ~bad)
+
+
+def pixel_values(weighted: DataFrame, cells: DataFrame, value: str) -> DataFrame:
+    """file_id, scanline, pixel and the mean of a cell value over the cells each pixel covers, weighted by area.
+
+    Pixels that cover no cell with a value are left out.
+    """
+    rows = weighted.join(cells.select("i", "j", F.col(value).alias("_value")), ["i", "j"]).where(F.col("_value").isNotNull())
+    mean = F.sum(F.col("weight") * F.col("_value")) / F.sum("weight")
+    return rows.groupBy("file_id", "scanline", "pixel").agg(mean.alias(value), F.count("*").alias("n_cells"))
+
+
 def derived(obs: DataFrame) -> DataFrame:
     """Blended albedo, surface class (low two bits, 5 when missing) and the 13 pressure edges (hPa) of each sounding."""
     edges = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.col("psurf") - k * F.col("dp"))

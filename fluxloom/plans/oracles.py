@@ -184,4 +184,8 @@ SELECT field, row_id, unit FROM o WHERE unit <> 'ppb' UNION ALL SELECT 'emission
 SELECT DISTINCT 'near' AS kind, plume_id, source_id AS place_id FROM pos, src
   WHERE 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b - lat) / 2), 2) + cos(radians(lat)) * cos(radians(b)) * pow(sin(radians(a - lon) / 2), 2)))) <= 2000
 UNION ALL SELECT 'inside', plume_id, roi_id FROM pos, edge WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY plume_id, roi_id HAVING count(*) % 2 = 1""",
+    "filter_blended": "SELECT coalesce(surface_class, 5) AS surface, count(*) AS n, round(avg(xch4) + 1e-9, 4) AS xch4 FROM satellite_obs WHERE lon > -108.15625 AND lon < -100.03125 AND lat > 27.875 AND lat < 35.875 AND list_max(lon_b) - list_min(lon_b) < 100 AND xch4 IS NOT NULL AND NOT isnan(xch4) AND xch4 <> -9999 AND coalesce(surface_class & 3, 5) NOT IN (1, 3) AND NOT (coalesce(surface_class & 3, 5) = 2 AND scanline * 17 % 30000 > 20000) GROUP BY 1",
+    "obs_in_mask": f"WITH {_OBS}, {_ROI}, c AS (SELECT {_I} AS i, {_J} AS j, count(*) AS n FROM obs GROUP BY 1, 2) SELECT element, n FROM c JOIN roi USING (i, j)",
+    "grid_summary": "WITH l AS (SELECT lon - lag(lon) OVER (ORDER BY lon) AS step FROM (SELECT DISTINCT lon FROM state_vector) x) SELECT min(lon) AS lon0, max(lon) AS lon1, min(lat) AS lat0, max(lat) AS lat1, count(DISTINCT element) AS labels, (SELECT median(step) FROM l) AS step FROM state_vector",
+    "domain_cells": f"WITH {_MEAN}, tg AS (SELECT i, j, sum(flux * area) * {_TG} AS tg FROM mean GROUP BY i, j) SELECT s.i, s.j, CAST(row_number() OVER (ORDER BY s.j, s.i) AS INT) AS element FROM state_vector s LEFT JOIN tg ON s.i = tg.i AND s.j = tg.j WHERE s.element IS NOT NULL OR coalesce(tg, 0) > 420.0",
 }

@@ -7,6 +7,7 @@ from datetime import date
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxloom.functions.geo import position
@@ -190,6 +191,48 @@ def column_xch4(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.floor(F.unix_seconds("obs_time") / 86400).alias("day")).agg(F.count("*").alias("n"), _r(F.avg(virtual), 4).alias("model"), _r(F.avg("xch4"), 4).alias("satellite"))
 
 
+@query
+def pixel_model(spark: SparkSession, d: str) -> DataFrame:
+    """The model's lowest layer at every pixel, averaged over the cells it covers."""
+    w = soundings.overlap_weights(soundings_in(spark, d, "lon_b", "lat_b"))
+    cells = model_cells(spark, d).select("i", "j", (F.col("conc")[0] * 1e9).alias("ppb"))
+    return soundings.pixel_values(w, cells, "ppb").select("file_id", "scanline", "pixel", _r("ppb").alias("ppb"), "n_cells")
+
+
+@query
+def filter_blended(spark: SparkSession, d: str) -> DataFrame:
+    """Soundings that pass the screening of blended products (their chi2 is made of the scan line), counted per class."""
+    rows = soundings.blended(table(spark, d, "satellite_obs"), (F.col("scanline") * 17 % 30000).cast("double"), LON, LAT)
+    return rows.groupBy(F.coalesce(F.col("surface_class"), F.lit(5)).alias("surface")).agg(F.count("*").alias("n"), _r(F.avg("xch4"), 4).alias("xch4"))
+
+
+@query
+def obs_in_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Soundings per element of the region, by nearest column and row of the grid."""
+    rows = soundings_in(spark, d).select(GRID.i_of(F.col("lon")).alias("i"), GRID.j_of(F.col("lat")).alias("j"))
+    return rows.groupBy("i", "j").agg(F.count("*").alias("n")).join(region(spark, d), ["i", "j"]).select("element", "n")
+
+
+@query
+def grid_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds of the grid, its step, and the number of labels."""
+    sv = table(spark, d, "state_vector")
+    lons = sv.select("lon").distinct().withColumn("step", F.col("lon") - F.lag("lon").over(W.partitionBy(F.lit(0)).orderBy("lon")))  # the grid's columns only
+    step = lons.agg(F.median("step").alias("step")).first()["step"]
+    out = sv.agg(F.min("lon").alias("lon0"), F.max("lon").alias("lon1"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.count_distinct("element").alias("labels"))
+    return out.withColumn("step", F.lit(step))
+
+
+@query
+def domain_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that belong to the domain: land, or offshore with emissions above a threshold; labelled by rows."""
+    em = region_emissions(spark, d)
+    sv = table(spark, d, "state_vector").join(em, ["i", "j"], "left")
+    land = F.when(F.col("element").isNotNull(), 1.0).otherwise(0.0)
+    cells = sv.where(statevector.included(land, F.coalesce("tg", F.lit(0.0)), 0.25, 420.0)).select("i", "j", "lon", "lat")
+    return statevector.native_labels(cells, descending=False).select("i", "j", "element")
+
+
 # --- information content -----------------------------------------------------------------------
 
 
