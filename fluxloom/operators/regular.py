@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fluxloom.session import cut
 from fluxloom.sources.tables import dataset_of, site_of, usable
 
 
@@ -31,6 +32,7 @@ def with_carry(slots: DataFrame, shard_slots: int = 240, slot_s: int = 3600, by_
     nothing is carried). Adds period, shard, prev_slot, prev_value (NULL for the first slot of the period).
     """
     month = F.date_format(F.timestamp_seconds(F.col("slot") * slot_s), "yyyy-MM") if by_month else F.lit("all")
+    slots = cut(slots)  # read twice below, and far smaller than the readings
     rows = slots.withColumn("period", month).withColumn("shard", F.floor(F.col("slot") / shard_slots))
     key = ["source", "period"]
     ends = rows.groupBy(*key, "shard").agg(F.max(F.struct("slot", "value")).alias("last"))
