@@ -47,6 +47,17 @@ class Grid:
     def lat_tolerance(self) -> float:
         return max(self.dlat, 0.5)
 
+    def inner(self, lon: Column, lat: Column, margin: int = 4) -> Column:
+        """Whether a position lies within the centres of the grid without its outer ``margin`` cells (bounds inclusive)."""
+        lon_ok = lon.between(self.lon0 + margin * self.dlon, self.lon0 + (self.ni - 1 - margin) * self.dlon)
+        return lon_ok & lat.between(self.lat0 + margin * self.dlat, self.lat0 + (self.nj - 1 - margin) * self.dlat)
+
+    def holds(self, lon: tuple[float, float], lat: tuple[float, float]) -> None:
+        """ValueError unless the bounds lie on the grid."""
+        ends = (self.lon0 + (self.ni - 1) * self.dlon, self.lat0 + (self.nj - 1) * self.dlat)
+        if not (self.lon0 <= lon[0] <= lon[1] <= ends[0] and self.lat0 <= lat[0] <= lat[1] <= ends[1]):
+            raise ValueError(f"bounds {lon}, {lat} lie outside the grid")
+
     def cells(self, df: DataFrame) -> DataFrame:
         """All cells (i, j, lon, lat) as a DataFrame of ``df``'s session."""
         n = df.sparkSession.range(self.ni * self.nj)

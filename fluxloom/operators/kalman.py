@@ -53,3 +53,8 @@ def fold(cells: DataFrame, by_period: list[tuple[DataFrame, DataFrame]], mask: D
     for posterior, emissions in by_period:
         state = cut(nudge(state, posterior, emissions, mask, factor))
     return state
+
+
+def retained(states: DataFrame, first: date, last: date, day: str = "d") -> DataFrame:
+    """States worth keeping once a period is done: all but those strictly between its first and last day."""
+    return states.where(~((F.col(day) > F.lit(first)) & (F.col(day) < F.lit(last))))

@@ -188,4 +188,5 @@ UNION ALL SELECT 'inside', plume_id, roi_id FROM pos, edge WHERE (y1 > lat) <> (
     "obs_in_mask": f"WITH {_OBS}, {_ROI}, c AS (SELECT {_I} AS i, {_J} AS j, count(*) AS n FROM obs GROUP BY 1, 2) SELECT element, n FROM c JOIN roi USING (i, j)",
     "grid_summary": "WITH l AS (SELECT lon - lag(lon) OVER (ORDER BY lon) AS step FROM (SELECT DISTINCT lon FROM state_vector) x) SELECT min(lon) AS lon0, max(lon) AS lon1, min(lat) AS lat0, max(lat) AS lat1, count(DISTINCT element) AS labels, (SELECT median(step) FROM l) AS step FROM state_vector",
     "domain_cells": f"WITH {_MEAN}, tg AS (SELECT i, j, sum(flux * area) * {_TG} AS tg FROM mean GROUP BY i, j) SELECT s.i, s.j, CAST(row_number() OVER (ORDER BY s.j, s.i) AS INT) AS element FROM state_vector s LEFT JOIN tg ON s.i = tg.i AND s.j = tg.j WHERE s.element IS NOT NULL OR coalesce(tg, 0) > 420.0",
+    "trimmed_superobs": f"WITH {_CENTER} SELECT file_id, count(*) AS n, round(avg(xch4) + 1e-9, 4) AS xch4 FROM sup WHERE lon BETWEEN -106.75 AND -101.4375 AND lat BETWEEN 29.0 AND 34.75 GROUP BY file_id",
 }

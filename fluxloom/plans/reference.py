@@ -159,6 +159,13 @@ def superobs_overlap(spark: SparkSession, d: str) -> DataFrame:
     return s.select("file_id", "i", "j", _r("count").alias("n"), _r("xch4", 4).alias("xch4"), _r("lon").alias("lon"), _r("lat").alias("lat"), "hour")
 
 
+@query
+def trimmed_superobs(spark: SparkSession, d: str) -> DataFrame:
+    """Super-observations within the domain shrunk by four cells, for the solver."""
+    s = soundings.superobservations(soundings.center_weights(soundings_in(spark, d)))
+    return s.where(GRID.inner(F.col("lon"), F.col("lat"))).groupBy("file_id").agg(F.count("*").alias("n"), _r(F.avg("xch4"), 4).alias("xch4"))
+
+
 @query
 def superobs_profiles(spark: SparkSession, d: str) -> DataFrame:
     w = soundings.center_weights(soundings_in(spark, d, "ak", "subcol"))

@@ -49,6 +49,14 @@ def test_nearest_index_ties_and_tolerance(spark):
     assert [r["k"] for r in df.select(g.i_of(F.col("x"), 0.5).alias("k")).collect()] == [0, 1, None, None]
 
 
+def test_inner_domain_and_bounds(spark):
+    df = spark.createDataFrame([(-106.75, 30.0), (-106.76, 30.0), (-101.4375, 34.75), (-103.0, 34.76), (None, 30.0)], "lon double, lat double")
+    assert [r["x"] for r in df.select(grid.GRID.inner(F.col("lon"), F.col("lat")).alias("x")).collect()] == [True, False, True, False, None]
+    grid.GRID.holds((-108.0, -101.0), (28.0, 35.0))
+    with pytest.raises(ValueError):
+        grid.GRID.holds((-109.0, -101.0), (28.0, 35.0))
+
+
 def test_dilation_is_cut_at_the_edge(spark):
     got = grid.dilate(spark.createDataFrame([(1, 0, 0), (2, 10, 10)], "element int, i int, j int")).groupBy("element").count().collect()
     assert {r["element"]: r["count"] for r in got} == {1: 9, 2: 25}
@@ -131,6 +139,8 @@ def test_periods(spark):
 
     rows = kalman.periods(spark, date(2020, 1, 1), date(2020, 1, 20), 7).orderBy("period_number").collect()
     assert [(str(r["start"]), str(r["stop"])) for r in rows] == [("2020-01-01", "2020-01-08"), ("2020-01-08", "2020-01-15")]
+    days = spark.createDataFrame([(date(2020, 1, k),) for k in (1, 2, 3, 4)], "d date")
+    assert [r["d"].day for r in kalman.retained(days, date(2020, 1, 1), date(2020, 1, 4)).collect()] == [1, 4]
     with pytest.raises(ValueError):
         kalman.periods(spark, date(2020, 1, 1), date(2020, 1, 3), 7)
 
