@@ -101,15 +101,16 @@ class RadiusGrid:
 
 
     def touched(self, lon: Column, lat: Column, reach_m: float) -> Column:
-        """Array of struct<row, col> that a circle of ``reach_m`` (at most the grid's radius) touches: one to four."""
+        """Array of struct<row, col> that a circle of ``reach_m`` touches: one to four up to half the grid's radius."""
         reach = math.degrees(reach_m / EARTH_M) * 1.000001
-        rows = F.array_distinct(F.array(self.row(lat - reach), self.row(lat + reach)))
+        rows = F.sequence(self.row(lat - reach), self.row(lat + reach))
 
         def cells(row: Column) -> Column:
             edge = F.least(F.abs(lat) + reach, F.lit(90.0))
             dlon = F.when(edge >= 89.9, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(reach))) / F.cos(F.radians(edge))))))
             n = self.columns(row)
-            cols = F.transform(F.array(lon - dlon, lon + dlon), lambda x: F.pmod(F.floor((x + 180) / 360 * n).cast("bigint"), n))
+            at = lambda x: F.floor((x + 180) / 360 * n).cast("bigint")
+            cols = F.transform(F.sequence(at(lon - dlon), at(lon + dlon)), lambda c: F.pmod(c, n))
             every = F.sequence(F.lit(0).cast("bigint"), n - 1)
             cols = F.when(dlon >= 180, every).otherwise(F.array_distinct(cols))
             return F.transform(cols, lambda c: F.struct(row.alias("row"), c.alias("col")))

@@ -8,7 +8,7 @@ return is re-ranked by the exact distances; then the batch is appended to the ce
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,14 +70,15 @@ def to_cells(records: DataFrame, tol: Tolerance) -> DataFrame:
 def probes(entries: DataFrame, tol: Tolerance) -> DataFrame:
     """``entries`` once per cell that their tolerance reaches (columns prow, pcol, pslot)."""
     at = F.explode(RadiusGrid(tol.cell_m).touched(F.col("lon"), F.col("lat"), tol.metres))
-    slots = F.array_distinct(F.array(F.floor((F.col("t") - tol.seconds) / tol.cell_s), F.floor((F.col("t") + tol.seconds) / tol.cell_s)))
+    slots = F.sequence(F.floor((F.col("t") - tol.seconds) / tol.cell_s), F.floor((F.col("t") + tol.seconds) / tol.cell_s))
     return entries.withColumn("cell", at).withColumn("pslot", F.explode(slots)).select(*entries.columns, F.col("cell.row").alias("prow"), F.col("cell.col").alias("pcol"), "pslot")
 
 
 def _heads(entries: DataFrame) -> DataFrame:
-    """The first record of every tile (ordered by batch, then id) and the number of records in it."""
+    """The first record of every tile (ordered by batch, then id), the number of records in it and their extents."""
     first = F.min_by(F.struct("id", "batch", "lon", "lat", "t", "rate", "row", "col", "slot"), F.struct("batch", "id")).alias("f")
-    return entries.groupBy("tile").agg(first, F.count("*").alias("n")).select("tile", "f.*", "n")
+    extents = [g(c).alias(f"{c}_{n}") for c in ("lat", "t") for g, n in ((F.min, "lo"), (F.max, "hi"))]
+    return entries.groupBy("tile").agg(first, F.count("*").alias("n"), *extents).select("tile", "f.*", "n", *[f"{c}_{n}" for c in ("lat", "t") for n in ("lo", "hi")])
 
 
 def _in_reach(a: str, b: str) -> Column:
@@ -88,41 +89,53 @@ def _rated(tile: Column) -> Column:
     return tile["q"] > UNKNOWN_RATE
 
 
-def _tile_links(entries: DataFrame, heads: DataFrame, tol: Tolerance) -> DataFrame:
-    """Distinct pairs of tiles (a < b) that a record of one and the first record of the other tie together.
-
-    A tile without rates is tied to rated tiles only through the earliest of them, so an unknown rate never makes one
-    class of two different rates.
-    """
+def _tile_pairs(entries: DataFrame, heads: DataFrame, tol: Tolerance) -> DataFrame:
+    """Pairs of tiles (x, y), in both orders, that a record of one and the first record of the other tie together; ky is
+    the earliest record of y that does so."""
     hits = probes(entries, tol).alias("m").join(heads.alias("h"), _in_reach("m", "h") & (F.col("m.tile") != F.col("h.tile")) & same("m", "h", tol))
     key = lambda s: F.struct(F.col(f"{s}.batch"), F.col(f"{s}.id"))
     pairs = hits.select(F.col("m.tile").alias("x"), F.col("h.tile").alias("y"), key("m").alias("kx"), key("h").alias("ky"))
     pairs = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("ky").alias("kx"), F.col("kx").alias("ky")))
-    pairs = pairs.groupBy("x", "y").agg(F.min("ky").alias("ky"))
-    mixed = ~_rated(F.col("x")) & _rated(F.col("y"))
-    even = _rated(F.col("x")) == _rated(F.col("y"))
-    first = pairs.where(mixed).groupBy("x").agg(F.min_by("y", "ky").alias("y"))
-    kept = pairs.where(even & (F.col("x") < F.col("y"))).select("x", "y").unionByName(first)
-    return kept.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.groupBy("x", "y").agg(F.min("ky").alias("ky"))
+
+
+def _even(pairs: DataFrame) -> DataFrame:
+    """The links (a < b) of ``pairs`` whose tiles both have rates or both have none."""
+    return pairs.where((_rated(F.col("x")) == _rated(F.col("y"))) & (F.col("x") < F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _mixed(pairs: DataFrame) -> DataFrame:
+    """x, y, ky of every tile x without rates: the rated tile y with the earliest record that matches one of x.
+
+    A tile without rates is tied to no other rated tile, so an unknown rate never makes one class of two different rates.
+    """
+    both = pairs.where(~_rated(F.col("x")) & _rated(F.col("y")))
+    return both.groupBy("x").agg(F.min_by("y", "ky").alias("y"), F.min("ky").alias("ky"))
 
 
-def _late_links(entries: DataFrame, heads: DataFrame, classes: DataFrame, tol: Tolerance) -> DataFrame:
-    """Links between tiles of different classes that only their later members make: nothing is lost to tiling.
+def _late_pairs(entries: DataFrame, heads: DataFrame, classes: DataFrame, first: DataFrame, tol: Tolerance) -> DataFrame:
+    """Pairs of tiles (x, y, ky) that only their later members tie together: nothing is lost to tiling.
 
-    Only tiles of two or more rated records whose extents can be in reach of each other are opened.
+    Only tiles of two or more records whose extents can be in reach of each other are opened: both with rates or both
+    without if their ``classes`` (node, label) differ; a tile without rates with a rated one if that begins before the
+    record that the former is tied to (``first``: x, ky).
     """
-    wide = Tolerance(tol.metres * 2.4, tol.seconds * 3, tol.rate_share, tol.cell_m, tol.cell_s)
-    crowd = heads.where((F.col("n") > 1) & _rated(F.col("tile"))).join(classes, heads.tile == classes.node, "left").withColumn("class", F.coalesce("label", "tile"))
-    crowd = crowd.select("id", "tile", "class", "lon", "lat", "t", "rate", "row", "col", "slot")
+    reach = tol.metres + 2 * tol.metres * math.sqrt(2) / 1.45  # two members in reach, each within its tile's diagonal of the head
+    wide = replace(tol, metres=reach, seconds=tol.seconds * 3)
+    crowd = heads.where(F.col("n") > 1).join(classes, heads.tile == classes.node, "left").join(first.select("x", F.col("ky").alias("tied")), F.col("tile") == F.col("x"), "left")
+    crowd = crowd.withColumn("class", F.coalesce("label", "tile")).withColumn("key", F.struct("batch", "id"))
+    crowd = crowd.select("tile", "class", "key", "tied", "lon", "lat", "t", "row", "col", "slot", "lat_lo", "lat_hi", "t_lo", "t_hi")
     a, b = probes(crowd, wide).alias("m"), crowd.alias("h")
     near = great_circle_m(F.col("m.lon"), F.col("m.lat"), F.col("h.lon"), F.col("h.lat")) <= wide.metres
+    apart = lambda c: F.greatest(F.col(f"m.{c}_lo") - F.col(f"h.{c}_hi"), F.col(f"h.{c}_lo") - F.col(f"m.{c}_hi"))
+    near &= (apart("lat") <= math.degrees(tol.metres / EARTH_M) * 1.000001) & (apart("t") <= tol.seconds)
     like = F.abs(F.col("m.tile")["q"] - F.col("h.tile")["q"]) <= 2
-    open_ = a.join(b, _in_reach("m", "h") & (F.col("m.tile") < F.col("h.tile")) & (F.col("m.class") != F.col("h.class")) & near & like)
-    open_ = open_.select(F.col("m.tile").alias("a"), F.col("h.tile").alias("b")).distinct()
-    vector = F.struct("lon", "lat", "t", "rate").alias("v")
-    left = entries.select(F.col("tile").alias("a"), vector).withColumnRenamed("v", "m")
-    right = entries.select(F.col("tile").alias("b"), vector).withColumnRenamed("v", "h")
-    return open_.join(left, "a").join(right, "b").where(same("m", "h", tol)).select("a", "b").distinct()
+    even = like & (F.col("m.tile") < F.col("h.tile")) & (F.col("m.class") != F.col("h.class"))
+    mixed = ~_rated(F.col("m.tile")) & _rated(F.col("h.tile")) & (F.col("m.tied").isNull() | (F.col("h.key") < F.col("m.tied")))
+    open_ = a.join(b, _in_reach("m", "h") & near & (even | mixed)).select(F.col("m.tile").alias("x"), F.col("h.tile").alias("y")).distinct()
+    left = entries.select(F.col("tile").alias("x"), F.struct("lon", "lat", "t", "rate").alias("m"))
+    right = entries.select(F.col("tile").alias("y"), F.struct("lon", "lat", "t", "rate").alias("h"), F.struct("batch", "id").alias("ky"))
+    return open_.join(left, "x").join(right, "y").where(same("m", "h", tol)).groupBy("x", "y").agg(F.min("ky").alias("ky"))
 
 
 def find_duplicates(records: DataFrame, tol: Tolerance = Tolerance()) -> DataFrame:
@@ -130,18 +143,21 @@ def find_duplicates(records: DataFrame, tol: Tolerance = Tolerance()) -> DataFra
 
     ``records``: id (unique), batch, lon, lat, t (seconds), rate (NULL when unknown). kept_id is the first record of
     the class that the duplicates form. Work stays linear in crowded cells: a record is compared with the first record
-    of each tile in reach, not with every record; pairs of tiles of different classes that only later members could
-    link are then opened and compared member by member. Exact copies share a tile; ties in batch are ordered by id.
+    of each tile in reach, not with every record; pairs of tiles that only later members could link (of different
+    classes, or one without rates) are then opened and compared member by member. Exact copies share a tile; ties in batch are ordered by id.
     Records without position or time repeat nothing. An empty table gives no rows.
     """
     entries = cut(to_cells(records, tol))
     heads = cut(_heads(entries))
-    links = cut(_tile_links(entries, heads, tol))
-    classes = connected_classes(links)
-    late = cut(_late_links(entries, heads, classes, tol))
-    if late.limit(1).count():
-        classes = connected_classes(links.unionByName(late))
-    tiles = heads.join(classes, heads.tile == classes.node, "left").select("tile", "id", "batch", F.coalesce("label", "tile").alias("class"))
+    pairs = cut(_tile_pairs(entries, heads, tol))
+    classes = connected_classes(_even(pairs))
+    late = cut(_late_pairs(entries, heads, classes, _mixed(pairs), tol))
+    base = cut(heads.join(classes, heads.tile == classes.node, "left").select("tile", "id", "batch", F.coalesce("label", "tile").alias("base")))
+    # what joins classes: links of later members, and of tiles without rates to their rated one
+    more = _even(late).unionByName(_mixed(pairs.unionByName(late)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    ends = lambda c: base.select(F.col("tile").alias(c), F.col("base").alias(f"{c}_base"))
+    joined = connected_classes(more.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_base").alias("a"), F.col("b_base").alias("b")))
+    tiles = base.join(joined, base.base == joined.node, "left").select("tile", "id", "batch", F.coalesce("label", "base").alias("class"))
     firsts = tiles.groupBy("class").agg(F.min(F.struct("batch", "id")).alias("k")).select("class", F.col("k.id").alias("kept_id"))
     kept = tiles.join(firsts, "class").select("tile", "kept_id")
     return entries.join(kept, "tile").where(F.col("id") != F.col("kept_id")).select("kept_id", "id")

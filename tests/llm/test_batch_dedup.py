@@ -65,6 +65,38 @@ def test_links_between_later_members_are_kept(spark):
     assert found(spark, data) == brute(data) and len(brute(data)) == 23
 
 
+def test_late_links_in_the_middle_of_a_slot(spark):
+    side = math.degrees(bd.Tolerance().metres / 1.45 / 6371000)
+    lat = math.floor(90 / side) * side - 90 + side / 2
+    for t in (1000, 1700, 1800, 1900):  # from 1680 on the heads' slot lies between those of the ends of the reach
+        data = [(k, 0, (30 + x) * side - 180, lat, t, 100.0, "", "") for k, x in enumerate((0.01, 2.99, 0.99, 2.01))]
+        assert found(spark, data) == brute(data) == {(0, 1), (0, 2), (0, 3)}, t
+
+
+def diagonal(rate_a, rate_b):
+    """Two tiles of two, corner to corner: the later members 490 m apart, the first ones three diagonals."""
+    side = math.degrees(bd.Tolerance().metres / 1.45 / 6371000)
+    r, c = math.floor(90 / side), 30
+    at = lambda k: (c * side - 180 + k * side, r * side - 90 + k * side)
+    return [(0, 0, *at(0.01), 5000, rate_a, "", ""), (1, 0, *at(2.99), 5000, rate_b, "", ""), (2, 1, *at(0.99), 5000, rate_a, "", ""), (3, 1, *at(2.001), 5000, rate_b, "", "")]
+
+
+def test_late_links_across_diagonals_and_without_rates(spark):
+    for rates in ((100.0, 100.0), (None, None), (None, 100.0), (100.0, None), (100.0, 90.0)):
+        data = diagonal(*rates)
+        assert found(spark, data) == brute(data) == {(0, 1), (0, 2), (0, 3)}, rates
+    step = 160 / 111194.9
+    data = [(k, 0, 10.0, 20.0 + step * ((k * 7) % 24), 1800, None, "", "") for k in range(24)]
+    assert found(spark, data) == brute(data) and len(brute(data)) == 23
+
+
+def test_late_match_that_is_earlier_wins(spark):
+    # the tile without rates is tied at once to a record of batch 5, and by later members only to one of batch 1
+    data = [(r[0], *((0, 1, 1, 1)[r[0]],), *r[2:]) for r in diagonal(100.0, None)]
+    data += [(9, 5, data[1][2], data[1][3], 5000, 500.0, "", "")]
+    assert found(spark, data) == {(0, 1), (0, 2), (0, 3)}
+
+
 def test_crowd_of_copies_stays_linear(spark):
     crowd = [(k, k % 9, 10.0, 20.0, 1000, 100.0, "", "") for k in range(3000)] + [(10_000 + k, 1, 10.0 + k * 1e-6, 20.0, 1000 + k % 60, 100.0, "", "") for k in range(600)]
     assert found(spark, crowd) == {(0, r[0]) for r in crowd if r[0] != 0}
