@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -303,25 +303,53 @@ def _label(text: str, group: list[tuple[int, int, str, str]], model: Model) -> l
     return gold
 
 
-def _seed_names(texts: list[str]) -> tuple[frozenset[str], frozenset[str]]:
-    """Given and family names that stand after a title or a closing formula in at least two texts."""
-    lead = "|".join(sorted(CUES["person"], key=len, reverse=True))
-    rx = re.compile(rf"\b(?:{lead})\b[.,:]?\s+({_W}+(?:-{_W}+)*)\s+(?:(?:{'|'.join(PARTICLES)})\s+)?({_W}+)\b", re.I)
+_LEAD = "|".join(sorted(CUES["person"], key=len, reverse=True))
+_CUED_NAME = re.compile(rf"\b(?:{_LEAD})\b[.,:]?\s+({_W}+(?:-{_W}+)*)\s+(?:(?:{'|'.join(PARTICLES)})\s+)?({_W}+)\b", re.I)
+
+
+def _cued_names(texts: Iterable[str]) -> tuple[Counter, Counter]:
+    """How often words stand as a given and as a family name after a title or a closing formula."""
     first, last = Counter(), Counter()
     for t in texts:
-        for m in rx.finditer(t):
+        for m in _CUED_NAME.finditer(t):
             if m.group(1)[0].isupper() and m.group(2)[0].isupper():
                 for p in m.group(1).lower().split("-"):
                     first[p] += 1
                 last[m.group(2).lower()] += 1
+    return first, last
+
+
+def _name_lists(first: Counter, last: Counter) -> tuple[frozenset[str], frozenset[str]]:
+    """Given and family names from the counts of cued words."""
     given = {w for w, n in first.items() if n >= 3 and len(w) > 2 and first[w] > 2 * last[w]}
     family = {w for w, n in last.items() if n >= 1 and len(w) > 3 and last[w] > first[w]}
     return frozenset(given), frozenset(family)
 
 
-def fit(texts: list[str], epochs: int = 8, rate: float = 0.3, ridge: float = 1e-4) -> Model:
-    """Fit the weights by gradient ascent on the conditional likelihood of the labelled groups (AdaGrad)."""
-    given, family = _seed_names(texts)
+def corpus_names(docs: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """Given and family names that are cued anywhere in ``docs``: all texts, whole, counted by an aggregation.
+
+    Only the kept words reach the driver; they grow with the vocabulary of names, not with the rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            first, last = _cued_names(batch["text"])
+            rows = [(w, first[w], last[w]) for w in first.keys() | last.keys()]
+            yield pd.DataFrame(rows, columns=["word", "first", "last"])
+
+    texts = docs.select("text").where(F.col("text").isNotNull())
+    counts = texts.mapInPandas(run, "word string, first long, last long").groupBy("word").agg(F.sum("first").alias("first"), F.sum("last").alias("last"))
+    words = counts.where((F.col("first") >= 3) | (F.col("last") > F.col("first"))).collect()
+    return _name_lists(Counter({r["word"]: r["first"] for r in words}), Counter({r["word"]: r["last"] for r in words}))
+
+
+def fit(texts: list[str], epochs: int = 8, rate: float = 0.3, ridge: float = 1e-4, names: tuple[frozenset[str], frozenset[str]] | None = None) -> Model:
+    """Fit the weights by gradient ascent on the conditional likelihood of the labelled groups (AdaGrad).
+
+    ``names`` are the lists of given and family names; without them, those cued in ``texts``.
+    """
+    given, family = names or _name_lists(*_cued_names(texts))
     model = Model({}, given, family)
     train = []
     for t in texts:
@@ -362,17 +390,18 @@ def fit(texts: list[str], epochs: int = 8, rate: float = 0.3, ridge: float = 1e-
 
 
 def train_model(docs: DataFrame, sample_docs: int = 6000) -> Model:
-    """Fit on at most ``sample_docs`` texts (of up to 4000 characters) whose wording labels segments, by hash order of doc_id."""
+    """Name lists from all texts; weights from at most ``sample_docs`` texts (of up to 4000 characters) whose wording
+    labels segments, by hash order of doc_id."""
     labelled = docs.where(F.lower("text").rlike(SAMPLED) & (F.length("text") <= 4000))
     rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text").collect()
-    return fit([r["text"] for r in rows])
+    return fit([r["text"] for r in rows], names=corpus_names(docs))
 
 
 def find_personal_data(docs: DataFrame, model: Model | None = None, sample_docs: int = 6000) -> DataFrame:
     """doc_id, kind, start_pos, end_pos (code points from 0, end exclusive) of the personal data in ``text``.
 
-    Whole texts are read, in parallel and without a shuffle; the model (at most a few thousand weights) travels with
-    the tasks. NULL and blank texts have none; repeated rows are reported like single ones.
+    Whole texts are read, in parallel and without a shuffle; the model (a few thousand weights and the name lists)
+    travels with the tasks. NULL and blank texts have none; repeated rows are reported like single ones.
     """
     model = model or train_model(docs, sample_docs)
 

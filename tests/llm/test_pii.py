@@ -94,6 +94,15 @@ def test_operator_and_redaction(spark, model):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_names_of_unsampled_and_long_texts_are_known(spark):
+    texts = corpus()[:60] + ["I spoke with Mr Anna Quillmere twice. " + "ok " * 2000, "thanks to anna quillmere, and good night"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = pii.train_model(docs, sample_docs=20)
+    assert "quillmere" in model.family and {f.lower() for f in FAMILY[:12:5]} <= model.family and (model.given, model.family) == pii._name_lists(*pii._cued_names(texts))
+    found = {(r["doc_id"], r["start_pos"], r["end_pos"]) for r in pii.find_personal_data(docs, sample_docs=20).collect() if r["kind"] == "person"}
+    assert (61, 10, 24) in found
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_registered_queries_run(spark, sf_dir, name):
     assert registry.QUERIES[name](spark, sf_dir).count() >= 0
