@@ -145,9 +145,10 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
 def unified_table(raw: DataFrame) -> DataFrame:
     """One consistent table of everything the feeds delivered: a row per readable line, each line once.
 
-    Canonical columns: feed, file_name, line_no, lon, lat (degrees; ``9.6N`` and text numbers are read), obs_date, rate
-    and rate_std (the number in the value; as delivered, with rate_unit where the value says it). What conflicts in
-    type stays readable through ``branches``: per field its tag and text. Other fields are only in ``branches``.
+    Canonical columns: feed, file_name, line_no, lon, lat (degrees; ``9.6N`` and text numbers are read), obs_date,
+    obs_time (``HH:mm:ss`` as written, from a field of the time, else of the date), instrument, platform, rate and
+    rate_std (the number in the value; as delivered, with rate_unit where the value says it). What conflicts in type
+    stays readable through ``branches``: per field its tag and text. Other fields are only in ``branches``.
     """
     fields = tagged_fields(raw.dropDuplicates(["file_name", "line_no", "payload"]))
     meaning = None
@@ -166,7 +167,15 @@ def unified_table(raw: DataFrame) -> DataFrame:
     unit = F.coalesce(F.get_json_object(F.when(F.col("tag") == "object", text), "$.unit"), F.nullif(F.regexp_extract(text, r"(kg/h|t/h)", 1), F.lit("")), F.nullif(F.regexp_extract("field", r"_(t/h|kg/h)$", 1), F.lit("")))
     day_text = F.when(F.col("tag") == "object", F.get_json_object(text, "$.day")).otherwise(F.split(text, "[T ](?=\\d{2}:)")[0])
     day = let(day_text, lambda t: F.coalesce(parse_date(t, F.lit(False)), F.to_date(F.timestamp_seconds(F.when(t.rlike(r"^\d{9,10}$"), t.try_cast("bigint"))))))
+    written = r"(?<!\d)(\d{1,2}):(\d{2})(?::(\d{2}))?"
+    parts = [F.lpad(F.regexp_extract(text, written, k), 2, "0") for k in (1, 2, 3)]
+    epoch = F.when(text.rlike(r"^\d{9,10}$"), F.date_format(F.timestamp_seconds(text.try_cast("bigint")), "HH:mm:ss"))
+    clock = F.coalesce(F.when(text.rlike(written), F.concat_ws(":", *parts)), epoch)
+    word = F.when(F.col("tag") == "object", F.coalesce(F.get_json_object(text, "$.name"), F.get_json_object(text, "$.value"), text)).otherwise(text)
     return fields.groupBy("feed", "file_name", "line_no").agg(
+        F.coalesce(pick("time", clock), pick("date", clock)).alias("obs_time"),
+        pick("instrument", word).alias("instrument"),
+        pick("platform", word).alias("platform"),
         pick("lon", degrees).alias("lon"),
         pick("lat", degrees).alias("lat"),
         pick("date", day).alias("obs_date"),
@@ -175,3 +184,23 @@ def unified_table(raw: DataFrame) -> DataFrame:
         pick("rate_std", number).alias("rate_std"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", F.struct("tag", "text"))))).alias("branches"),
     )
+
+
+def typed_branches(branches: Column) -> list[Column]:
+    """A column per tag: numbers, texts, booleans, lists (elements as text) and objects (members as text), each an array
+    of struct<field, value> in the order of the fields' names."""
+    entries = F.sort_array(F.transform(F.map_entries(branches), lambda e: F.struct(e["key"].alias("field"), e["value"]["tag"].alias("tag"), e["value"]["text"].alias("text"))))
+    members = lambda t: F.transform(F.map_entries(F.from_json(t, "map<string,string>")), lambda m: F.struct(m["key"].alias("name"), m["value"].alias("value")))
+    read = {
+        "number": lambda t: F.trim(t).try_cast("double"),
+        "text": lambda t: t,
+        "boolean": lambda t: t.try_cast("boolean"),
+        "list": lambda t: F.from_json(t, "array<string>"),
+        "object": members,
+    }
+
+    def of(tag: str) -> Column:
+        held = F.filter(entries, lambda e: e["tag"] == tag)
+        return F.transform(held, lambda e: F.struct(e["field"].alias("field"), read[tag](e["text"]).alias("value"))).alias(f"{tag}s")
+
+    return [of(t) for t in TYPES]

@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     rows = drift.unified_table(table(spark, d, "plume_raw"))
-    return rows.select("feed", "file_name", "line_no", "lon", "lat", "obs_date", "rate", "rate_unit", "rate_std", F.size("branches").alias("n_fields"))
+    return rows.select("feed", "file_name", "line_no", "lon", "lat", "obs_date", "obs_time", "instrument", "platform", "rate", "rate_unit", "rate_std", F.size("branches").alias("n_fields"), *drift.typed_branches(F.col("branches")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

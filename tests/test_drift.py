@@ -6,6 +6,7 @@ import json
 from datetime import UTC, datetime
 
 from fluxloom.operators import drift
+from fluxloom.plans import problems
 
 SCHEMA = "rec_id long, feed string, file_name string, line_no int, payload string, delivered_at timestamp, tag string, text string"
 
@@ -63,6 +64,21 @@ def test_unified_table(spark):
     assert by[("B-2_20090308.csv", 2)]["branches"]["note"]["text"] == "b;c"
 
 
+def test_table_keeps_the_content_of_the_branches(spark, tmp_path):
+    lines = [{"lon": 1, "datetime": "2009-03-01T07:05", "satellite": "cam7", "carrier": "air", "n": "3", "ok": True, "bounds": [1, "b", {"c": 2}], "q": {"value": 3, "unit": "kg/h"}}]
+    files = {"A-1_20090301.jsonl": lines, "B-2_20090301.csv": ["date,time_UTC,lat,Instrument", "20090303,9:46:15,2.5,sat-a"], "C-3_20090301.jsonl": [{"dt_acq": 1236000000, "x": None}]}
+    raw(spark, files).write.parquet(str(tmp_path / "plume_raw.parquet"))
+    out = {r["feed"]: r.asDict(recursive=True) for r in problems.p2_table(spark, str(tmp_path)).collect()}
+    a, b, c = out["A-1"], out["B-2"], out["C-3"]
+    pairs = lambda v: [tuple(x.values()) for x in v]
+    assert (a["obs_time"], a["instrument"], a["platform"]) == ("07:05:00", "cam7", "air") and (b["obs_time"], b["instrument"], b["platform"]) == ("09:46:15", "sat-a", None)
+    assert c["obs_time"] == "13:20:00" and pairs(c["numbers"]) == [("dt_acq", 1236000000.0)]
+    assert pairs(a["numbers"]) == [("lon", 1.0)] and pairs(a["booleans"]) == [("ok", True)] and pairs(a["lists"]) == [("bounds", ["1", "b", '{"c":2}'])]
+    assert pairs(a["texts"]) == [("carrier", "air"), ("datetime", "2009-03-01T07:05"), ("n", "3"), ("satellite", "cam7")]
+    assert a["objects"][0]["field"] == "q" and sorted(pairs(a["objects"][0]["value"])) == [("unit", "kg/h"), ("value", "3")]
+    assert pairs(b["numbers"]) == [("date", 20090303.0), ("lat", 2.5)] and a["n_fields"] == 8
+
+
 def test_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, None, None, None, None, None, None, None), (2, "A", "A_20090301.jsonl", 1, None, None, None, None), (3, "A", "A_20090301.csv", 0, "", None, None, None)], SCHEMA)
     assert changes(df) == set() and drift.unified_table(df).count() == 0
