@@ -66,6 +66,15 @@ def jacobian_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def whole_jacobian(spark: SparkSession, d: str) -> tuple[DataFrame, inversion.Layout]:
+    """As ``jacobian_rows`` with every element of the vectors, and the layout of a state vector of that length."""
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.max(F.size("embedding"))).first()[0]
+    whole = F.transform("embedding", lambda x: x.cast("double"))
+    rows = e.select("vec_id", whole.alias("k"), F.element_at("embedding", 10).cast("double").alias("dy"), (1 + F.col("label")).cast("double").alias("p"))
+    return rows, inversion.Layout(n, n_bc=2, n_oh=1, n_buffer=1)
+
+
 def model_cells(spark: SparkSession, d: str, layers: int = 47) -> DataFrame:
     """Model columns per cell: pressure edges (hPa, falling) and mole fractions (mol/mol), made of the grid's numbers."""
     step = F.lit((1000.0 - 0.5) / layers)
@@ -315,27 +324,27 @@ def normal_equations(spark: SparkSession, d: str) -> DataFrame:
     return eq.select("row", F.posexplode("vals").alias("col", "v"), "rhs").select("row", "col", _r("v").alias("v"), _r("rhs").alias("rhs"))
 
 
-LAYOUT = inversion.Layout(K_SIZE, n_bc=2, n_oh=1, n_buffer=1)
-
-
 @query
 def gaussian_posterior(spark: SparkSession, d: str) -> DataFrame:
-    eq = inversion.normal_equations(jacobian_rows(spark, d), K_SIZE, [15.0])
-    sols, _ = inversion.ensemble(eq, LAYOUT, "gaussian", [0.5], [15.0], [0.25])
+    rows, layout = whole_jacobian(spark, d)
+    eq = inversion.normal_equations(rows, layout.n, [15.0])
+    sols, _ = inversion.ensemble(eq, layout, "gaussian", [0.5], [15.0], [0.25])
     return inversion.elements_table(spark, sols).select("element", _r("xhat").alias("xhat"), _r("s_post_diag").alias("s_post"), _r("a_diag").alias("a"))
 
 
 @query
 def inversion_ensemble(spark: SparkSession, d: str) -> DataFrame:
     sigmas = [10.0, 15.0]
-    eq = inversion.normal_equations(jacobian_rows(spark, d), K_SIZE, sigmas)
-    return inversion.members_table(spark, *inversion.ensemble(eq, LAYOUT, "gaussian", [0.25, 0.5, 0.75], sigmas, [0.1, 0.25, 1.0]))
+    rows, layout = whole_jacobian(spark, d)
+    eq = inversion.normal_equations(rows, layout.n, sigmas)
+    return inversion.members_table(spark, *inversion.ensemble(eq, layout, "gaussian", [0.25, 0.5, 0.75], sigmas, [0.1, 0.25, 1.0]))
 
 
 @query
 def lognormal_posterior(spark: SparkSession, d: str) -> DataFrame:
-    eq = inversion.normal_equations(jacobian_rows(spark, d), K_SIZE, [15.0])
-    sols, _ = inversion.ensemble(eq, LAYOUT, "lognormal", [2.0], [15.0], [0.25])
+    rows, layout = whole_jacobian(spark, d)
+    eq = inversion.normal_equations(rows, layout.n, [15.0])
+    sols, _ = inversion.ensemble(eq, layout, "lognormal", [2.0], [15.0], [0.25])
     return inversion.elements_table(spark, sols).select("element", _r("xhat").alias("xhat"), _r("a_diag").alias("a"))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxloom.operators import components, grid, inversion, kalman, report, soundings, statevector
+from fluxloom.plans import reference
 
 
 def clip(poly, x0, x1, y0, y1):
@@ -156,3 +157,10 @@ def test_reduction_keeps_every_cell(spark):
 def test_regrid_of_a_constant_is_constant(spark):
     tenths = spark.createDataFrame([(x, y, 5.0) for x in range(0, 40) for y in range(0, 30)], "lon10 int, lat10 int, mean double")
     assert all(abs(r["mean"] - 5.0) < 1e-12 for r in report.conservative_regrid(tenths, 0.3125, 0.25).collect())
+
+
+def test_inversions_take_whole_vectors(spark, sf_dir):
+    for name in ("gaussian_posterior", "lognormal_posterior"):
+        rows = reference.QUERIES[name](spark, sf_dir).collect()
+        assert sorted(r["element"] for r in rows) == list(range(1, 65)) and all(np.isfinite(r["xhat"]) for r in rows), name
+    assert reference.QUERIES["inversion_ensemble"](spark, sf_dir).where("dofs > 0 and dofs <= 64").count() == 18
