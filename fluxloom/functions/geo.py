@@ -49,10 +49,14 @@ def _point_of(t: Column) -> Column:
 
 
 def lon_lat(a: Column, b: Column) -> Column:
-    """struct<lon, lat> with ``a`` as the longitude unless ``b`` cannot be a latitude; NULL when neither order works."""
+    """struct<lon, lat> with ``a`` as the longitude unless ``b`` cannot be a latitude; NULL when neither order works.
+
+    Longitudes counted from 0 to 360 are folded to -180 to 180.
+    """
     straight = (F.abs(b) <= 90) & (F.abs(a) <= 360)
     swapped = (F.abs(a) <= 90) & (F.abs(b) <= 360)
-    return F.when(straight, F.struct(a.alias("lon"), b.alias("lat"))).when(swapped, F.struct(b.alias("lon"), a.alias("lat")))
+    fold = lambda x: F.when(x > 180, x - 360).when(x < -180, x + 360).otherwise(x)
+    return F.when(straight, F.struct(fold(a).alias("lon"), b.alias("lat"))).when(swapped, F.struct(fold(b).alias("lon"), a.alias("lat")))
 
 
 def position(geometry: Column, lon: Column, lat: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.functions.geo import RadiusGrid, great_circle_m, inside, polygon_edges, position
-from fluxloom.session import broadcast_if_small
+from fluxloom.session import broadcast_if_small, cut
 from fluxloom.sources.tables import finite
 
 
@@ -34,15 +34,19 @@ def within_distance(points: DataFrame, places: DataFrame, radius_m: float) -> Da
 def containing_regions(points: DataFrame, regions: DataFrame, cell_deg: float = 1.0) -> DataFrame:
     """Pairs (id, place_id) of a point and a polygon (planar degrees, holes excluded) that contains it.
 
-    ``regions`` has place_id and wkt. A region is listed in the cells its bounding box touches; unreadable regions and
-    points without a position match nothing.
+    ``regions`` has place_id and wkt. A region is listed in the cells its bounding box touches, in each with only those
+    edges that a ray to the east from a point of the cell can cross, so large outlines are not copied whole. Unreadable
+    regions and points without a position match nothing; a polygon across the antimeridian is written in parts.
     """
     cell = lambda c: F.floor(c / cell_deg).cast("bigint")
     r = regions.select("place_id", polygon_edges(F.col("wkt")).alias("edges")).where(F.col("edges").isNotNull())
     xs, ys = F.transform("edges", lambda e: e["x1"]), F.transform("edges", lambda e: e["y1"])
     r = r.withColumn("cx", F.explode(F.sequence(cell(F.array_min(xs)), cell(F.array_max(xs))))).withColumn("cy", F.explode(F.sequence(cell(F.array_min(ys)), cell(F.array_max(ys)))))
+    south, west = F.col("cy") * cell_deg, F.col("cx") * cell_deg
+    crossed = lambda e: (F.least(e["y1"], e["y2"]) <= south + cell_deg) & (F.greatest(e["y1"], e["y2"]) >= south) & (F.greatest(e["x1"], e["x2"]) >= west)
+    r = cut(r.select("place_id", "cx", "cy", F.filter("edges", crossed).alias("edges")).where(F.size("edges") > 0))
     p = points.select("id", "lon", "lat").where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).withColumn("cx", cell(F.col("lon"))).withColumn("cy", cell(F.col("lat")))
-    hit = p.join(broadcast_if_small(r, 10_000), ["cx", "cy"])
+    hit = p.join(broadcast_if_small(r), ["cx", "cy"])
     return hit.where(inside(F.col("lon"), F.col("lat"), F.col("edges"))).select("id", "place_id")
 
 

@@ -58,9 +58,6 @@ ends AS (SELECT day, j, v, last_value(CASE WHEN v IS NOT NULL THEN j END IGNORE
   WINDOW lo AS (PARTITION BY day ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), hi AS (PARTITION BY day ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 band AS (SELECT day, j, coalesce(v, CASE WHEN jh > jl THEN vl + CAST(j - jl AS DOUBLE) / (jh - jl) * (vh - vl) END, vh, vl) AS band FROM ends)"""
 )
-_READ = """rd AS (SELECT row_id, obspack_id, time, obs_flag, latitude, split_part(obspack_id, '~', 2) AS dataset, split_part(split_part(obspack_id, '~', 2), '_', 2) AS site,
-  CASE WHEN NOT isnan(value) AND value BETWEEN 500 AND 5000 THEN value END AS ppb, CASE WHEN NOT isnan(ch4) AND ch4 BETWEEN 500 AND 5000 THEN ch4 END AS ch4_ppb FROM obspack)"""
-_DAYS = _READ + ", sd AS (SELECT site, CAST(floor(epoch(time) / 86400) AS BIGINT) AS day, avg(ppb) AS ppb FROM rd WHERE ppb IS NOT NULL GROUP BY 1, 2)"
 _TENTH = _OBS + ", tenth AS (SELECT CAST(round_even(lon * 10, 0) AS INT) AS lon10, CAST(round_even(lat * 10, 0) AS INT) AS lat10, count(*) AS n, avg(xch4) AS mean FROM obs GROUP BY 1, 2)"
 _SENS = _COUNTS + ", c2 AS (SELECT bi + 346 AS i, bj - 112 AS j, sum(obs_count) AS n FROM cnt GROUP BY 1, 2), sens AS (SELECT s.i, s.j, s.element, s.is_roi, coalesce(n / (n + 25.0), 0) AS a FROM state_vector s LEFT JOIN c2 ON s.i = c2.i AND s.j = c2.j)"
 _PT = f"pt AS (SELECT {_I} AS i, {_J} AS j, lon, lat FROM point_sources WHERE lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat) AND lon <> -9999 AND lat <> -9999), ptc AS (SELECT i, j FROM pt WHERE abs(lon - (-108.0 + i * 0.3125)) < 0.5 AND abs(lat - (28.0 + j * 0.25)) < 0.5)"
@@ -71,6 +68,11 @@ _USABLE = "value IS NOT NULL AND NOT isnan(value) AND value > 0 AND value < 1e20
 
 _NEAREST = "CASE WHEN {0} > 1.5 THEN 'ppt' WHEN {0} > -1.5 THEN 'ppb' WHEN {0} > -5 THEN 'ppm' WHEN {0} > -8 THEN 'percent' ELSE 'mol/mol' END"
 _FILE_UNITS = f"fu AS (SELECT file_name, median(CASE WHEN {_USABLE} THEN log10(value) END) - 3.267 AS vm, median(CASE WHEN ch4 > 0 AND NOT isnan(ch4) THEN log10(ch4) END) - 3.267 AS cm FROM obspack GROUP BY file_name)"
+_PPB = "{0} * CASE {1} WHEN 'ppt' THEN 1e-3 WHEN 'ppb' THEN 1.0 WHEN 'ppm' THEN 1e3 WHEN 'percent' THEN 1e7 ELSE 1e9 END"
+_READ = f"""{_FILE_UNITS}, ro AS (SELECT row_id, obspack_id, time, utc_conv, obs_flag, latitude, split_part(obspack_id, '~', 2) AS dataset, split_part(split_part(obspack_id, '~', 2), '_', 2) AS site,
+  CASE WHEN {_USABLE} THEN {_PPB.format("value", "(" + _NEAREST.format("vm") + ")")} END AS p, CASE WHEN NOT isnan(ch4) AND ch4 > 0 THEN {_PPB.format("ch4", "(" + _NEAREST.format("cm") + ")")} END AS c FROM obspack LEFT JOIN fu USING (file_name)),
+rd AS (SELECT * EXCLUDE (p, c), CASE WHEN p BETWEEN 500 AND 5000 THEN p END AS ppb, CASE WHEN c BETWEEN 500 AND 5000 THEN c END AS ch4_ppb FROM ro)"""
+_DAYS = _READ + ", sd AS (SELECT site, CAST(floor(epoch(time) / 86400) AS BIGINT) AS day, avg(ppb) AS ppb FROM rd WHERE ppb IS NOT NULL GROUP BY 1, 2)"
 _PER = r"\s*(/|per|an?)?\s*"
 _RATE_OF = (
     "CASE WHEN regexp_matches(lower({0}), '(^|[^a-z])(kt|gg|kilotonnes?)" + _PER + "(y|yr|year|a|annum)([^a-z]|$)') THEN 'kt/yr' "
@@ -92,7 +94,8 @@ _POSITION = f"""raw AS (SELECT plume_id, trim(geometry) AS g, lon, lat, regexp_m
  ab AS (SELECT plume_id, lon, lat, CASE WHEN w THEN {_hex_double(11)} ELSE try_cast(regexp_extract(g, '({_NUM})[ ,]+({_NUM})[^0-9.]', 1) AS DOUBLE) END AS a,
   CASE WHEN w THEN {_hex_double(27)} ELSE try_cast(regexp_extract(g, '({_NUM})[ ,]+({_NUM})[^0-9.]', 2) AS DOUBLE) END AS b FROM raw),
  both_ AS (SELECT plume_id, coalesce(a, CASE WHEN NOT isnan(lon) AND lon <> -9999 AND NOT isnan(lat) AND lat <> -9999 THEN lon END) AS a, coalesce(b, CASE WHEN NOT isnan(lon) AND lon <> -9999 AND NOT isnan(lat) AND lat <> -9999 THEN lat END) AS b FROM ab),
- pos AS (SELECT plume_id, CASE WHEN abs(b) <= 90 THEN a ELSE b END AS lon, CASE WHEN abs(b) <= 90 THEN b ELSE a END AS lat FROM both_ WHERE a IS NOT NULL AND b IS NOT NULL)"""
+ turned AS (SELECT plume_id, CASE WHEN abs(b) <= 90 THEN a ELSE b END AS lon, CASE WHEN abs(b) <= 90 THEN b ELSE a END AS lat FROM both_ WHERE a IS NOT NULL AND b IS NOT NULL),
+ pos AS (SELECT plume_id, lon - 360 * CAST(round(lon / 360) AS INT) AS lon, lat FROM turned)"""
 
 ORACLE_SQL: dict[str, str] = {
     "p5_found": f"""WITH u AS (SELECT DISTINCT split_part(split_part(obspack_id, '~', 2), '_', 2) AS site, CAST(floor(epoch(time) / 3600) AS BIGINT) AS h FROM obspack

@@ -26,7 +26,7 @@ def wkb(x, y):
     [
         ("POINT (-64.14792 9.13605)", (-64.14792, 9.13605)), ("SRID=4326;POINT(179.22729 -17.05338)", (179.22729, -17.05338)), ("POINT Z (139.44481 -35.01045 2.6)", (139.44481, -35.01045)),
         ("point(   0.140900   69.297530 )", (0.1409, 69.29753)), ('{"type": "Point", "coordinates": [-0.01845, -54.4705]}', (-0.01845, -54.4705)), (wkb(-103.5, 32.25), (-103.5, 32.25)), (wkb(0.0, -0.1), (0.0, -0.1)),
-        ("POINT (35.60606 -97.32821)", (-97.32821, 35.60606)), ("POINT EMPTY", None), ("LINESTRING (0 0, 1 1)", None), ("POINT (200 300)", None), ("", None), (None, None),
+        ("POINT (35.60606 -97.32821)", (-97.32821, 35.60606)), ("POINT (250.5 31.25)", (-109.5, 31.25)), ("POINT (-17.5 182.25)", (-177.75, -17.5)), ("POINT (-270 10)", (90.0, 10.0)), ("POINT EMPTY", None), ("LINESTRING (0 0, 1 1)", None), ("POINT (200 300)", None), ("", None), (None, None),
     ],
 )
 def test_points(spark, text, want):
@@ -69,6 +69,27 @@ def test_regions_with_holes_and_parts(spark):
     assert {tuple(r) for r in got.collect()} == {(1, 1), (3, 1), (4, 2), (5, 2)}
 
 
+def test_longitudes_above_180_meet_regions_and_sources(spark):
+    plumes = spark.createDataFrame([(1, "POINT (251.0 31.0)", None, None), (2, None, 251.0, 31.0), (3, "POINT (31.0 251.0)", None, None), (4, "POINT (-109.0 31.0)", None, None), (5, None, None, None)], "plume_id long, geometry string, lon double, lat double")
+    sources = spark.createDataFrame([(7, -109.0, 31.001)], "source_id long, lon double, lat double")
+    regions = spark.createDataFrame([(9, "POLYGON ((-110 30, -108 30, -108 32, -110 32, -110 30))")], "roi_id long, wkt string")
+    got = {tuple(r) for r in nearby.places_found(plumes, sources, regions).collect()}
+    assert got == {(kind, k, place) for k in (1, 2, 3, 4) for kind, place in (("near", 7), ("inside", 9))}
+
+
+def test_large_region_keeps_its_shape_in_every_cell(spark):
+    rng = np.random.default_rng(2)
+    ring = [(float(30 * math.cos(a) * r), float(30 * math.sin(a) * r)) for a, r in zip(np.linspace(0, 2 * math.pi, 200, endpoint=False), rng.uniform(0.4, 1.0, 200))]
+    wkt = "POLYGON ((" + ", ".join(f"{x!r} {y!r}" for x, y in [*ring, ring[0]]) + "))"
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-32, 32, (500, 2)))]
+    want = set()
+    for k, x, y in points:
+        cross = sum((b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for (a, b), (c, d) in zip(ring, [*ring[1:], ring[0]]))
+        want |= {k} if cross % 2 else set()
+    got = nearby.containing_regions(spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame([(1, wkt)], "place_id long, wkt string"))
+    assert {r["id"] for r in got.collect()} == want and len(want) > 50
+
+
 def test_touched_cells_cover_the_circle(spark):
     grid = geo.RadiusGrid(2500)
     rng = np.random.default_rng(1)
