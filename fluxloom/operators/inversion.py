@@ -127,6 +127,8 @@ def lognormal(
         z = z + step
         if moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"the lognormal solution has not settled after {max_rounds} rounds")
     h = gamma * d[:, None] * g * d[None, :]
     s_post = np.linalg.inv(h + np.diag(1 / plain))
     x = np.r_[np.exp(z[:m]) * np.exp(np.diag(s_post)[:m] / 2) * prior_scale, z[m:]]

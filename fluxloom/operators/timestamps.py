@@ -7,14 +7,12 @@ back), none means it does not exist (clocks set forward).
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxloom.functions.let import let
-from fluxloom.session import broadcast_if_small
+from fluxloom.session import broadcast_if_small, cut
 
 # Offsets in minutes of zone abbreviations.
 ABBREVIATIONS = {
@@ -110,31 +108,37 @@ def source_clocks(sources: DataFrame) -> DataFrame:
     )
 
 
-def zone_segments(zones: DataFrame, first: int, last: int, step_min: int = 30) -> DataFrame:
-    """Elementary segments of local time per zone: zone, day, from_s, to_s, offsets (minutes; two, one or none).
+def zone_segments(wanted: DataFrame, step_min: int = 30) -> DataFrame:
+    """Elementary segments of local time: zone, day, from_s, to_s, offsets (minutes; two, one or none), held.
 
-    The offset intervals of a zone come from Spark's own zone rules, sampled every ``step_min`` minutes over the
-    years ``first`` to ``last`` of the zones in use; on the local axis consecutive intervals
-    overlap or leave a gap, and cutting at all their ends gives segments that one, two or no intervals cover. Each is
-    exploded to the local days it touches, so the as-of join is an equi join on zone and day. Size: zones x days.
+    ``wanted`` has zone and year, the local years that are asked for. The offset intervals of a zone come from Spark's
+    own zone rules, sampled every ``step_min`` minutes over each wanted year and two days on both sides; on the local
+    axis consecutive intervals overlap or leave a gap, and cutting at all their ends gives segments that one, two or no
+    intervals cover. Each is exploded to the local days it touches, so the as-of join is an equi join on zone and day.
+    Size: wanted years x days; every year is worked out on its own, so one stray far year costs one year.
     """
-    start, stop = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (first, last + 1))
-    ticks = zones.select("zone", F.explode(F.sequence(F.lit(start), F.lit(stop), F.lit(step_min * 60))).alias("utc"))
+    margin = 2 * 86400
+    first = F.unix_date(F.make_date("year", F.lit(1), F.lit(1))).cast("bigint") * 86400
+    last = F.unix_date(F.make_date(F.col("year") + 1, F.lit(1), F.lit(1))).cast("bigint") * 86400
+    known = wanted.where(F.col("zone").isNotNull() & F.col("year").between(1, 9998)).select("zone", "year").distinct()
+    ticks = known.select("zone", "year", F.explode(F.sequence(first - margin, last + margin, F.lit(step_min * 60).cast("bigint"))).alias("utc"))
     local = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds("utc"), F.col("zone")))
     ticks = ticks.withColumn("off", ((local - F.col("utc")) / 60).cast("int"))
-    order = W.partitionBy("zone").orderBy("utc")
+    per = ["zone", "year"]
+    order = W.partitionBy(*per).orderBy("utc")
     starts = ticks.withColumn("before", F.lag("off").over(order)).where(F.col("before").isNull() | (F.col("before") != F.col("off")))
-    spans = starts.select("zone", "off", F.col("utc").alias("from_utc"), F.coalesce(F.lead("utc").over(order), F.lit(1 << 40)).alias("to_utc"), "before")
-    spans = spans.select("zone", "off", (F.col("from_utc") + F.col("off") * 60).alias("a"), (F.col("to_utc") + F.col("off") * 60).alias("b"))
-    cuts = spans.select("zone", F.explode(F.array("a", "b")).alias("from_s")).distinct()
-    segments = cuts.withColumn("to_s", F.lead("from_s").over(W.partitionBy("zone").orderBy("from_s"))).where(F.col("to_s").isNotNull())
-    covered = segments.alias("s").join(spans.alias("i"), (F.col("s.zone") == F.col("i.zone")) & (F.col("i.a") <= F.col("s.from_s")) & (F.col("i.b") >= F.col("s.to_s")), "left")
-    grouped = covered.groupBy("s.zone", "s.from_s", "s.to_s").agg(F.sort_array(F.collect_list("i.off"), asc=False).alias("offsets"))
+    spans = starts.select(*per, "off", F.col("utc").alias("from_utc"), F.coalesce(F.lead("utc").over(order), last + margin).alias("to_utc"))
+    spans = spans.select(*per, "off", (F.col("from_utc") + F.col("off") * 60).alias("a"), (F.col("to_utc") + F.col("off") * 60).alias("b"))
+    cuts = spans.select(*per, F.explode(F.array("a", "b")).alias("from_s")).distinct()
+    along = W.partitionBy(*per).orderBy("from_s")
+    segments = cuts.withColumn("to_s", F.lead("from_s").over(along)).where(F.col("to_s").isNotNull())
+    covers = (F.col("s.zone") == F.col("i.zone")) & (F.col("s.year") == F.col("i.year")) & (F.col("i.a") <= F.col("s.from_s")) & (F.col("i.b") >= F.col("s.to_s"))
+    grouped = segments.alias("s").join(spans.alias("i"), covers, "left").groupBy("s.zone", "s.year", "s.from_s", "s.to_s").agg(F.sort_array(F.collect_list("i.off"), asc=False).alias("offsets"))
     # a gap takes the offset that held before it
-    before = F.last(F.when(F.size("offsets") > 0, F.element_at("offsets", -1)), ignorenulls=True).over(W.partitionBy("zone").orderBy("from_s"))
-    grouped = grouped.withColumn("held", before)
-    days = F.sequence(F.floor(F.greatest(F.col("from_s"), F.lit(start)) / 86400).cast("int"), F.floor(F.least(F.col("to_s") - 1, F.lit(stop)) / 86400).cast("int"))
-    return grouped.where((F.col("to_s") > start) & (F.col("from_s") < stop)).select("zone", F.explode(days).alias("day"), "from_s", "to_s", "offsets", "held")
+    grouped = grouped.withColumn("held", F.last(F.when(F.size("offsets") > 0, F.element_at("offsets", -1)), ignorenulls=True).over(along))
+    a, b = F.greatest(F.col("from_s"), first), F.least(F.col("to_s"), last)
+    days = F.sequence(F.floor(a / 86400).cast("int"), F.floor((b - 1) / 86400).cast("int"))
+    return grouped.where(a < b).select("zone", F.explode(days).alias("day"), "from_s", "to_s", "offsets", "held")
 
 
 def _stamp(time: Column, date: Column, month_first: Column) -> Column:
@@ -156,14 +160,14 @@ def _stamp(time: Column, date: Column, month_first: Column) -> Column:
     return let(F.struct(*[_part(time, _STAMP, k).alias(n) for k, n in enumerate(("day", "clock", "half", "zone"), 1)]), fields)
 
 
-def normalise_times(df: DataFrame, key: str, clocks: DataFrame, seen: str = "ingested_at", keep: tuple[str, ...] = ()) -> DataFrame:
+def normalise_times(df: DataFrame, key: str, clocks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``instant`` (whole seconds since 1970, UTC) and ``status`` of every row with a non-null ``time``.
 
     ``df`` has ``time``, ``date`` and ``datasource`` (text) beside ``key``. A time of day belongs to ``date`` on the
     datasource's clock; fractions are cut, absent seconds are 0. status: ``given`` (epoch or explicit offset), ``ok``
     (one offset), ``ambiguous`` (the earlier instant is taken), ``nonexistent`` (read with the offset before the gap),
-    ``unreadable`` (instant NULL). The years of the zone table come from ``seen``; the columns in
-    ``keep`` are passed through. Empty input gives no rows.
+    ``unreadable`` (instant NULL). The zone table covers exactly the zones and years that occur in the local times; the
+    columns in ``keep`` are passed through. Empty input gives no rows.
     """
     passed = F.struct(*keep) if keep else F.lit(None)
     rows = df.select(key, "time", "date", "datasource", passed.alias("_kept")).where(F.col("time").isNotNull())
@@ -174,8 +178,8 @@ def normalise_times(df: DataFrame, key: str, clocks: DataFrame, seen: str = "ing
     epoch = F.when(t.rlike(r"^\d{9,10}(\.\d+)?$"), t.try_cast("double")).when(t.rlike(r"^\d{13}$"), F.floor(t.try_cast("double") / 1000))
     parsed = rows.select(key, "zone", F.floor(epoch).cast("bigint").alias("epoch"), F.col("at.local").alias("local"), F.col("at.given").alias("given"), "_kept")
     parsed = parsed.withColumn("day", F.floor(F.col("local") / 86400).cast("int"))
-    years = df.agg(F.year(F.min(seen)).alias("a"), F.year(F.max(seen)).alias("b")).first()
-    segments = zone_segments(clocks.select("zone").distinct(), (years["a"] or 1970) - 1, (years["b"] or 1970) + 1)
+    on_clock = parsed.where(F.col("epoch").isNull() & F.col("given").isNull() & F.col("local").isNotNull())
+    segments = cut(zone_segments(on_clock.select("zone", F.year(F.date_from_unix_date("day")).alias("year"))))
     hit = parsed.alias("p").join(
         broadcast_if_small(segments).alias("g"),
         (F.col("p.zone") == F.col("g.zone")) & (F.col("p.day") == F.col("g.day")) & (F.col("p.local") >= F.col("g.from_s")) & (F.col("p.local") < F.col("g.to_s")),

@@ -14,7 +14,7 @@ from fluxloom.functions.geo import position
 from fluxloom.operators import bias, emissions, inversion, kalman, model, preview, report, soundings, statevector, units
 from fluxloom.operators.grid import GRID, dilate
 from fluxloom.session import ensure_checkpoint_dir
-from fluxloom.sources.tables import dataset_of, finite, site_of, table, usable
+from fluxloom.sources.tables import dataset_of, finite, site_of, table
 from fluxloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,10 +92,10 @@ def model_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, d: str) -> DataFrame:
-    """Station readings on the ppb scale as delivered (values of other scales are left to the unit operators)."""
-    o = table(spark, d, "obspack")
-    near = lambda c: F.when(usable(c) & c.between(500, 5000), c)
-    return o.select("row_id", "obspack_id", "time", "utc_conv", "obs_flag", "latitude", dataset_of(F.col("obspack_id")).alias("dataset"), site_of(F.col("obspack_id")).alias("site"), near(F.col("value")).alias("ppb"), near(F.col("ch4")).alias("ch4_ppb"))
+    """Station readings in ppb, whatever unit they came in; what is not a possible mole fraction (500-5000 ppb) is NULL."""
+    o = units.with_ppb(table(spark, d, "obspack").select("row_id", "obspack_id", "time", "utc_conv", "obs_flag", "latitude", "file_name", "value", "value_unit", "ch4"))
+    possible = lambda c: F.when(F.col(c).between(500, 5000), F.col(c)).alias(c)
+    return o.select("row_id", "obspack_id", "time", "utc_conv", "obs_flag", "latitude", dataset_of(F.col("obspack_id")).alias("dataset"), site_of(F.col("obspack_id")).alias("site"), possible("ppb"), possible("ch4_ppb"))
 
 
 # --- files and screening -----------------------------------------------------------------------

@@ -87,6 +87,12 @@ def test_offsets(spark, text, minutes):
     assert spark.range(1).select(ts.offset_minutes(F.lit(text).cast("string")).alias("x")).first()["x"] == minutes
 
 
+def test_years_come_from_the_local_times(spark):
+    # read years after it was written: the zone table must not follow the time of ingestion
+    got = run(spark, [("2019-07-01 10:00:00", None, "D"), ("1955-07-01 10:00:00", None, "U"), ("9999-12-31 10:00:00", None, "D")])
+    assert got[0] == (utc(2019, 7, 1, 16), "ok") and got[1] == (utc(1955, 7, 1, 10), "ok") and got[2][1] in ("ok", "unreadable")
+
+
 def test_found_leaves_plain_forms_and_empty(spark):
     plumes = spark.createDataFrame([(1, "2009-03-01T02:03:26Z", None, "U", None, "", ""), (2, "2009-03-01T02:03Z", None, "U", datetime(2009, 4, 1), "", ""), (3, None, None, None, None, None, None)], SCHEMA)
     obs = spark.createDataFrame([(1, "-6.0"), (2, "14"), (3, "15"), (4, None), (5, "+3"), (6, "-0.0")], "row_id long, utc_conv string")
