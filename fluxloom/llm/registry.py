@@ -30,7 +30,8 @@ def p3_new_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id").distinct()
+    index = leakage.PostingIndex(spark, f"{ensure_checkpoint_dir(spark)}/postings-{uuid4().hex}").add(table(spark, d, "documents"))
+    return leakage.leaked_items(index, table(spark, d, "eval_items")).select("item_id", "doc_id").distinct()
 
 
 #: Windows of the packing queries, in tokens.

@@ -23,7 +23,11 @@ _MARKED, _PLAIN = _folding()
 
 
 def folded(text: Column) -> Column:
-    """Lower case without accents, soft hyphens and invisible marks."""
+    """Lower case without accents, soft hyphens and invisible marks; plain ASCII needs no more than lower case."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(_folded(text))
+
+
+def _folded(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), r"[\p{M}­​-‍⁠﻿]", "")
     out = F.translate(out, _MARKED, _PLAIN)
     return F.replace(F.replace(F.replace(out, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))

@@ -42,23 +42,49 @@ def build(spark):
     )
 
 
-def test_exact_and_near_passages(spark):
+def leaked(spark, folder, items, *batches):
+    index = leakage.PostingIndex(spark, str(folder / "postings"))
+    for docs in batches:
+        index.add(docs)
+    return [(r["item_id"], r["doc_id"]) for r in leakage.leaked_items(index, items).collect()]
+
+
+def test_exact_and_near_passages(spark, tmp_path):
     docs, items, want = build(spark)
-    got = [(r["item_id"], r["doc_id"]) for r in leakage.leaked_items(docs, items).collect()]
+    got = leaked(spark, tmp_path, items, docs)
     assert set(got) == want and len(got) == len(set(got))
 
 
-def test_without_broadcast_and_with_repeats(spark, monkeypatch):
+def test_index_grows_by_segments(spark, tmp_path):
+    docs, items, want = build(spark)
+    got = leaked(spark, tmp_path, items, docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 > 0"))
+    assert set(got) == want and len(got) == len(set(got))
+
+
+def test_without_broadcast_and_with_repeats(spark, tmp_path, monkeypatch):
     docs, items, want = build(spark)
     monkeypatch.setattr(leakage, "broadcast_if_small", lambda df, *a: df)
-    got = {(r["item_id"], r["doc_id"]) for r in leakage.leaked_items(docs.union(docs), items).collect()}
-    assert got == want
+    got = leaked(spark, tmp_path, items, docs.union(docs))
+    assert set(got) == want and len(got) == len(set(got))
+
+
+def test_every_seventh_word_wrong_is_found(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    items = {k: [f"u{x}" for x in rng.integers(0, 5000, 30)] for k in range(120)}
+    docs = []
+    for k, w in items.items():
+        bad = rng.choice(30, 4, replace=False)
+        kept = [("zz" if k % 2 else None) if n in bad else x for n, x in enumerate(w)]
+        docs.append((k, "before " + " ".join(x for x in kept if x) + " after", "", 0))
+        docs.append((1000 + k, " ".join(x if n % 3 else "zz" for n, x in enumerate(w)), "", 0))
+    got = set(leaked(spark, tmp_path, spark.createDataFrame([(k, " ".join(w), "") for k, w in items.items()], ITEMS), spark.createDataFrame(docs, DOCS)))
+    assert got == {(k, k) for k in items}
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, tmp_path):
     docs, items, _ = build(spark)
-    assert leakage.leaked_items(docs.limit(0), items).count() == 0
-    assert leakage.leaked_items(docs, items.limit(0)).count() == 0
+    assert leaked(spark, tmp_path / "a", items, docs.limit(0)) == []
+    assert leaked(spark, tmp_path / "b", items.limit(0), docs) == []
 
 
 def test_words_fold_case_accents_and_marks(spark):
