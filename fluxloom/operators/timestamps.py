@@ -177,9 +177,10 @@ def normalise_times(df: DataFrame, key: str, clocks: DataFrame, keep: tuple[str,
     t = F.col("time")
     epoch = F.when(t.rlike(r"^\d{9,10}(\.\d+)?$"), t.try_cast("double")).when(t.rlike(r"^\d{13}$"), F.floor(t.try_cast("double") / 1000))
     parsed = rows.select(key, "zone", F.floor(epoch).cast("bigint").alias("epoch"), F.col("at.local").alias("local"), F.col("at.given").alias("given"), "_kept")
-    parsed = parsed.withColumn("day", F.floor(F.col("local") / 86400).cast("int"))
+    # written once: the years that occur are read off it before the join
+    parsed = cut(parsed.withColumn("day", F.floor(F.col("local") / 86400).cast("int")))
     on_clock = parsed.where(F.col("epoch").isNull() & F.col("given").isNull() & F.col("local").isNotNull())
-    segments = cut(zone_segments(on_clock.select("zone", F.year(F.date_from_unix_date("day")).alias("year"))))
+    segments = cut(zone_segments(cut(on_clock.select("zone", F.year(F.date_from_unix_date("day")).alias("year")).distinct())))
     hit = parsed.alias("p").join(
         broadcast_if_small(segments).alias("g"),
         (F.col("p.zone") == F.col("g.zone")) & (F.col("p.day") == F.col("g.day")) & (F.col("p.local") >= F.col("g.from_s")) & (F.col("p.local") < F.col("g.to_s")),
