@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxloom.functions.geo import EARTH_M, RadiusGrid, great_circle_m, position
@@ -22,6 +23,10 @@ from fluxloom.session import cut
 
 #: Rate bin of a tile whose records have no rate.
 UNKNOWN_RATE = -(10**6)
+#: Stored vectors and links of tiles.
+TILE = "struct<r: long, c: long, s: long, q: long>"
+VECTOR = f"id long, batch int, lon double, lat double, t long, rate double, row long, col long, slot long, tile {TILE}"
+LINK = f"x {TILE}, y {TILE}, ky struct<batch: int, id: long>"
 
 
 @dataclass(frozen=True)
@@ -58,9 +63,10 @@ def to_cells(records: DataFrame, tol: Tolerance) -> DataFrame:
     fcol = F.floor((F.col("lon") + 180) * F.cos(F.radians(inner)) / fine)
     pace = -math.log(1 - tol.rate_share)
     bin_ = F.when(F.col("rate").isNull(), F.lit(UNKNOWN_RATE)).otherwise(F.floor(F.log("rate") / pace))
-    tile = F.struct(frow.alias("r"), fcol.alias("c"), F.floor(F.col("t") / tol.seconds).alias("s"), bin_.alias("q"))
+    tile = F.struct(frow.alias("r"), fcol.alias("c"), F.floor(F.col("t") / tol.seconds).alias("s"), bin_.cast("long").alias("q"))
     ok = records.where(F.col("lon").isNotNull() & F.col("lat").isNotNull() & F.col("t").isNotNull())
     ok = ok.withColumn("rate", F.when(F.col("rate") > 0, F.col("rate")))
+    ok = ok.select(*[F.col(n).cast(k) for n, k in (("id", "long"), ("batch", "int"), ("lon", "double"), ("lat", "double"), ("t", "long"), ("rate", "double"))])
     row = grid.row(F.col("lat"))
     return ok.select(
         "id", "batch", "lon", "lat", "t", "rate", row.alias("row"), grid.column(F.col("lon"), row).alias("col"), F.floor(F.col("t") / tol.cell_s).alias("slot"), tile.alias("tile")
@@ -75,10 +81,9 @@ def probes(entries: DataFrame, tol: Tolerance) -> DataFrame:
 
 
 def _heads(entries: DataFrame) -> DataFrame:
-    """The first record of every tile (ordered by batch, then id), the number of records in it and their extents."""
+    """The first record of every tile (ordered by batch, then id)."""
     first = F.min_by(F.struct("id", "batch", "lon", "lat", "t", "rate", "row", "col", "slot"), F.struct("batch", "id")).alias("f")
-    extents = [g(c).alias(f"{c}_{n}") for c in ("lat", "t") for g, n in ((F.min, "lo"), (F.max, "hi"))]
-    return entries.groupBy("tile").agg(first, F.count("*").alias("n"), *extents).select("tile", "f.*", "n", *[f"{c}_{n}" for c in ("lat", "t") for n in ("lo", "hi")])
+    return entries.groupBy("tile").agg(first).select("tile", "f.*")
 
 
 def _in_reach(a: str, b: str) -> Column:
@@ -89,14 +94,15 @@ def _rated(tile: Column) -> Column:
     return tile["q"] > UNKNOWN_RATE
 
 
-def _tile_pairs(entries: DataFrame, heads: DataFrame, tol: Tolerance) -> DataFrame:
-    """Pairs of tiles (x, y), in both orders, that a record of one and the first record of the other tie together; ky is
-    the earliest record of y that does so."""
-    hits = probes(entries, tol).alias("m").join(heads.alias("h"), _in_reach("m", "h") & (F.col("m.tile") != F.col("h.tile")) & same("m", "h", tol))
+def _hits(probing: DataFrame, held: DataFrame, tol: Tolerance) -> DataFrame:
+    """Pairs of tiles (x, y), in both orders, of a record of ``probing`` and one of ``held`` in another tile that match.
+
+    ``probing`` has its cells in reach (prow, pcol, pslot) and ``asks``, the ``kind`` of held record it is compared with.
+    """
+    hits = probing.alias("m").join(held.alias("h"), _in_reach("m", "h") & (F.col("m.asks") == F.col("h.kind")) & (F.col("m.tile") != F.col("h.tile")) & same("m", "h", tol))
     key = lambda s: F.struct(F.col(f"{s}.batch"), F.col(f"{s}.id"))
     pairs = hits.select(F.col("m.tile").alias("x"), F.col("h.tile").alias("y"), key("m").alias("kx"), key("h").alias("ky"))
-    pairs = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("ky").alias("kx"), F.col("kx").alias("ky")))
-    return pairs.groupBy("x", "y").agg(F.min("ky").alias("ky"))
+    return pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("ky").alias("kx"), F.col("kx").alias("ky")))
 
 
 def _even(pairs: DataFrame) -> DataFrame:
@@ -118,11 +124,12 @@ def _late_pairs(entries: DataFrame, heads: DataFrame, classes: DataFrame, first:
 
     Only tiles of two or more records whose extents can be in reach of each other are opened: both with rates or both
     without if their ``classes`` (node, label) differ; a tile without rates with a rated one if that begins before the
-    record that the former is tied to (``first``: x, ky).
+    record that the former is tied to (``first``: x, ky). Copies of a vector count once in an opened tile.
     """
     reach = tol.metres + 2 * tol.metres * math.sqrt(2) / 1.45  # two members in reach, each within its tile's diagonal of the head
     wide = replace(tol, metres=reach, seconds=tol.seconds * 3)
-    crowd = heads.where(F.col("n") > 1).join(classes, heads.tile == classes.node, "left").join(first.select("x", F.col("ky").alias("tied")), F.col("tile") == F.col("x"), "left")
+    extents = entries.groupBy("tile").agg(F.count("*").alias("n"), *[g(c).alias(f"{c}_{n}") for c in ("lat", "t") for g, n in ((F.min, "lo"), (F.max, "hi"))]).where(F.col("n") > 1)
+    crowd = heads.join(extents, "tile").join(classes, heads.tile == classes.node, "left").join(first.select("x", F.col("ky").alias("tied")), F.col("tile") == F.col("x"), "left")
     crowd = crowd.withColumn("class", F.coalesce("label", "tile")).withColumn("key", F.struct("batch", "id"))
     crowd = crowd.select("tile", "class", "key", "tied", "lon", "lat", "t", "row", "col", "slot", "lat_lo", "lat_hi", "t_lo", "t_hi")
     a, b = probes(crowd, wide).alias("m"), crowd.alias("h")
@@ -133,57 +140,114 @@ def _late_pairs(entries: DataFrame, heads: DataFrame, classes: DataFrame, first:
     even = like & (F.col("m.tile") < F.col("h.tile")) & (F.col("m.class") != F.col("h.class"))
     mixed = ~_rated(F.col("m.tile")) & _rated(F.col("h.tile")) & (F.col("m.tied").isNull() | (F.col("h.key") < F.col("m.tied")))
     open_ = a.join(b, _in_reach("m", "h") & near & (even | mixed)).select(F.col("m.tile").alias("x"), F.col("h.tile").alias("y")).distinct()
-    left = entries.select(F.col("tile").alias("x"), F.struct("lon", "lat", "t", "rate").alias("m"))
-    right = entries.select(F.col("tile").alias("y"), F.struct("lon", "lat", "t", "rate").alias("h"), F.struct("batch", "id").alias("ky"))
+    vectors = entries.groupBy("tile", F.struct("lon", "lat", "t", "rate").alias("v")).agg(F.min(F.struct("batch", "id")).alias("k"))
+    left = vectors.select(F.col("tile").alias("x"), F.col("v").alias("m"))
+    right = vectors.select(F.col("tile").alias("y"), F.col("v").alias("h"), F.col("k").alias("ky"))
     return open_.join(left, "x").join(right, "y").where(same("m", "h", tol)).groupBy("x", "y").agg(F.min("ky").alias("ky"))
 
 
-def find_duplicates(records: DataFrame, tol: Tolerance = Tolerance()) -> DataFrame:
-    """id, kept_id of every record that repeats an earlier one (lower batch, or same batch and lower id).
+class CellIndex:
+    """Accepted records persisted as full vectors in the cells of an inverted file, with the links found between them.
 
-    ``records``: id (unique), batch, lon, lat, t (seconds), rate (NULL when unknown). kept_id is the first record of
-    the class that the duplicates form. Work stays linear in crowded cells: a record is compared with the first record
-    of each tile in reach, not with every record; pairs of tiles that only later members could link (of different
-    classes, or one without rates) are then opened and compared member by member. Exact copies share a tile; ties in batch are ordered by id.
-    Records without position or time repeat nothing. An empty table gives no rows.
+    ``path`` holds three append-only tables, partitioned by era (``era_days`` days), so a batch reads and writes the
+    eras it reaches: ``cells`` (vectors by cell and tile), ``heads`` (the first record of every tile) and ``links``
+    (pairs of tiles that a record of one and the head of the other tie together).
     """
-    entries = cut(to_cells(records, tol))
-    heads = cut(_heads(entries))
-    pairs = cut(_tile_pairs(entries, heads, tol))
-    classes = connected_classes(_even(pairs))
-    late = cut(_late_pairs(entries, heads, classes, _mixed(pairs), tol))
-    base = cut(heads.join(classes, heads.tile == classes.node, "left").select("tile", "id", "batch", F.coalesce("label", "tile").alias("base")))
-    # what joins classes: links of later members, and of tiles without rates to their rated one
-    more = _even(late).unionByName(_mixed(pairs.unionByName(late)).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    ends = lambda c: base.select(F.col("tile").alias(c), F.col("base").alias(f"{c}_base"))
-    joined = connected_classes(more.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_base").alias("a"), F.col("b_base").alias("b")))
-    tiles = base.join(joined, base.base == joined.node, "left").select("tile", "id", "batch", F.coalesce("label", "base").alias("class"))
-    firsts = tiles.groupBy("class").agg(F.min(F.struct("batch", "id")).alias("k")).select("class", F.col("k.id").alias("kept_id"))
-    kept = tiles.join(firsts, "class").select("tile", "kept_id")
-    return entries.join(kept, "tile").where(F.col("id") != F.col("kept_id")).select("kept_id", "id")
 
-
-class CellIndex:
-    """Accepted records persisted in cells, so a new batch reads only the days and cells that it can reach."""
-
-    def __init__(self, path: str, tol: Tolerance = Tolerance()):
-        self.path, self.tol = path, tol
-
-    def append(self, records: DataFrame) -> None:
-        """Add accepted records; the index is partitioned by day and never rewritten."""
-        entries = to_cells(records, self.tol).drop("tile").withColumn("day", F.floor(F.col("t") / 86400))
-        entries.repartition("day", "row").write.mode("append").partitionBy("day").parquet(self.path)
-
-    def matches(self, batch: DataFrame) -> DataFrame:
-        """id, kept_id (earliest accepted match) of the records of ``batch`` that repeat an accepted one."""
-        spark = batch.sparkSession
-        new = probes(to_cells(batch, self.tol).drop("tile"), self.tol)
-        new = new.withColumn("pday", F.floor(F.col("pslot") * self.tol.cell_s / 86400))
-        days = new.select(F.explode(F.array("pday", F.col("pday") + 1)).alias("day")).distinct()
-        held = spark.read.parquet(self.path).join(days, "day", "left_semi")
-        hits = new.alias("m").join(held.alias("h"), _in_reach("m", "h") & (F.col("m.id") != F.col("h.id")) & same("m", "h", self.tol))
-        best = hits.groupBy(F.col("m.id").alias("id")).agg(F.min(F.struct(F.col("h.batch"), F.col("h.id"))).alias("k"))
-        return best.select(F.col("k.id").alias("kept_id"), "id")
+    def __init__(self, spark: SparkSession, path: str, tol: Tolerance = Tolerance(), era_days: int = 10):
+        self.spark, self.path, self.tol, self.era_days, self.generation = spark, path, tol, era_days, 0
+
+    def _folder(self, name: str) -> str:
+        return f"{self.path}/{name}-{self.generation}"
+
+    def _era(self, slot: Column) -> Column:
+        return F.floor(slot * self.tol.cell_s / (self.era_days * 86400)).cast("int")
+
+    def _append(self, name: str, rows: DataFrame, mode: str = "append") -> None:
+        # a few files per era and batch, however crowded an era is
+        spread = rows.withColumn("era", self._era(F.col("slot"))).repartition("era", F.pmod(F.col("row"), F.lit(4)))
+        spread.write.mode(mode).partitionBy("era").parquet(self._folder(name))
+
+    def _held(self, name: str) -> DataFrame:
+        """The rows of a table; none before the first batch."""
+        schema = LINK if name == "links" else f"{VECTOR}, era int"
+        try:
+            return self.spark.read.schema(schema).parquet(self._folder(name))
+        except AnalysisException:  # the folder is not there yet
+            return self.spark.createDataFrame([], schema)
+
+    def accept(self, records: DataFrame) -> None:
+        """Check a batch against all accepted records and itself, keep the links found, and append it to the cells.
+
+        Every new record probes the heads in the cells that its tolerance reaches, and the heads of new tiles probe the
+        accepted vectors, so each pair of a new and an accepted record's tile is seen from one side at least. What no
+        cell in reach holds cannot match; what one holds is compared exactly.
+        """
+        wide = cut(probes(to_cells(records, self.tol), self.tol))  # every record once per cell in reach
+        vectors = [c for c in wide.columns if c not in ("prow", "pcol", "pslot")]
+        home = (F.col("prow") == F.col("row")) & (F.col("pcol") == F.col("col")) & (F.col("pslot") == F.col("slot"))
+        new = wide.where(home).select(*vectors)
+        # the numbers of the eras in reach, a handful per batch, prune the folders that are read
+        reach = [r["era"] for r in new.select(F.explode(F.array(*[self._era(F.col("slot") + k) for k in (-1, 1)])).alias("era")).distinct().collect()]
+        heads, cells = (self._held(n).where(F.col("era").isin(reach)).select(*vectors) for n in ("heads", "cells"))
+        fresh = cut(_heads(new).join(heads.select("tile"), "tile", "left_anti").select(*vectors))
+        as_ = lambda df, kind: df.withColumn("kind", F.lit(kind))
+        asking = wide.join(fresh.select("id", F.lit(True).alias("first")), "id", "left")
+        asking = asking.withColumn("asks", F.explode(F.when(F.col("first"), F.array(F.lit("head"), F.lit("cell"))).otherwise(F.array(F.lit("head")))))
+        found = _hits(asking, as_(heads, "head").unionByName(as_(fresh, "head")).unionByName(as_(cells, "cell")), self.tol)
+        found = found.groupBy("x", "y").agg(F.min("ky").alias("ky"))
+        found.write.mode("append").parquet(self._folder("links"))
+        self._append("heads", fresh)
+        self._append("cells", new)
+
+    def compact(self) -> None:
+        """Rewrite the tables into few files per era, as a new generation; readers of the old one are not disturbed."""
+        held = {n: self._held(n) for n in ("heads", "cells", "links")}
+        self.generation += 1
+        held["links"].groupBy("x", "y").agg(F.min("ky").alias("ky")).write.parquet(self._folder("links"))
+        for name in ("heads", "cells"):
+            self._append(name, held[name].drop("era"))
+
+    def repeats(self) -> DataFrame:
+        """id, batch, kept_id of every accepted record that repeats an earlier one (lower batch, or same batch and lower
+        id); kept_id is the first record of the class that the duplicates form.
+
+        The classes follow from the stored links; pairs of tiles that only later members could link (of different
+        classes, or one without rates) are then opened and compared member by member.
+        """
+        entries, heads = (self._held(n).drop("era") for n in ("cells", "heads"))
+        pairs = cut(self._held("links").groupBy("x", "y").agg(F.min("ky").alias("ky")))
+        classes = connected_classes(_even(pairs))
+        late = cut(_late_pairs(entries, heads, classes, _mixed(pairs), self.tol))
+        base = cut(heads.join(classes, heads.tile == classes.node, "left").select("tile", F.coalesce("label", "tile").alias("base")))
+        # what joins classes: links of later members, and of tiles without rates to their rated one
+        more = _even(late).unionByName(_mixed(pairs.unionByName(late)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        ends = lambda c: base.select(F.col("tile").alias(c), F.col("base").alias(f"{c}_base"))
+        joined = connected_classes(more.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_base").alias("a"), F.col("b_base").alias("b")))
+        tiles = base.join(joined, base.base == joined.node, "left").select("tile", F.coalesce("label", "base").alias("class"))
+        first = entries.groupBy("tile").agg(F.min(F.struct("batch", "id")).alias("k")).join(tiles, "tile")
+        firsts = first.groupBy("class").agg(F.min("k").alias("k")).select("class", F.col("k.id").alias("kept_id"))
+        kept = tiles.join(firsts, "class").select("tile", "kept_id")
+        return entries.join(kept, "tile").where(F.col("id") != F.col("kept_id")).select("kept_id", "id", "batch")
+
+
+def find_duplicates(records: DataFrame, path: str, tol: Tolerance = Tolerance(), by_batch: bool = True) -> DataFrame:
+    """id, batch, kept_id of the records that repeat an earlier one, through a ``CellIndex`` at ``path`` (a new folder).
+
+    ``records``: id (unique), batch, lon, lat, t (seconds), rate (NULL when unknown). The batches are accepted one
+    after the other in their order (or all at once). Work stays linear in crowded cells: a record is compared with the
+    first record of each tile in reach, not with every record. Exact copies share a tile; ties in batch are ordered by
+    id. Records without position, time or batch repeat nothing. An empty table gives no rows.
+    """
+    index = CellIndex(records.sparkSession, path, tol)
+    records = cut(records.where(F.col("batch").isNotNull()))
+    # only the numbers of the batches reach the driver
+    batches = [r["batch"] for r in records.select("batch").distinct().orderBy("batch").collect()] if by_batch else []
+    if not batches:
+        index.accept(records)
+    for b in batches:
+        index.accept(records.where(F.col("batch") == b))
+    return index.repeats()
 
 
 def plume_records(plumes: DataFrame, sources: DataFrame) -> DataFrame:

@@ -9,28 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxloom.llm import batch_dedup, leakage, packing, pii
-from fluxloom.session import ensure_checkpoint_dir
+from fluxloom.session import cut, ensure_checkpoint_dir
 from fluxloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Batch after batch through the persisted cells: probe, compare, append."""
     records = batch_dedup.plume_records(table(spark, d, "plumes"), table(spark, d, "sources"))
-    return batch_dedup.find_duplicates(records).select("kept_id", F.col("id").alias("plume_id"))
+    return batch_dedup.find_duplicates(records, _folder(spark, "cells")).select("kept_id", F.col("id").alias("plume_id"))
 
 
 def p3_new_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The last batch against the persisted cells of all earlier ones."""
-    records = batch_dedup.plume_records(table(spark, d, "plumes"), table(spark, d, "sources"))
-    last = table(spark, d, "plumes").agg(F.max("batch")).first()[0]
-    index = batch_dedup.CellIndex(f"{ensure_checkpoint_dir(spark)}/cells-{uuid4().hex}")
-    index.append(records.where(F.col("batch") < last))
-    return index.matches(records.where(F.col("batch") == last)).select("kept_id", F.col("id").alias("plume_id"))
+    """The repeats of the last batch, checked against the persisted cells of all earlier ones and itself."""
+    records = cut(batch_dedup.plume_records(table(spark, d, "plumes"), table(spark, d, "sources")))
+    last = records.agg(F.max("batch")).first()[0]
+    index = batch_dedup.CellIndex(spark, _folder(spark, "cells"))
+    index.accept(records.where(F.col("batch") < last))
+    index.compact()
+    index.accept(records.where(F.col("batch") == last))
+    return index.repeats().where(F.col("batch") == last).select("kept_id", F.col("id").alias("plume_id"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    index = leakage.PostingIndex(spark, f"{ensure_checkpoint_dir(spark)}/postings-{uuid4().hex}").add(table(spark, d, "documents"))
+    index = leakage.PostingIndex(spark, _folder(spark, "postings")).add(table(spark, d, "documents"))
     return leakage.leaked_items(index, table(spark, d, "eval_items")).select("item_id", "doc_id").distinct()
 
 

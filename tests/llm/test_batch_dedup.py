@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -48,8 +49,9 @@ def brute(data, tol=bd.Tolerance()):
     return {(min(c)[1], k) for c in classes.values() for _, k in c if k != min(c)[1]}
 
 
-def found(spark, data):
-    return {(r["kept_id"], r["id"]) for r in bd.find_duplicates(spark.createDataFrame(data, SCHEMA)).collect()}
+def found(spark, data, by_batch=False):
+    with tempfile.TemporaryDirectory() as folder:
+        return {(r["kept_id"], r["id"]) for r in bd.find_duplicates(spark.createDataFrame(data, SCHEMA), f"{folder}/index", by_batch=by_batch).collect()}
 
 
 def test_matches_brute_force(spark):
@@ -57,6 +59,7 @@ def test_matches_brute_force(spark):
     data += [(9000, 0, 179.9999, 10.0, 5000, 100.0, "", ""), (9001, 1, -179.9999, 10.0, 5100, 100.0, "", ""), (9002, 1, None, 10.0, 5100, 1.0, "", ""), (9003, 2, 179.9999, 10.0, None, 1.0, "", ""), (9004, 0, 0.0, 89.9999, 7000, None, "", ""), (9005, 0, 120.0, 89.9999, 7000, None, "", "")]
     got = found(spark, data)
     assert got == brute(data) and {(9000, 9001), (9004, 9005)} <= got and len(got) > 200
+    assert found(spark, data, by_batch=True) == got
 
 
 def test_links_between_later_members_are_kept(spark):
@@ -107,21 +110,26 @@ def test_unknown_rate_does_not_tie_two_rates(spark):
     assert found(spark, data) == {(1, 2), (3, 4)}
 
 
-def test_index_of_cells(spark, tmp_path):
-    data = rows(60, seed=4)
+def test_batches_link_across_the_index(spark):
+    # later members of a tile arrive batches after its head, and a late record joins two accepted classes
+    for rates in ((100.0, 100.0), (None, None), (None, 100.0)):
+        data = [(r[0], r[0], *r[2:]) for r in diagonal(*rates)]
+        assert found(spark, data, by_batch=True) == brute(data) == {(0, 1), (0, 2), (0, 3)}, rates
+    step = 400 / 111194.9
+    data = [(1, 0, 10.0, 20.0, 1000, 50.0, "", ""), (2, 1, 10.0, 20.0 + 2 * step, 1000, 50.0, "", ""), (3, 2, 10.0, 20.0 + step, 1000, 50.0, "", "")]
+    assert found(spark, data, by_batch=True) == brute(data) == {(1, 2), (1, 3)}
+
+
+def test_index_is_appended_and_compacted(spark, tmp_path):
+    data = rows(40, seed=4)
     df = spark.createDataFrame(data, SCHEMA)
-    index = bd.CellIndex(str(tmp_path / "cells"))
-    index.append(df.where(F.col("batch") < 3))
-    index.append(df.where(F.col("batch").between(3, 4)))
-    got = {(r["kept_id"], r["id"]) for r in index.matches(df.where(F.col("batch") == 5)).collect()}
-    want = {}
-    old = [r for r in data if r[1] < 5]
-    for r in (r for r in data if r[1] == 5):
-        near = [o for o in old if brute([o, r])]
-        if near:
-            want[r[0]] = min(near, key=lambda o: (o[1], o[0]))[0]
-    assert got == {(v, k) for k, v in want.items()}
+    index = bd.CellIndex(spark, str(tmp_path / "cells"))
+    index.accept(df.where("batch < 3"))
+    index.compact()
+    index.accept(df.where("batch between 3 and 4"))
+    index.accept(df.where("batch = 5"))
+    assert {(r["kept_id"], r["id"]) for r in index.repeats().collect()} == brute(data)
 
 
 def test_empty(spark):
-    assert bd.find_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert found(spark, []) == set()
