@@ -1,13 +1,14 @@
 """Implausible spikes in measurements (problem 1).
 
-Each dataset's series is a local-level state-space model. Time shards with a warm-up margin on both sides are filtered
-independently, forwards and backwards, by a Kalman filter; an innovation beyond the gate is flagged and its update
-withheld, and stretches whose innovations vanish are reported as stuck.
+Each dataset's series is a local-level state-space model. Shards of equal count with a warm-up margin on both sides are
+filtered independently, forwards and backwards, by a Kalman filter; an innovation beyond the gate is flagged and its
+update withheld. A second filter of unit gain (the level is the last reading) watches for innovations whose variance
+vanishes against the model's. What shards propose is judged by the scatter and the habits of the whole dataset.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators.units import obspack_file_units
 from fluxloom.functions.unit_labels import MOLE_FRACTION, factor
+from fluxloom.session import broadcast_if_small, cut
 from fluxloom.sources.tables import dataset_of, usable
 
 
@@ -65,18 +67,56 @@ def _one_sided(t: np.ndarray, v: np.ndarray, r: float, q: float, gate: float, pa
     return pred, var
 
 
-def scan_series(
-    t: np.ndarray, v: np.ndarray, *, gate: float = 5.0, times_scatter: float = 10.0, patience: int = 5, stuck_len: int = 8, stuck_band: float = 0.03, floor: float = 0.2
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(spike, stuck, standardised innovation) of one ordered series: hours ``t``, values ``v``.
+@dataclass
+class Proposal:
+    """What a series proposes, reading by reading, and what it says about its dataset's normal behaviour."""
 
-    A spike stands out from what both directions of time together expect by more than ``gate`` and from each by half of
-    that (a lasting rise is expected from one of its sides), and departs from the level between its neighbours by about ``times_scatter`` times the usual scatter.
+    z: np.ndarray  # standardised innovation
+    departure: np.ndarray  # distance from the level around, 0 where no gate was passed
+    still: np.ndarray  # part of a stretch of vanishing innovations
+    scatter: float  # usual scatter about the level
+    pairs: int  # innovations outside still stretches
+    repeats: int  # how many of these vanish too
+
+
+def _still(t: np.ndarray, v: np.ndarray, r: float, q: float, length: int, band: float) -> np.ndarray:
+    """Readings in stretches of ``length`` or more whose innovation variance vanishes.
+
+    The innovations are those of the unit-gain filter. A window of ``length`` - 1 of them vanishes when their mean
+    square lies within the band's and is a small part of what the model expects; a window is drawn out as far as all
+    its readings stay on one level.
+    """
+    n, out = len(v), np.zeros(len(v), bool)
+    if n < length:
+        return out
+    e = np.diff(v)
+    expected = 2 * r + q * np.diff(t)
+    total = lambda x: np.cumsum(np.r_[0.0, x])[length - 1 :] - np.cumsum(np.r_[0.0, x])[: -(length - 1)]
+    quiet = (total(e * e) <= (length - 1) * (band + 1e-6) ** 2) & (total(e * e / expected) <= 0.25 * (length - 1))
+    k = 0
+    for start in np.flatnonzero(quiet):
+        if start < k:
+            continue
+        lo = hi = v[start]
+        j = start + 1
+        while j < n and max(hi, v[j]) - min(lo, v[j]) <= band + 1e-6:
+            lo, hi = min(lo, v[j]), max(hi, v[j])
+            j += 1
+        if j - start >= length:
+            out[start:j] = True
+            k = j
+    return out
+
+
+def propose(t: np.ndarray, v: np.ndarray, *, gate: float = 5.0, patience: int = 5, stuck_len: int = 8, stuck_band: float = 0.03, floor: float = 0.2) -> Proposal:
+    """Proposals of one ordered series: hours ``t``, values ``v``.
+
+    A departure is proposed where a reading stands out from what both directions of time together expect by more than
+    ``gate`` and from each by half of that (a lasting rise is expected from one of its sides).
     """
     n = len(v)
-    spike, stuck, z = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n)
     if n < 4:
-        return spike, stuck, z
+        return Proposal(np.zeros(n), np.zeros(n), np.zeros(n, bool), floor, 0, 0)
     r, q = _noise(t, v, floor)
     fm, fp = _one_sided(t, v, r, q, gate, patience)
     bm, bp = (a[::-1] for a in _one_sided(-t[::-1], v[::-1], r, q, gate, patience))
@@ -88,77 +128,93 @@ def scan_series(
     candidate = (np.abs(both) > gate) & (np.abs(z) > gate / 2) & (zf * zb > 0)
     usual = _robust_sd((v - level)[~candidate]) if (~candidate).sum() >= 4 else np.sqrt(r)
     scatter = max(min(usual, 1.25 * np.sqrt(r + q)), floor)
-    spike = candidate & (np.abs(v - level) > 0.9 * times_scatter * scatter)
-    # vanishing innovation variance: maximal stretches inside a band, longer than the series' own repeats explain
-    same = np.r_[False, np.abs(np.diff(v)) <= stuck_band + 1e-6]
-    k = 0
-    while k < n:
-        lo = hi = v[k]
-        j = k + 1
-        while j < n and max(hi, v[j]) - min(lo, v[j]) <= stuck_band + 1e-6:
-            lo, hi = min(lo, v[j]), max(hi, v[j])
-            j += 1
-        if j - k >= stuck_len:
-            outside = np.r_[same[:k], same[j:]]
-            habit = (outside.sum() + 0.5) / (len(outside) + 1.0)
-            if n * habit ** (stuck_len - 1) < 0.5:
-                stuck[k:j] = True
-            k = j
-        else:
-            k += 1
-    return spike, stuck, z
+    still = _still(t, v, r, q, stuck_len, stuck_band)
+    outside = ~(still[1:] & still[:-1])
+    vanished = np.abs(np.diff(v)) <= stuck_band + 1e-6
+    return Proposal(z, np.where(candidate, np.abs(v - level), 0.0), still, scatter, int(outside.sum()), int((outside & vanished).sum()))
+
+
+#: A still stretch is believed where chance makes fewer than half a stretch in this many readings.
+HABIT_READINGS = 1500
+
+
+def habit_allows(pairs, repeats, stuck_len: int = 8):
+    """Whether a dataset's innovations vanish so seldom outside its still stretches that those are no habit of it."""
+    return ((repeats + 0.5) / (pairs + 10.0)) ** (stuck_len - 1) < 0.5 / HABIT_READINGS
+
+
+def scan_series(t: np.ndarray, v: np.ndarray, times_scatter: float = 10.0, **limits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(spike, stuck, standardised innovation) of a series that is a whole dataset."""
+    p = propose(t, v, **limits)
+    return p.departure > 0.9 * times_scatter * p.scatter, p.still & habit_allows(p.pairs, p.repeats), p.z
+
+
+_PROPOSED = "dataset string, obspack_id string, z double, departure double, still boolean, scatter double, pairs long, repeats long, n long"
 
 
 def _scan_shards(**limits: float):
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        ok = batch[batch["ppb"].notna()].sort_values(["time_h", "obspack_id"], kind="stable")
-        one = ok.drop_duplicates("obspack_id")
-        spike, stuck, z = scan_series(one["time_h"].to_numpy(), one["ppb"].to_numpy(), **limits)
-        marks = pd.DataFrame({"obspack_id": one["obspack_id"], "spike": spike, "stuck": stuck, "z": z})
-        out = batch.loc[batch["core"], ["row_id", "obspack_id", "impossible"]].merge(marks, on="obspack_id", how="left")
-        reason = np.select([out["impossible"], out["spike"].eq(True), out["stuck"].eq(True)], ["impossible", "spike", "stuck"], "")
-        return pd.DataFrame({"row_id": out["row_id"], "reason": reason, "z": out["z"].fillna(0.0)})[reason != ""]
+        one = batch.sort_values(["time_h", "obspack_id"], kind="stable")
+        p = propose(one["time_h"].to_numpy(), one["ppb"].to_numpy(), **limits)
+        core = one["core"].to_numpy()
+        rows = one.assign(z=p.z, departure=p.departure, still=p.still)[core & ((p.departure > 0) | p.still)]
+        out = rows[["dataset", "obspack_id", "z", "departure", "still"]].assign(scatter=np.nan, pairs=0, repeats=0, n=0)
+        said = pd.DataFrame({"dataset": [one["dataset"].iloc[0]], "obspack_id": [None], "z": [0.0], "departure": [0.0], "still": [False], "scatter": [p.scatter], "pairs": [p.pairs], "repeats": [p.repeats], "n": [int(core.sum())]})
+        return pd.concat([out, said], ignore_index=True) if len(out) else said
 
     return run
 
 
+def _in_shards(series: DataFrame, shard_rows: int, margin: float) -> DataFrame:
+    """``series`` (dataset, obspack_id, time_h, ppb) with shard and core, a row for every shard it is read in.
+
+    Places in the series are estimated from counts per dataset and day: the readings of earlier days, and within the
+    day the elapsed part of its count, for days of more than a shard minute by minute. So shards are equal in count,
+    whether days lie apart or readings come in bursts.
+    """
+    day, minute = F.floor(F.col("time_h") / 24), F.floor(F.col("time_h") * 60)
+    days = series.groupBy("dataset", day.alias("day")).agg(F.count("*").alias("n"))
+    past = W.partitionBy("dataset").orderBy("day")
+    days = days.withColumn("before", F.sum("n").over(past) - F.col("n")).withColumn("shards", F.greatest(F.lit(1), F.round(F.sum("n").over(W.partitionBy("dataset")) / shard_rows)))
+    days = broadcast_if_small(cut(days))
+    timed = series.withColumn("day", day).withColumn("minute", minute).join(days, ["dataset", "day"])
+    ticks = timed.where(F.col("n") > shard_rows).groupBy("dataset", "day", "minute").agg(F.count("*").alias("m"))
+    earlier = F.sum("m").over(W.partitionBy("dataset", "day").orderBy("minute")) - F.col("m")
+    ticks = broadcast_if_small(cut(ticks.withColumn("earlier", earlier).select("dataset", "minute", "m", "earlier")))
+    timed = timed.join(ticks, ["dataset", "minute"], "left")
+    within = F.coalesce(F.col("earlier") + (F.col("time_h") * 60 - F.col("minute")) * F.col("m"), (F.col("time_h") / 24 - F.col("day")) * F.col("n"))
+    placed = timed.withColumn("at", (F.col("before") + within) / shard_rows)
+    inner = lambda x: F.least(F.greatest(F.floor(x), F.lit(0)), F.col("shards") - 1).cast("int")
+    placed = placed.withColumn("home", inner(F.col("at"))).withColumn("shard", F.explode(F.array_distinct(F.array(F.col("home"), inner(F.col("at") - margin), inner(F.col("at") + margin)))))
+    return placed.select("dataset", "shard", "obspack_id", "time_h", "ppb", (F.col("home") == F.col("shard")).alias("core"))
+
+
 def flag_readings(
-    obs: DataFrame, *, low: float = 600.0, high: float = 5000.0, shard_rows: int = 1500, margin: float = 0.2, **limits: float
+    obs: DataFrame, *, low: float = 600.0, high: float = 5000.0, shard_rows: int = 1500, margin: float = 0.2, times_scatter: float = 10.0, **limits: float
 ) -> DataFrame:
     """Bad readings of ``obs``: row_id, reason (``impossible``, ``spike``, ``stuck``) and standardised innovation.
 
     Readings are compared in ppb. NULL and NaN values are no case and never enter a series; rows without a time or an
-    id can only be ``impossible``. Redelivered rows (same obspack_id) count once in the series and are all reported.
-    Shards hold about ``shard_rows`` readings of one dataset plus ``margin`` of that on each side, whatever the
-    dataset's size, so a dataset with a third of all rows is spread over as many tasks as it needs. A dataset of
-    fewer than four readings has no normal behaviour to compare with. Empty input gives no rows.
+    id can only be ``impossible``. Redelivered rows (same obspack_id) are combined before they are shuffled, count once
+    in the series and are all reported. Shards hold about ``shard_rows`` readings of one dataset plus ``margin`` of
+    that on each side, so a dataset with a third of all rows is spread over as many tasks as it needs. A spike departs
+    by about ``times_scatter`` times its dataset's usual scatter (the median of its shards'); a still stretch is stuck
+    where the dataset's innovations seldom vanish elsewhere, and a dataset that never moves is stuck throughout. A
+    dataset of fewer than four readings has no normal behaviour to compare with. Empty input gives no rows.
     """
-    timed = F.col("time").isNotNull()
-    span = [F.first(dataset_of(F.col("obspack_id")), ignorenulls=True).alias("dataset"), F.min("time").alias("t0"), F.max("time").alias("t1"), F.count(F.when(timed, 1)).alias("n")]
-    files = obspack_file_units(obs, ("value",), extra=span)
-    per = W.partitionBy("dataset")
-    seconds = F.unix_seconds(F.max("t1").over(per)) - F.unix_seconds(F.min("t0").over(per)) + 1
-    shards = F.greatest(F.lit(1), F.round(F.sum("n").over(per) / shard_rows)).cast("long")
-    meta = files.select(
-        "file_name", factor(F.col("value_unit_true"), MOLE_FRACTION).alias("to_ppb"), F.unix_seconds(F.min("t0").over(per)).alias("start"), F.ceil(seconds / shards).alias("width"), shards.alias("shards")
-    )
-
+    files = obspack_file_units(obs, ("value",)).select("file_name", factor(F.col("value_unit_true"), MOLE_FRACTION).alias("to_ppb"))
     value = F.col("value")
-    rows = obs.select("row_id", "obspack_id", "file_name", "time", value).where(value.isNotNull() & ~F.isnan(value)).join(meta, "file_name", "left")
+    rows = obs.select("row_id", "obspack_id", "file_name", "time", value).where(value.isNotNull() & ~F.isnan(value)).join(broadcast_if_small(cut(files)), "file_name", "left")
     ppb = value * F.col("to_ppb")
     fits = F.coalesce(usable(value) & ppb.between(low, high), F.lit(False))
-    rows = rows.withColumn("dataset", dataset_of(F.col("obspack_id"))).select(
-        "row_id", "obspack_id", "dataset", (F.unix_micros("time") / 3.6e9).alias("time_h"), F.when(fits, ppb).alias("ppb"), (~fits).alias("impossible"), "start", "width", "shards"
-    )
-    placed = F.col("dataset").isNotNull() & F.col("time_h").isNotNull() & F.col("width").isNotNull()
-    at = (F.col("time_h") * 3600 - F.col("start")) / F.col("width")
-    inner = lambda x: F.least(F.greatest(F.floor(x), F.lit(0)), F.col("shards") - 1)
-    # rows without a place in a series are spread by hash and only looked at one by one
-    home = F.when(placed, inner(at)).otherwise(-1 - F.pmod(F.xxhash64("row_id"), F.lit(1024)))
-    spread = F.when(placed, F.array_distinct(F.array(inner(at), inner(at - margin), inner(at + margin)))).otherwise(F.array(home))
-    sharded = (
-        rows.withColumn("home", home)
-        .withColumn("shard", F.explode(spread))
-        .select(F.coalesce("dataset", F.lit("")).alias("dataset"), "shard", "row_id", "obspack_id", "time_h", F.when(placed, F.col("ppb")).alias("ppb"), "impossible", (F.col("home") == F.col("shard")).alias("core"))
-    )
-    return sharded.groupBy("dataset", "shard").applyInPandas(_scan_shards(**limits), "row_id long, reason string, z double")
+    rows = rows.select("row_id", "obspack_id", dataset_of(F.col("obspack_id")).alias("dataset"), (F.unix_micros("time") / 3.6e9).alias("time_h"), F.when(fits, ppb).alias("ppb"))
+    ok = rows.where(F.col("ppb").isNotNull() & F.col("dataset").isNotNull() & F.col("time_h").isNotNull())
+    series = cut(ok.groupBy("dataset", "obspack_id").agg(F.min(F.struct("time_h", "ppb")).alias("x")).select("dataset", "obspack_id", "x.*"))
+    proposed = cut(_in_shards(series, shard_rows, margin).groupBy("dataset", "shard").applyInPandas(_scan_shards(**limits), _PROPOSED))
+    normal = proposed.where(F.col("n") > 0).groupBy("dataset").agg(F.median("scatter").alias("usual"), F.sum("pairs").alias("all_pairs"), F.sum("repeats").alias("all_repeats"))
+    judged = proposed.where(F.col("obspack_id").isNotNull()).select("dataset", "obspack_id", "z", "departure", "still").join(normal, "dataset")
+    spike = F.col("departure") > 0.9 * times_scatter * F.col("usual")
+    seldom = F.pow((F.col("all_repeats") + 0.5) / (F.col("all_pairs") + 10.0), F.lit(limits.get("stuck_len", 8) - 1)) < 0.5 / HABIT_READINGS
+    marks = judged.select("obspack_id", "z", F.when(spike, "spike").when(F.col("still") & seldom, "stuck").alias("mark")).where(F.col("mark").isNotNull())
+    out = rows.join(broadcast_if_small(cut(marks)), "obspack_id", "left").select("row_id", F.when(F.col("ppb").isNull(), "impossible").otherwise(F.col("mark")).alias("reason"), F.coalesce("z", F.lit(0.0)).alias("z"))
+    return out.where(F.col("reason").isNotNull())

@@ -75,6 +75,26 @@ def test_flag_readings_shards_agree(spark):
         assert got == {350: "spike", 10_350: "spike", 20_000: "impossible", 20_001: "impossible", 20_004: "impossible", 20_005: "impossible"}
 
 
+def stuck_frame(spark, n, lo, hi):
+    t, v = series(n, seed=11)
+    v[lo:hi] = 1900.0
+    t0 = datetime(2009, 3, 1, tzinfo=UTC)
+    return spark.createDataFrame([(k, f"p~ch4_abc_tower-insitu_1_x~{k}", "f", t0 + timedelta(hours=float(t[k])), float(v[k]), "ppb", 1850.0, "x") for k in range(n)], SCHEMA)
+
+
+def test_outage_longer_than_a_shard_is_stuck_throughout(spark):
+    for n, lo, hi in ((3000, 800, 2300), (400, 0, 400)):
+        got = {r["row_id"]: r["reason"] for r in spikes.flag_readings(stuck_frame(spark, n, lo, hi), shard_rows=300).collect()}
+        assert set(range(lo, hi)) == {k for k, why in got.items() if why == "stuck"}
+
+
+def test_burst_and_stray_time_make_even_shards(spark):
+    n = 4000
+    rows = [("d", f"id{k}", 1000.0 + k / n, 1850.0) for k in range(n)] + [("d", "stray", 900_000.0, 1850.0)]
+    sizes = spikes._in_shards(spark.createDataFrame(rows, "dataset string, obspack_id string, time_h double, ppb double"), 500, 0.2).groupBy("shard").count().collect()
+    assert len(sizes) >= 7 and max(r["count"] for r in sizes) <= 1100
+
+
 def test_repeated_rows_and_empty(spark):
     df = frame(spark)
     assert spikes.flag_readings(df.union(df)).count() == 12
