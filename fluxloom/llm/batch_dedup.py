@@ -18,7 +18,7 @@ from fluxloom.functions.geo import EARTH_M, RadiusGrid, great_circle_m, position
 from fluxloom.operators.components import connected_classes
 from fluxloom.operators.timestamps import normalise_times, source_clocks
 from fluxloom.operators.units import with_kg_per_h
-from fluxloom.session import cut
+from fluxloom.session import cut, row_bytes
 
 
 #: Rate bin of a tile whose records have no rate.
@@ -101,8 +101,8 @@ def _hits(probing: DataFrame, held: DataFrame, tol: Tolerance) -> DataFrame:
     """
     hits = probing.alias("m").join(held.alias("h"), _in_reach("m", "h") & (F.col("m.asks") == F.col("h.kind")) & (F.col("m.tile") != F.col("h.tile")) & same("m", "h", tol))
     key = lambda s: F.struct(F.col(f"{s}.batch"), F.col(f"{s}.id"))
-    pairs = hits.select(F.col("m.tile").alias("x"), F.col("h.tile").alias("y"), key("m").alias("kx"), key("h").alias("ky"))
-    return pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("ky").alias("kx"), F.col("kx").alias("ky")))
+    pair = lambda a, b: F.struct(F.col(f"{a}.tile").alias("x"), F.col(f"{b}.tile").alias("y"), key(b).alias("ky"))
+    return hits.select(F.explode(F.array(pair("m", "h"), pair("h", "m"))).alias("p")).select("p.*")
 
 
 def _even(pairs: DataFrame) -> DataFrame:
@@ -176,27 +176,37 @@ class CellIndex:
         except AnalysisException:  # the folder is not there yet
             return self.spark.createDataFrame([], schema)
 
+    def prepared(self, records: DataFrame) -> DataFrame:
+        """``records`` as vectors with their cells, a row for every cell in reach, written once."""
+        return cut(probes(to_cells(records, self.tol), self.tol))
+
     def accept(self, records: DataFrame) -> None:
-        """Check a batch against all accepted records and itself, keep the links found, and append it to the cells.
+        """Check a batch against all accepted records and itself, keep the links found, and append it to the cells."""
+        self.accept_prepared(self.prepared(records))
+
+    def accept_prepared(self, wide: DataFrame) -> None:
+        """``accept`` for rows that are ``prepared``.
 
         Every new record probes the heads in the cells that its tolerance reaches, and the heads of new tiles probe the
         accepted vectors, so each pair of a new and an accepted record's tile is seen from one side at least. What no
-        cell in reach holds cannot match; what one holds is compared exactly.
+        cell in reach holds cannot match; what one holds is compared exactly. A batch measured to be small is broadcast
+        to the index, which then is only scanned; a larger one is joined by a shuffle on the cell.
         """
-        wide = cut(probes(to_cells(records, self.tol), self.tol))  # every record once per cell in reach
         vectors = [c for c in wide.columns if c not in ("prow", "pcol", "pslot")]
         home = (F.col("prow") == F.col("row")) & (F.col("pcol") == F.col("col")) & (F.col("pslot") == F.col("slot"))
         new = wide.where(home).select(*vectors)
+        eras = F.flatten(F.collect_set(F.array(*[self._era(F.col("slot") + k) for k in (-1, 1)])))
+        said = wide.agg(F.array_distinct(eras).alias("eras"), F.count("*").alias("n"), F.sum(row_bytes(wide)).alias("bytes")).first()
         # the numbers of the eras in reach, a handful per batch, prune the folders that are read
-        reach = [r["era"] for r in new.select(F.explode(F.array(*[self._era(F.col("slot") + k) for k in (-1, 1)])).alias("era")).distinct().collect()]
-        heads, cells = (self._held(n).where(F.col("era").isin(reach)).select(*vectors) for n in ("heads", "cells"))
+        heads, cells = (self._held(n).where(F.col("era").isin(said["eras"])).select(*vectors) for n in ("heads", "cells"))
+        small = said["n"] <= 200_000 and (said["bytes"] or 0) <= 32 << 20
+        few = F.broadcast if small else lambda df: df
         fresh = cut(_heads(new).join(heads.select("tile"), "tile", "left_anti").select(*vectors))
         as_ = lambda df, kind: df.withColumn("kind", F.lit(kind))
-        asking = wide.join(fresh.select("id", F.lit(True).alias("first")), "id", "left")
+        asking = wide.join(few(fresh.select("id", F.lit(True).alias("first"))), "id", "left")
         asking = asking.withColumn("asks", F.explode(F.when(F.col("first"), F.array(F.lit("head"), F.lit("cell"))).otherwise(F.array(F.lit("head")))))
-        found = _hits(asking, as_(heads, "head").unionByName(as_(fresh, "head")).unionByName(as_(cells, "cell")), self.tol)
-        found = found.groupBy("x", "y").agg(F.min("ky").alias("ky"))
-        found.write.mode("append").parquet(self._folder("links"))
+        found = _hits(few(asking), as_(heads, "head").unionByName(as_(fresh, "head")).unionByName(as_(cells, "cell")), self.tol)
+        found.groupBy("x", "y").agg(F.min("ky").alias("ky")).coalesce(4).write.mode("append").parquet(self._folder("links"))
         self._append("heads", fresh)
         self._append("cells", new)
 
@@ -240,13 +250,13 @@ def find_duplicates(records: DataFrame, path: str, tol: Tolerance = Tolerance(),
     id. Records without position, time or batch repeat nothing. An empty table gives no rows.
     """
     index = CellIndex(records.sparkSession, path, tol)
-    records = cut(records.where(F.col("batch").isNotNull()))
+    wide = index.prepared(records.where(F.col("batch").isNotNull()))
     # only the numbers of the batches reach the driver
-    batches = [r["batch"] for r in records.select("batch").distinct().orderBy("batch").collect()] if by_batch else []
+    batches = [r["batch"] for r in wide.select("batch").distinct().orderBy("batch").collect()] if by_batch else []
     if not batches:
-        index.accept(records)
+        index.accept_prepared(wide)
     for b in batches:
-        index.accept(records.where(F.col("batch") == b))
+        index.accept_prepared(wide.where(F.col("batch") == b))
     return index.repeats()
 
 
