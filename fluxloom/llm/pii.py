@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "id_number", "address", "person")
@@ -78,10 +78,17 @@ PARTICLES = {"von", "van", "de", "del", "der", "du", "la", "le", "zu", "di"}
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*(?:-[^\W_]+)*")
 #: Between the words of a name: blanks and at most one line break.
 _GAP = re.compile(r"[^\S\n]{1,3}\n?[^\S\n]{0,3}|\n[^\S\n]{0,3}")
+_INITIAL = re.compile(r"\.[^\S\n]{0,3}\n?")
+_MAIL_GOES_ON = re.compile(r"\s?(?:@|\[at\]|\(at\)|at\s[\w-]+\sdot)")
 _NAME = re.compile(rf"{_W}+(?:['’]{_W}+)*(?:-{_W}+)*")
 
 
-_DIGITS = re.compile(r"\d[\d\s.\-/()]{4}|[a-z]{1,2}\d{1,2}[a-z]?\s+\d[a-z]{2}", re.I)
+#: What a text must hold for a form of the kind to occur in it: a run of six digits, a postcode.
+_NEEDS = {
+    "phone": re.compile(r"\d(?:[\s.\-/()]{0,4}\d){5}"),
+    "id_number": re.compile(r"\d(?:[\s.\-/()]{0,4}\d){5}"),
+    "address": re.compile(r"\d{5}|[a-z]{1,2}\d{1,2}[a-z]?\s+\d[a-z]{2}", re.I),
+}
 _AT = {"sign": re.compile("@"), "boxed": re.compile(r"[\[(]at[\])]", re.I), "spoken": re.compile(r"\sdot\s", re.I)}
 
 
@@ -93,6 +100,16 @@ class Model:
     given: frozenset[str] = frozenset()
     family: frozenset[str] = frozenset()
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Store the model as a table (part, key, value); its size is that of the vocabulary, not of the corpus."""
+        rows = [("weight", k, v) for k, v in self.weights.items()] + [("given", w, 1.0) for w in self.given] + [("family", w, 1.0) for w in self.family]
+        spark.createDataFrame(rows, "part string, key string, value double").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        rows = spark.read.parquet(path).collect()
+        return cls({r["key"]: r["value"] for r in rows if r["part"] == "weight"}, *(frozenset(r["key"] for r in rows if r["part"] == part) for part in ("given", "family")))
+
 
 def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
     before = [w.lower() for w in _TOKEN.findall(text[max(0, start - 48) : start])[-3:]]
@@ -104,44 +121,45 @@ def _name_spans(text: str, known: frozenset[str]) -> Iterator[tuple[int, int, st
     """Candidate names: two name words (initial, particle and comma forms too) of which one is cued, known or written as a name."""
     tokens = [(m.start(), m.end(), m.group()) for m in _NAME.finditer(text)]
     n = len(tokens)
+    lows = [t[2].lower() for t in tokens]
+    is_listed = [low in known or ("-" in low and any(p in known for p in low.split("-"))) for low in lows]
     gap = [text[tokens[k][1] : tokens[k + 1][0]] for k in range(n - 1)]
     for k in range(n - 1):
         s, e, w = tokens[k]
-        low = w.lower()
-        listed = low in known or any(p in known for p in low.split("-"))
-        cue = k > 0 and tokens[k - 1][2].lower() in CUES["person"]
+        listed = is_listed[k]
+        cue = k > 0 and lows[k - 1] in CUES["person"]
         big = w[0].isupper()
         g = gap[k]
-        initial = len(w) == 1 and g.startswith(".")
+        initial = len(w) == 1 and g[:1] == "."
         if not (big or listed or cue or initial):
             continue
         if (s and (text[s - 1] in "@._+/\\" or text[s - 1].isdigit())) or "-" in text[max(0, s - 1) : s]:
             continue
         j = k + 1
         form = ""
-        if initial and re.fullmatch(r"\.[^\S\n]{0,3}\n?", g):
+        if initial and _INITIAL.fullmatch(g):
             form = "initial"
-        elif (g.startswith(",") and _GAP.fullmatch(g[1:])):
+        elif g[:1] == "," and _GAP.fullmatch(g[1:]):
             form = "comma"
-        elif _GAP.fullmatch(g):
+        elif g == " " or _GAP.fullmatch(g):
             form = "plain"
         if not form:
             continue
-        if form != "comma" and tokens[j][2].lower() in PARTICLES and j + 1 < n:
-            while j + 1 < n and tokens[j][2].lower() in PARTICLES and _GAP.fullmatch(gap[j]):
+        if form != "comma" and lows[j] in PARTICLES and j + 1 < n:
+            while j + 1 < n and lows[j] in PARTICLES and _GAP.fullmatch(gap[j]):
                 j += 1
             form += "_of"
         s2, e2, w2 = tokens[j]
-        if text[e2 : e2 + 1] in {"@", "_"} or text[e2 : e2 + 1].isdigit() or re.match(r"\s?(?:@|\[at\]|\(at\)|at\s[\w-]+\sdot)", text[e2 : e2 + 40]) or len(w2) < 2:
+        if not (w2[0].isupper() or is_listed[j] or (cue and listed)):
             continue
-        listed2 = w2.lower() in known or any(p in known for p in w2.lower().split("-"))
-        if not (w2[0].isupper() or listed2 or (cue and listed)):
+        if text[e2 : e2 + 1] in {"@", "_"} or text[e2 : e2 + 1].isdigit() or _MAIL_GOES_ON.match(text[e2 : e2 + 40]) or len(w2) < 2:
             continue
+        listed2 = is_listed[j]
         if form == "comma" and not (listed or listed2 or cue):
             continue
         yield s, e2, form
         # two given names before the family name
-        if form == "plain" and listed and listed2 and j + 1 < n and _GAP.fullmatch(gap[j]) and tokens[j + 1][2].lower() in known:
+        if form == "plain" and listed and listed2 and j + 1 < n and _GAP.fullmatch(gap[j]) and lows[j + 1] in known:
             yield s, tokens[j + 1][1], "three"
 
 
@@ -149,7 +167,7 @@ def candidates(text: str, model: Model) -> list[tuple[int, int, str, str]]:
     """All candidate segments (start, end, kind, form) of a text."""
     out = []
     for kind, forms in COMPILED.items():
-        if kind in ("phone", "id_number", "address") and not _DIGITS.search(text):
+        if kind in _NEEDS and not _NEEDS[kind].search(text):
             continue
         for form, rx in forms:
             if kind == "email" and not _AT[form].search(text):
@@ -390,9 +408,9 @@ def fit(texts: list[str], epochs: int = 8, rate: float = 0.3, ridge: float = 1e-
 
 
 def train_model(docs: DataFrame, sample_docs: int = 6000) -> Model:
-    """Name lists from all texts; weights from at most ``sample_docs`` texts (of up to 4000 characters) whose wording
-    labels segments, by hash order of doc_id."""
-    labelled = docs.where(F.lower("text").rlike(SAMPLED) & (F.length("text") <= 4000))
+    """Name lists from all texts; weights from at most ``sample_docs`` whole texts whose wording labels segments, by hash
+    order of doc_id."""
+    labelled = docs.where(F.lower("text").rlike(SAMPLED))
     rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text").collect()
     return fit([r["text"] for r in rows], names=corpus_names(docs))
 

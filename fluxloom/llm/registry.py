@@ -53,12 +53,25 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, d))
 
 
+_MODELS: dict[tuple[str, str], str] = {}
+
+
+def _model(spark: SparkSession, d: str) -> pii.Model:
+    """The model of a data folder, trained once per application and stored in the shared folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MODELS:
+        path = _folder(spark, "pii-model")
+        pii.train_model(table(spark, d, "documents")).save(spark, path)
+        _MODELS[key] = path
+    return pii.Model.load(spark, _MODELS[key])
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.find_personal_data(table(spark, d, "documents")).distinct()
+    return pii.find_personal_data(table(spark, d, "documents"), _model(spark, d)).distinct()
 
 
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(table(spark, d, "documents"))
+    return pii.redact(table(spark, d, "documents"), _model(spark, d))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_new_batch, p8_packed, p8_fill, p9_found, p10_found, p10_redacted)}
