@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxloom.functions.let import let
+from fluxloom.functions.unit_labels import RATE, factor, rate_unit
 from fluxloom.operators.timestamps import parse_date
 
 TYPES = ("number", "text", "boolean", "list", "object")
@@ -142,12 +143,65 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
     return out.select("file_name", "field", "change", "previous", "before", "after")
 
 
+def nested_paths(raw: DataFrame, depth: int = 3) -> DataFrame:
+    """feed, file_name, line_no, field, tag, text of every path of the JSON lines: ``a``, ``a.b``, ``a[]`` ... down to ``depth``.
+
+    A list's elements share one path, so the types of all elements are alternatives of it. Lines that cannot be read
+    give none. Each level is one explode of the level before; nothing is gathered.
+    """
+    lines = raw.where(F.lower("file_name").endswith(".jsonl") | F.lower("file_name").endswith(".json"))
+    clean = F.regexp_replace("payload", r"([:\[,]\s*)-?(?:NaN|Infinity)(?=\s*[,}\]])", "$1null")
+    keys = ["feed", "file_name", "line_no"]
+    level = lines.select(*keys, F.lit("").alias("field"), F.try_parse_json(clean).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    out = None
+    for _ in range(depth):
+        members = F.transform(F.map_entries(F.expr("try_variant_get(v, '$', 'map<string,variant>')")), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("k"), e["value"].alias("v")))
+        elements = F.transform(F.expr("try_variant_get(v, '$', 'array<variant>')"), lambda v: F.struct(F.lit("[]").alias("k"), v.alias("v")))
+        level = level.select(*keys, "field", F.explode(F.coalesce(members, elements)).alias("x")).select(*keys, F.concat("field", "x.k").alias("field"), F.col("x.v").alias("v"))
+        kind = F.schema_of_variant("v")
+        text = F.expr("try_cast(v as string)")
+        tag = (
+            F.when(kind == "VOID", None)
+            .when(kind == "STRING", F.when(~F.lower(F.trim(text)).isin(_NOTHING[:2]), "text"))
+            .when(kind == "BOOLEAN", "boolean")
+            .when(kind.startswith("ARRAY"), "list")
+            .when(kind.startswith("OBJECT"), "object")
+            .otherwise("number")
+        )
+        here = level.select(*keys, F.ltrim(F.col("field"), F.lit(".")).alias("field"), tag.alias("tag"), text.alias("text"))
+        out = here if out is None else out.unionByName(here)
+        level = level.where(kind.startswith("ARRAY") | kind.startswith("OBJECT"))
+    return out
+
+
+def alternative_changes(raw: DataFrame) -> DataFrame:
+    """file_name, field, alternative, change: types that a path takes up (``appears``) or no longer has (``disappears``)
+    against all earlier files of the feed, respectively against the file before.
+
+    Paths are those of ``nested_paths`` and the fields of delimited text, all alternatives counted, not only the
+    commonest. A feed's first file reports nothing.
+    """
+    raw = raw.select("feed", "file_name", "line_no", "payload").where(F.col("file_name").isNotNull() & F.col("payload").isNotNull() & F.col("feed").isNotNull())
+    fields = nested_paths(raw).unionByName(delimited_fields(raw))
+    seen = fields.where(F.col("tag").isNotNull()).groupBy("feed", "file_name", "field", "tag").agg(F.count("*").alias("n"))
+    date = F.regexp_extract("file_name", r"_(\d{8})(?:\D|$)", 1)
+    files = raw.select("feed", "file_name").distinct().withColumn("at", F.row_number().over(W.partitionBy("feed").orderBy(date, "file_name")))
+    last = files.groupBy("feed").agg(F.max("at").alias("last"))
+    own = W.partitionBy("feed", "field", "tag").orderBy("at")
+    placed = seen.join(files, ["feed", "file_name"]).withColumn("before", F.lag("at").over(own)).withColumn("after", F.lead("at").over(own))
+    up = placed.where(F.col("before").isNull() & (F.col("at") > 1)).select("file_name", "field", F.col("tag").alias("alternative"), F.lit("appears").alias("change"))
+    gone = placed.join(last, "feed").where((F.coalesce("after", F.col("last") + 1) > F.col("at") + 1) & (F.col("at") < F.col("last")))
+    gone = gone.select("feed", (F.col("at") + 1).alias("at"), "field", F.col("tag").alias("alternative")).join(files, ["feed", "at"])
+    return up.unionByName(gone.select("file_name", "field", "alternative", F.lit("disappears").alias("change")))
+
+
 def unified_table(raw: DataFrame) -> DataFrame:
     """One consistent table of everything the feeds delivered: a row per readable line, each line once.
 
     Canonical columns: feed, file_name, line_no, lon, lat (degrees; ``9.6N`` and text numbers are read), obs_date,
     obs_time (``HH:mm:ss`` as written, from a field of the time, else of the date), instrument, platform, rate and
-    rate_std (the number in the value; as delivered, with rate_unit where the value says it). What conflicts in type
+    rate_std (the number in the value; as delivered, with rate_unit where the value says it), kg_h and kg_h_std (both
+    converted to kg/h by rate_unit, NULL where the line does not tell the unit). What conflicts in type
     stays readable through ``branches``: per field its tag and text. Other fields are only in ``branches``.
     """
     fields = tagged_fields(raw.dropDuplicates(["file_name", "line_no", "payload"]))
@@ -172,7 +226,7 @@ def unified_table(raw: DataFrame) -> DataFrame:
     epoch = F.when(text.rlike(r"^\d{9,10}$"), F.date_format(F.timestamp_seconds(text.try_cast("bigint")), "HH:mm:ss"))
     clock = F.coalesce(F.when(text.rlike(written), F.concat_ws(":", *parts)), epoch)
     word = F.when(F.col("tag") == "object", F.coalesce(F.get_json_object(text, "$.name"), F.get_json_object(text, "$.value"), text)).otherwise(text)
-    return fields.groupBy("feed", "file_name", "line_no").agg(
+    table = fields.groupBy("feed", "file_name", "line_no").agg(
         F.coalesce(pick("time", clock), pick("date", clock)).alias("obs_time"),
         pick("instrument", word).alias("instrument"),
         pick("platform", word).alias("platform"),
@@ -184,6 +238,8 @@ def unified_table(raw: DataFrame) -> DataFrame:
         pick("rate_std", number).alias("rate_std"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", F.struct("tag", "text"))))).alias("branches"),
     )
+    common = factor(rate_unit(F.col("rate_unit")), RATE)
+    return table.withColumn("kg_h", F.col("rate") * common).withColumn("kg_h_std", F.col("rate_std") * common)
 
 
 def typed_branches(branches: Column) -> list[Column]:

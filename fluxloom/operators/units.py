@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.functions.unit_labels import MOLE_FRACTION, RATE, factor, fraction_unit, rate_unit
-from fluxloom.session import broadcast_if_small
+from fluxloom.session import broadcast_if_small, cut
 from fluxloom.sources.tables import finite, usable
 
 
@@ -137,21 +137,43 @@ def with_ppb(obs: DataFrame, files: DataFrame | None = None) -> DataFrame:
     )
 
 
-def with_kg_per_h(plumes: DataFrame, sources: DataFrame) -> DataFrame:
-    """``plumes`` with ``rate_unit_true`` and ``kg_h`` (NULL where no positive rate is given).
+def rate_evidence(plumes: DataFrame, level_kg_h: float = 300.0, least: float = 0.99, least_records: int = 20) -> DataFrame:
+    """datasource, mixture_unit, mixture_posterior, mixture_uncertain of the records of a source that carry no unit.
 
-    A record's unit is named by its label, else by its remarks, else by its datasource's description.
+    The mixture of rate units is fitted like those of mole fractions, to the records without a unit in label or remarks,
+    pooled by source. Rates span decades, so components overlap; a posterior below ``least`` and one that rests on
+    fewer than ``least_records`` records are uncertain.
+    """
+    bare = plumes.where(rate_unit(F.col("rate_unit")).isNull() & rate_unit(F.col("remarks")).isNull()).select("datasource", "emission_rate")
+    quantity = [Quantity("rate", finite(F.col("emission_rate")))]
+    mix = fit_scale_mixtures(bare, quantity, RATE, level_kg_h)
+    per = source_units(bare, "datasource", quantity, mix, extra=[F.count(F.when(F.col("emission_rate") > 0, 1)).alias("rated")])
+    return per.select("datasource", F.col("rate_unit_true").alias("mixture_unit"), F.col("rate_posterior").alias("mixture_posterior"), ((F.col("rate_posterior") < least) | (F.col("rated") < least_records)).alias("mixture_uncertain"))
+
+
+def with_kg_per_h(plumes: DataFrame, sources: DataFrame, evidence: bool = False) -> DataFrame:
+    """``plumes`` with ``rate_unit_true``, ``kg_h`` (NULL where no positive rate is given) and ``rate_uncertain``.
+
+    A record's unit is named by its label, else by its remarks, else by its datasource's description: for plumes these
+    are right. Where none of them names one, and with ``evidence``, the mixture of ``rate_evidence`` assigns it by its
+    posterior; ``rate_uncertain`` marks units that rest on a posterior below its bound, and missing units.
     """
     feeds = sources.where(F.col("feeds_table") == "plumes").select(
         F.col("source_name").alias("datasource"), rate_unit(F.col("description")).alias("_default_unit")
     )
     out = plumes.join(broadcast_if_small(feeds), "datasource", "left")
-    unit = F.coalesce(rate_unit(F.col("rate_unit")), rate_unit(F.col("remarks")), F.col("_default_unit"))
+    told = F.coalesce(rate_unit(F.col("rate_unit")), rate_unit(F.col("remarks")), F.col("_default_unit"))
+    guess, doubt = F.lit(None).cast("string"), F.lit(True)
+    if evidence:
+        out = out.join(broadcast_if_small(cut(rate_evidence(plumes))), "datasource", "left")
+        guess, doubt = F.col("mixture_unit"), F.coalesce("mixture_uncertain", F.lit(True))
+    unit = F.coalesce(told, guess)
     rate = finite(F.col("emission_rate"))
     return (
         out.withColumn("rate_unit_true", unit)
         .withColumn("kg_h", F.when(rate > 0, rate * factor(unit, RATE)))
-        .drop("_default_unit")
+        .withColumn("rate_uncertain", told.isNull() & doubt)
+        .drop("_default_unit", "mixture_unit", "mixture_posterior", "mixture_uncertain")
     )
 
 
@@ -164,6 +186,6 @@ def units_found(obs: DataFrame, plumes: DataFrame, sources: DataFrame) -> DataFr
         F.struct(F.lit("ch4").alias("field"), F.when(F.col("ch4").isNotNull(), F.col("ch4_unit_true")).alias("unit")),
     )
     o = o.select("row_id", F.explode(cases).alias("c")).select("c.field", "row_id", "c.unit").where(F.col("unit") != "ppb")
-    p = with_kg_per_h(plumes.select("plume_id", "datasource", "emission_rate", "rate_unit", "remarks"), sources)
-    p = p.where(F.col("kg_h").isNotNull() & (F.col("rate_unit_true") != "kg/h"))
+    p = with_kg_per_h(plumes.select("plume_id", "datasource", "emission_rate", "rate_unit", "remarks"), sources, evidence=True)
+    p = p.where(F.col("kg_h").isNotNull() & ~F.col("rate_uncertain") & (F.col("rate_unit_true") != "kg/h"))
     return o.unionByName(p.select(F.lit("emission_rate").alias("field"), F.col("plume_id").alias("row_id"), F.col("rate_unit_true").alias("unit")))

@@ -24,7 +24,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
     rows = drift.unified_table(table(spark, d, "plume_raw"))
-    return rows.select("feed", "file_name", "line_no", "lon", "lat", "obs_date", "obs_time", "instrument", "platform", "rate", "rate_unit", "rate_std", F.size("branches").alias("n_fields"), *drift.typed_branches(F.col("branches")))
+    return rows.select("feed", "file_name", "line_no", "lon", "lat", "obs_date", "obs_time", "instrument", "platform", "rate", "rate_unit", "rate_std", "kg_h", "kg_h_std", F.size("branches").alias("n_fields"), *drift.typed_branches(F.col("branches")))
+
+
+def p2_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Types that a path of the feeds' lines takes up or gives up from file to file."""
+    return drift.alternative_changes(table(spark, d, "plume_raw"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,4 +48,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return nearby.places_found(table(spark, d, "plumes"), table(spark, d, "point_sources"), table(spark, d, "roi_polygons"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_table, p4_found, p5_found, p6_found, p7_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_table, p2_alternatives, p4_found, p5_found, p6_found, p7_found)}

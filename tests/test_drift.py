@@ -83,3 +83,17 @@ def test_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, None, None, None, None, None, None, None), (2, "A", "A_20090301.jsonl", 1, None, None, None, None), (3, "A", "A_20090301.csv", 0, "", None, None, None)], SCHEMA)
     assert changes(df) == set() and drift.unified_table(df).count() == 0
     assert changes(df.limit(0)) == set()
+
+
+def test_alternatives_per_path_are_reported(spark):
+    df = raw(spark, {
+        "A-1_20090301.jsonl": [{"rate": 5, "at": {"lon": 1.5}, "tags": [1, 2]}],
+        "A-1_20090302.jsonl": [{"rate": 5, "at": {"lon": 1.5}, "tags": [1, "x"]}, {"rate": 6}, {"rate": "many", "at": {"lon": "1.5E"}}],
+        "A-1_20090303.jsonl": [{"rate": 7, "at": {"lon": "1.5E"}, "tags": ["x"]}, '{"broken'],
+    })
+    got = {(r["file_name"][4:12], r["field"], r["alternative"], r["change"]) for r in drift.alternative_changes(df).collect()}
+    assert got == {
+        ("20090302", "rate", "text", "appears"), ("20090302", "at.lon", "text", "appears"), ("20090302", "tags[]", "text", "appears"),
+        ("20090303", "rate", "text", "disappears"), ("20090303", "at.lon", "number", "disappears"), ("20090303", "tags[]", "number", "disappears"),
+    }
+    assert drift.alternative_changes(df.limit(0)).count() == 0

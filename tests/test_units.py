@@ -71,6 +71,18 @@ def test_found_rows(spark):
     assert ("ch4", 240) not in got
 
 
+def test_unlabelled_rates_follow_the_mixture_where_it_can_tell(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, "A", float(300 * rng.lognormal(0, 0.1)), None, None) for k in range(300)] + [(1000 + k, "B", float(0.3 * rng.lognormal(0, 0.1)), None, None) for k in range(300)]
+    plumes = spark.createDataFrame(rows + [(5000, "C", 41.0, None, None)], PLUMES)
+    sources = spark.createDataFrame([("A", "plumes", None), ("B", "plumes", "No word on units.")], SOURCES)
+    got = {r["plume_id"]: r for r in units.with_kg_per_h(plumes, sources, evidence=True).collect()}
+    assert got[3]["rate_unit_true"] == "kg/h" and not got[3]["rate_uncertain"]
+    assert got[1003]["rate_unit_true"] == "t/h" and not got[1003]["rate_uncertain"] and 100 < got[1003]["kg_h"] < 1000
+    assert got[5000]["rate_uncertain"]
+    assert got[3]["plume_id"] == 3 and units.with_kg_per_h(plumes, sources).where("kg_h is not null").count() == 0
+
+
 def test_empty_tables(spark):
     none = units.units_found(spark.createDataFrame([], OBS), spark.createDataFrame([], PLUMES), spark.createDataFrame([], SOURCES))
     assert none.count() == 0
