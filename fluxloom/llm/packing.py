@@ -14,11 +14,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fluxloom.session import cut
+from fluxloom.session import broadcast_if_small, cut
 
-PLACED = "doc_id long, piece int, token_start int, n_tokens int, tier int, window string, slot int, used int, step string"
+PLACED = "doc_id long, piece int, token_start int, n_tokens int, tier int, window string, slot int, used int"
 
 
 def default_tokenizer() -> str:
@@ -99,30 +100,36 @@ def pack_tiers(sizes: np.ndarray, tiers: tuple[int, ...]) -> list[tuple[int, lis
     return [(b.capacity, items) for b in bins for items in b.items]
 
 
-def step_groups(capacity: np.ndarray, used: np.ndarray, step_tokens: int) -> np.ndarray:
-    """Group of each window: groups of ``step_tokens`` capacity per tier, loads levelled by dealing to and fro."""
-    group = np.zeros(len(used), int)
-    first = 0
-    for c in np.unique(capacity):
-        at = np.flatnonzero(capacity == c)
-        n = max(1, -(-len(at) * int(c) // step_tokens))
-        k = np.arange(len(at))
-        lap, pos = k // n, k % n
-        group[at[np.argsort(-used[at], kind="stable")]] = first + np.where(lap % 2 == 0, pos, n - 1 - pos)
-        first += n
-    return group
+def step_groups(windows: DataFrame, step_tokens: int, slices: int = 512, part_rows: int = 200_000) -> DataFrame:
+    """``windows`` (tier, window, used) with step: groups of ``step_tokens`` capacity per tier, of nearly equal load.
 
-
-def _pack_shard(tiers: tuple[int, ...], step_tokens: int, round_: int):
+    All windows of a tier are ranked by load, over the whole table: ranges of the load are cut by a histogram of at most
+    ``slices`` fill levels, ranks within a range come from a window over it. Dealing to and fro along the ranks levels
+    the groups.
+    """
+    level = F.floor(F.col("used") * slices / (F.col("tier") + 1)).cast("int")
+    # full windows are the commonest: a level is numbered in parts, so no task ranks a whole level
+    part = F.pmod(F.xxhash64("window"), F.lit(-(-windows.count() // part_rows) or 1)).cast("int")
+    rows = windows.withColumn("level", level).withColumn("part", part)
+    counts = rows.groupBy("tier", "level", "part").agg(F.count("*").alias("n"))  # tiers x levels x parts rows
+    down = W.partitionBy("tier").orderBy(F.desc("level"), "part")
+    starts = counts.withColumn("before", F.sum("n").over(down) - F.col("n")).withColumn("all", F.sum("n").over(W.partitionBy("tier")))
+    place = F.row_number().over(W.partitionBy("tier", "level", "part").orderBy(F.desc("used"), "window")) - 1
+    ranked = rows.join(broadcast_if_small(cut(starts.drop("n"))), ["tier", "level", "part"]).withColumn("rank", F.col("before") + place)
+    groups = F.greatest(F.lit(1), F.ceil(F.col("all") * F.col("tier") / step_tokens))
+    lap, at = F.floor(F.col("rank") / groups), F.col("rank") % groups
+    return ranked.select("tier", "window", F.concat_ws("-", F.col("tier"), F.when(lap % 2 == 0, at).otherwise(groups - 1 - at).cast("long")).alias("step"))
+
+
+def _pack_shard(tiers: tuple[int, ...], round_: int):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         sizes = shard["n_tokens"].to_numpy()
         windows = pack_tiers(sizes, tiers)
         used = np.array([sizes[w].sum() for _, w in windows])
-        group = step_groups(np.array([c for c, _ in windows]), used, step_tokens)
         name = f"{round_}-{shard['shard'].iloc[0]}"
-        rows = [(i, c, f"{name}-{k}", slot, int(used[k]), f"{name}-g{group[k]}") for k, (c, items) in enumerate(windows) for slot, i in enumerate(items)]
-        out = pd.DataFrame(rows, columns=["i", "tier", "window", "slot", "used", "step"])
+        rows = [(i, c, f"{name}-{k}", slot, int(used[k])) for k, (c, items) in enumerate(windows) for slot, i in enumerate(items)]
+        out = pd.DataFrame(rows, columns=["i", "tier", "window", "slot", "used"])
         return pd.concat([shard.loc[out["i"], ["doc_id", "piece", "token_start", "n_tokens"]].reset_index(drop=True), out.drop(columns="i")], axis=1)
 
     return run
@@ -133,20 +140,22 @@ def pack(pieces: DataFrame, tiers: tuple[int, ...] = (512, 1024, 2048), shard_it
 
     ``pieces`` must not exceed the largest tier. Shards are cut by a hash of the piece, hold about ``shard_items``
     items whatever the table's size and are packed independently; windows filled below ``full`` are opened again and
-    their items packed in a second round of few shards. The sum of n_tokens of a window never exceeds its tier.
+    their items packed in a second round of few shards. Step groups are dealt over all windows. The sum of n_tokens of a window never exceeds its tier.
     Repeated rows are items of their own. An empty table gives no rows.
     """
     pieces = cut(pieces)
 
     def rounds(items: DataFrame, k: int) -> DataFrame:
-        shards = max(1, -(-items.count() // shard_items))
+        shards = max(4 if k == 1 else 1, -(-items.count() // shard_items))
         spread = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(k)), F.lit(shards)).cast("int"))
-        return cut(spread.groupBy("shard").applyInPandas(_pack_shard(tuple(tiers), step_tokens, k), PLACED))
+        return cut(spread.groupBy("shard").applyInPandas(_pack_shard(tuple(tiers), k), PLACED))
 
     first = rounds(pieces, 1)
     loose = F.col("used") < full * F.col("tier")
     again = rounds(first.where(loose).select("doc_id", "piece", "token_start", "n_tokens"), 2)
-    return first.where(~loose).unionByName(again)
+    placed = cut(first.where(~loose).unionByName(again))
+    steps = step_groups(placed.where(F.col("slot") == 0).select("tier", "window", "used"), step_tokens)
+    return placed.join(steps, ["tier", "window"]).select(*pieces.columns, "tier", "window", "slot", "used", "step")
 
 
 def fill_report(placed: DataFrame) -> DataFrame:

@@ -34,11 +34,15 @@ def test_fill_is_high(spark):
     assert total["fill"] > 0.99 and total["tokens"] == int(sizes.sum())
 
 
-def test_step_groups_are_level():
-    used = np.random.default_rng(1).integers(50, 64, 320)
-    group = packing.step_groups(np.full(320, 64), used, 1024)
-    load = np.bincount(group, weights=used)
-    assert np.bincount(group).max() <= 16 and load.max() - load.min() <= 20
+def test_step_groups_are_level_over_all_windows(spark):
+    used = np.random.default_rng(1).integers(50, 65, 3200)
+    used[:1600] = 64
+    df = spark.createDataFrame([(64, f"{k % 9}-w{k}", int(u)) for k, u in enumerate(used)] + [(128, f"x{k}", 100) for k in range(5)], "tier int, window string, used int")
+    for part_rows in (200_000, 100):
+        got = packing.step_groups(df, 1024, part_rows=part_rows)
+        assert got.count() == 3205 and got.select("window").distinct().count() == 3205
+        load = got.join(df, ["tier", "window"]).where("tier = 64").groupBy("step").agg(F.sum("used").alias("u"), F.count("*").alias("n")).toPandas()
+        assert len(load) == 200 and set(load["n"]) == {16} and load["u"].max() - load["u"].min() <= 20
 
 
 def test_texts_are_cut_only_beyond_the_capacity(spark):
