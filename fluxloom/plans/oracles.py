@@ -138,9 +138,9 @@ SELECT element, round(emission, 8) AS emission, num_obs, num_days, round(CASE WH
  m AS (SELECT element, median(CASE WHEN flux <> 0 THEN 1.0 / flux END) AS m FROM lab LEFT JOIN f USING (i, j) GROUP BY element)
 SELECT element, round(coalesce(least(m, 1.5e7), 1.0), 6) AS jacobian_sf, round(coalesce(least(m, 1.5e7), 1.0) - 1, 6) AS effective_sf FROM m""",
     "gridded_scale": "SELECT i, j, round(CASE WHEN element IS NULL THEN 1.0 ELSE 1.0 + (element % 11) / 10.0 END, 6) AS scale FROM state_vector",
-    "normal_equations": f"""WITH {_K}, e AS (SELECT k, dy, 225.0 * (225.0 * (0.45 / greatest(p, 1) + 0.55) + 20.25) / 245.25 AS v FROM kk),
- ij AS (SELECT a.x AS r, b.x AS c FROM (SELECT unnest(generate_series(1, 8)) AS x) a, (SELECT unnest(generate_series(1, 8)) AS x) b)
-SELECT CAST(r - 1 AS INT) AS "row", CAST(c - 1 AS INT) AS col, round(sum(k[r] * k[c] / v), 6) AS v, round(sum(k[r] * dy / v), 6) AS rhs FROM e, ij GROUP BY r, c""",
+    "normal_equations": """WITH e AS (SELECT list_append(CAST(embedding AS DOUBLE[]), CAST(embedding[10] AS DOUBLE)) AS k, 225.0 * (225.0 * (0.45 / greatest(1 + label, 1) + 0.55) + 20.25) / 245.25 AS v FROM embeddings),
+ r AS (SELECT k, v, unnest(generate_series(1, len(k) - 1)) AS r FROM e), c AS (SELECT *, unnest(generate_series(1, len(k))) AS c FROM r)
+SELECT CAST(r - 1 AS INT) AS "row", CAST(c - 1 AS INT) AS col, round(sum(k[r] * k[c] / v), 6) AS v FROM c GROUP BY r, c""",
     "rescaled_jacobian": f"WITH {_K} SELECT vec_id, round(k[1] * (1.5 / (2.0 + k[1] * k[1]) * (1e-8 / 2e-8)), 6) AS k_first, round(k[6] * ((1.5 + 0.1 * 5) / (2.0 + k[6] * k[6]) * (1e-8 / 2e-8)), 5) AS k_sixth, round(k[8], 6) AS k_last FROM kk",
     "daily_bias": f"WITH {_PAIRS} SELECT day, i, j, round(bias + 1e-9, 4) AS bias FROM daily",
     "spatial_smooth": f"WITH {_PAIRS}, {_OFF} SELECT day, i + di AS i, j + dj AS j, round(avg(bias) + 1e-9, 4) AS bias FROM daily, off WHERE i + di BETWEEN 0 AND 25 AND j + dj BETWEEN 0 AND 31 GROUP BY day, i + di, j + dj HAVING count(bias) >= 4",

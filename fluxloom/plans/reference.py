@@ -320,32 +320,49 @@ def gridded_scale(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def normal_equations(spark: SparkSession, d: str) -> DataFrame:
-    eq = inversion.normal_equations(jacobian_rows(spark, d), K_SIZE, [15.0])
-    return eq.select("row", F.posexplode("vals").alias("col", "v"), "rhs").select("row", "col", _r("v").alias("v"), _r("rhs").alias("rhs"))
+    """K'K and K'dy of all elements, entry by entry (column n is the right side)."""
+    rows, layout = whole_jacobian(spark, d)
+    eq = inversion.normal_equations(rows, layout.n, [15.0], block=16)
+    at = eq.select("I", "J", "nc", F.posexplode("vals").alias("k", "v"))
+    return at.select((F.col("I") * 16 + F.floor(F.col("k") / F.col("nc"))).cast("int").alias("row"), (F.col("J") * 16 + F.col("k") % F.col("nc")).cast("int").alias("col"), _r("v").alias("v"))
 
 
 @query
 def gaussian_posterior(spark: SparkSession, d: str) -> DataFrame:
     rows, layout = whole_jacobian(spark, d)
-    eq = inversion.normal_equations(rows, layout.n, [15.0])
-    sols, _ = inversion.ensemble(eq, layout, "gaussian", [0.5], [15.0], [0.25])
-    return inversion.elements_table(spark, sols).select("element", _r("xhat").alias("xhat"), _r("s_post_diag").alias("s_post"), _r("a_diag").alias("a"))
+    eq = inversion.normal_equations(rows, layout.n, [15.0], block=32)
+    out = inversion.gaussian(eq, layout, inversion.members([0.5], [15.0], [0.25]), block=32)
+    return out.select("element", _r("xhat").alias("xhat"), _r("s_post_diag").alias("s_post"), _r("a_diag").alias("a"))
 
 
-@query
-def inversion_ensemble(spark: SparkSession, d: str) -> DataFrame:
+def _ensemble(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict], inversion.Layout]:
     sigmas = [10.0, 15.0]
     rows, layout = whole_jacobian(spark, d)
     eq = inversion.normal_equations(rows, layout.n, sigmas)
-    return inversion.members_table(spark, *inversion.ensemble(eq, layout, "gaussian", [0.25, 0.5, 0.75], sigmas, [0.1, 0.25, 1.0]))
+    params = inversion.members([0.25, 0.5, 0.75], sigmas, [0.1, 0.25, 1.0], bc=[5.0, 10.0])
+    return inversion.gaussian(eq, layout, params), params, layout
+
+
+@query
+def inversion_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    elements, params, layout = _ensemble(spark, d)
+    return inversion.ensemble_summary(elements, params, layout.n_emis - layout.n_buffer)
+
+
+@query
+def ensemble_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and deviation of the members' total emissions."""
+    elements, _, layout = _ensemble(spark, d)
+    tg = region_emissions(spark, d).join(labelled(spark, d), ["i", "j"]).where(F.col("element") <= layout.n_emis).groupBy("element").agg(F.sum("tg").alias("tg"))
+    return inversion.ensemble_totals(elements, tg)
 
 
 @query
 def lognormal_posterior(spark: SparkSession, d: str) -> DataFrame:
     rows, layout = whole_jacobian(spark, d)
     eq = inversion.normal_equations(rows, layout.n, [15.0])
-    sols, _ = inversion.ensemble(eq, layout, "lognormal", [2.0], [15.0], [0.25])
-    return inversion.elements_table(spark, sols).select("element", _r("xhat").alias("xhat"), _r("a_diag").alias("a"))
+    out = inversion.lognormal_members(eq, layout, inversion.members([2.0], [15.0], [0.25]))
+    return out.select("element", _r("xhat").alias("xhat"), _r("a_diag").alias("a"))
 
 
 @query

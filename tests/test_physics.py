@@ -94,15 +94,27 @@ def system(n=6, m=400, seed=0):
 def test_normal_equations_and_gaussian(spark):
     k, dy, p = system()
     df = spark.createDataFrame([(a.tolist(), float(b), float(c)) for a, b, c in zip(k, dy, p)], "k array<double>, dy double, p double").repartition(5)
-    eq = inversion.normal_equations(df, 6, [15.0, 10.0])
+    eq = inversion.normal_equations(df, 6, [15.0, 10.0], block=4)
     var = 225 * (225 * (0.45 / p + 0.55) + 20.25) / 245.25
-    g, b = inversion.collect_system(eq, 15.0)
-    assert np.allclose(g, (k / var[:, None]).T @ k) and np.allclose(b, (k / var[:, None]).T @ dy)
-    sol = inversion.gaussian(g, b, inversion.Layout(6), 0.5, 0.25)
-    want = 1 + np.linalg.inv(0.25 * g + np.eye(6) / 0.25) @ (0.25 * b)
-    assert np.allclose(sol.xhat, want) and (np.diag(sol.kernel) >= 0).all() and (np.diag(sol.kernel) <= 1).all()
-    sols, best = inversion.ensemble(eq, inversion.Layout(6, n_bc=1, n_oh=1), "gaussian", [0.25, 0.5], [15.0, 10.0], [0.5])
-    assert len(sols) == 4 and best == int(np.argmin([abs(s.ja - 1) for s in sols]))
+    blocks = eq.where("sigma = 15").orderBy("I", "J").collect()
+    whole = np.block([[np.array(r["vals"]).reshape(r["nr"], r["nc"]) for r in blocks if r["I"] == i] for i in (0, 1)])
+    g, b = (k / var[:, None]).T @ k, (k / var[:, None]).T @ dy
+    assert np.allclose(whole[:, :6], g) and np.allclose(whole[:, 6], b)
+    got = inversion.gaussian(eq, inversion.Layout(6), inversion.members([0.5], [15.0], [0.25]), block=4).orderBy("element").toPandas()
+    assert np.allclose(got["xhat"], 1 + np.linalg.inv(0.25 * g + np.eye(6) / 0.25) @ (0.25 * b)) and got["a_diag"].between(0, 1).all()
+    params = inversion.members([0.25, 0.5], [15.0, 10.0], [0.5], bc=[5.0, 10.0])
+    out = inversion.gaussian(eq, inversion.Layout(6, n_bc=1, n_oh=1), params, block=4)
+    one = out.where("member = 0").orderBy("element").toPandas()
+    plain = np.array([0.25**2] * 4 + [25.0, 0.25])
+    tight = plain * [1, 1, 1, 1, 1, 1 / 5]
+    assert np.allclose(one["xhat"], [1, 1, 1, 1, 0, 1] + np.linalg.solve(0.5 * g + np.diag(1 / tight), 0.5 * b))
+    assert np.allclose(one["s_post_diag"], np.diag(np.linalg.inv(0.5 * g + np.diag(1 / plain))))
+    summary = inversion.ensemble_summary(out, params, 4).toPandas()
+    assert len(summary) == 8 and summary["is_default"].sum() == 1 and (summary["dofs_roi"] <= summary["dofs"]).all()
+    assert summary.loc[summary["is_default"], "member"].iloc[0] == summary.sort_values("member").set_index("member")["ja_normalized"].sub(1).abs().idxmin()
+    totals = inversion.ensemble_totals(out, spark.createDataFrame([(e, 2.0) for e in range(1, 5)], "element int, tg double")).first()
+    each = out.where("element <= 4").groupBy("member").agg(F.sum("xhat").alias("x")).toPandas()["x"] * 2
+    assert totals["members"] == 8 and totals["mean"] == pytest.approx(each.mean()) and totals["sd"] == pytest.approx(each.std(ddof=0))
     bad = spark.createDataFrame([([1.0] * 6, None, 1.0)], "k array<double>, dy double, p double")
     with pytest.raises(Exception, match="missing values"):
         inversion.normal_equations(bad, 6, [15.0]).collect()
@@ -112,8 +124,28 @@ def test_lognormal_converges_to_the_truth():
     rng = np.random.default_rng(1)
     k, x = rng.uniform(0, 1, (4000, 5)), np.array([0.5, 1.5, 2.0, 1.0, 0.8])
     dy = k @ (x - 1)
-    sol = inversion.lognormal(k.T @ k / 1e-3, k.T @ dy / 1e-3, inversion.Layout(5), 2.0, 1.0, tolerance=1e-6)
-    assert np.allclose(sol.xhat, x, rtol=1e-2) and 0 < sol.dofs <= 5
+    xhat, _, kernel, _ = inversion.lognormal(k.T @ k / 1e-3, k.T @ dy / 1e-3, inversion.Layout(5), 2.0, 1.0, prior_scale=1.0, tolerance=1e-6)
+    assert np.allclose(xhat, x, rtol=1e-2) and 0 < kernel.sum() <= 5
+    # by default the prior is turned from a mean into a median, which strong data outweigh
+    scaled = inversion.lognormal(k.T @ k / 1e-3, k.T @ dy / 1e-3, inversion.Layout(5), 2.0, 1.0, tolerance=1e-6)[0]
+    assert np.allclose(scaled, x, rtol=2e-2)
+    # without data the mean of the posterior is the mean of the prior: exp(s2/2) times its median
+    assert np.allclose(inversion.lognormal(np.zeros((3, 3)), np.zeros(3), inversion.Layout(3), 2.0, 1.0)[0], 1.0)
+
+
+def test_block_solve_of_two_thousand_elements(spark):
+    n, block = 2000, 500
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(n, n)) / 50
+    a = a @ a.T + np.eye(n)
+    b = rng.normal(size=n)
+    rows = [(1, i, j, block, block, a[i * block : (i + 1) * block, j * block : (j + 1) * block].ravel().tolist()) for i in range(4) for j in range(4)]
+    rows += [(1, i, 4, block, 1, b[i * block : (i + 1) * block].tolist()) for i in range(4)]
+    done = inversion.solved(spark.createDataFrame(rows, "member int, I int, J int, nr int, nc int, vals array<double>").repartition(8), ["member"], n, block)
+    x = {r["I"]: r["vals"] for r in done.where("J = 4").collect()}
+    assert np.allclose(np.concatenate([x[i] for i in range(4)]), np.linalg.solve(a, b))
+    corner = done.where("I = 3 and J = 1").first()["vals"]
+    assert np.allclose(np.array(corner).reshape(block, block), np.linalg.inv(a)[1500:, 500:1000])
 
 
 def test_connected_classes(spark):
@@ -163,4 +195,4 @@ def test_inversions_take_whole_vectors(spark, sf_dir):
     for name in ("gaussian_posterior", "lognormal_posterior"):
         rows = reference.QUERIES[name](spark, sf_dir).collect()
         assert sorted(r["element"] for r in rows) == list(range(1, 65)) and all(np.isfinite(r["xhat"]) for r in rows), name
-    assert reference.QUERIES["inversion_ensemble"](spark, sf_dir).where("dofs > 0 and dofs <= 64").count() == 18
+    assert reference.QUERIES["inversion_ensemble"](spark, sf_dir).where("dofs > 0 and dofs <= 64 and dofs_roi <= dofs").count() == 36
