@@ -57,3 +57,19 @@ def perturbation_factors(total: DataFrame, elements: DataFrame, target: float, c
     else:
         out = out.withColumn("prior_sf", F.lit(1.0))
     return out.select("element", "jacobian_sf", (F.col("jacobian_sf") / F.coalesce(F.col("prior_sf"), F.lit(1.0)) - 1).alias("effective_sf"))
+
+
+def without_sink(mean: DataFrame, sink: str = "Soil") -> DataFrame:
+    """i, j, total, total_without_sink: fluxes of all sectors, and of all but the soil sink, per cell."""
+    return mean.groupBy("i", "j").agg(F.sum("flux").alias("total"), F.coalesce(F.sum(F.when(F.col("sector") != sink, F.col("flux"))), F.lit(0.0)).alias("total_without_sink"))
+
+
+def posterior_totals(daily: DataFrame, scale: DataFrame, mask: DataFrame, sink: str = "Soil") -> DataFrame:
+    """period_number, prior, posterior: totals (Tg per year) over ``mask`` of each period's mean emissions, scaled.
+
+    ``daily`` has period_number, i, j, sector, flux, area; ``scale`` period_number, i, j, sf (missing factors are 1).
+    """
+    mean = daily.groupBy("period_number", "i", "j", "sector").agg(F.avg("flux").alias("flux"), F.avg("area").alias("area"))
+    rows = mean.join(mask.select("i", "j").distinct(), ["i", "j"], "left_semi").join(scale, ["period_number", "i", "j"], "left")
+    sf = F.when(F.col("sector") == sink, 1.0).otherwise(F.coalesce(F.col("sf"), F.lit(1.0)))
+    return rows.groupBy("period_number").agg(total_tg(F.col("flux"), F.col("area")).alias("prior"), total_tg(F.col("flux") * sf, F.col("area")).alias("posterior"))

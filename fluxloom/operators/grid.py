@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,3 +135,27 @@ def overlap_cells(pixels: DataFrame, keys: list[str], grid: Grid = GRID) -> Data
     total = rows.groupBy(*keys).agg(F.sum("area").alias("total"))
     return rows.drop("lon_b", "lat_b").join(total, keys).withColumn("weight", F.col("area") / F.col("total")).drop("total")
 
+
+def axis_edges(cells: DataFrame, axis: str) -> DataFrame:
+    """k, mid, lower, upper of the distinct coordinates of ``axis``: edges lie midway, the outer ones as far out as in."""
+    mids = cells.select(F.col(axis).alias("mid")).distinct()
+    order = W.partitionBy(F.lit(0)).orderBy("mid")  # the coordinates of one axis only
+    before, after = F.lag("mid").over(order), F.lead("mid").over(order)
+    rows = mids.select((F.row_number().over(order) - 1).alias("k"), "mid", before.alias("before"), after.alias("after"))
+    down, up = (F.col("mid") - F.col("before")) / 2, (F.col("after") - F.col("mid")) / 2
+    return rows.select("k", "mid", (F.col("mid") - F.coalesce(down, up, F.lit(0.0))).alias("lower"), (F.col("mid") + F.coalesce(up, down, F.lit(0.0))).alias("upper"))
+
+
+def eastern_edge(lon: Column, dlon: float) -> Column:
+    """East edge of the cell centred at ``lon``: on a global grid of 2.5 degrees the easternmost cell reaches 180."""
+    edge = lon + dlon / 2
+    return F.when(lon == 177.5, F.lit(180.0)).otherwise(edge) if dlon == 2.5 else edge
+
+
+def checked_cover(overlaps: DataFrame, pixel_area: Column, dlon: float, tolerance: float = 0.01) -> DataFrame:
+    """``overlaps`` where the covered area must be the pixel's (global grids, ``dlon`` above 2): raises on a row that
+    differs by ``tolerance`` or more; other grids pass unchecked."""
+    if dlon <= 2.0:
+        return overlaps
+    off = F.abs(F.col("covered") - pixel_area) / pixel_area
+    return overlaps.withColumn("covered", F.when(off < tolerance, F.col("covered")).otherwise(F.raise_error(F.lit("overlap and pixel area differ")).cast("double")))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,17 +45,38 @@ def nudge(state: DataFrame, posterior: DataFrame, emissions: DataFrame, mask: Da
     return rows.select("i", "j", F.coalesce(sf, F.lit(1.0)).alias("sf"))
 
 
-def fold(cells: DataFrame, by_period: list[tuple[DataFrame, DataFrame]], mask: DataFrame, factor: float = 0.1) -> DataFrame:
+def fold(
+    cells: DataFrame, by_period: list[tuple[DataFrame, DataFrame]], mask: DataFrame, factor: float = 0.1, first: int = 1, archive: str | None = None
+) -> DataFrame:
     """State after all periods: unit scale factors, then one nudge per (posterior, emissions) of a period.
 
-    The state is checkpointed after each period, so plans stay short and a run can resume at a period.
+    With an ``archive`` folder the state after each period is stored there as ``period=n``; a run that starts at
+    ``first`` > 1 takes up the archived state of the period before (ValueError without an archive). ``by_period`` holds
+    the periods from ``first`` on.
     """
-    state = cells.select("i", "j", F.lit(1.0).alias("sf"))
-    for posterior, emissions in by_period:
-        state = cut(nudge(state, posterior, emissions, mask, factor))
+    if first > 1 and archive is None:
+        raise ValueError("a restart needs the archived states")
+    spark = cells.sparkSession
+    state = cells.select("i", "j", F.lit(1.0).alias("sf")) if first == 1 else spark.read.parquet(f"{archive}/period={first - 1}")
+    for period, (posterior, emissions) in enumerate(by_period, first):
+        state = nudge(state, posterior, emissions, mask, factor)
+        if archive is None:
+            state = cut(state)
+        else:
+            state.write.mode("overwrite").parquet(f"{archive}/period={period}")
+            state = spark.read.parquet(f"{archive}/period={period}")
     return state
 
 
+def reclustered(by_period: list[DataFrame], cluster: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """period, i, j, label: the state vector of every period, clustered anew by ``cluster`` on that period's cells."""
+    out = None
+    for period, cells in enumerate(by_period, 1):
+        one = cluster(cells).select(F.lit(period).alias("period"), "i", "j", "label")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def retained(states: DataFrame, first: date, last: date, day: str = "d") -> DataFrame:
     """States worth keeping once a period is done: all but those strictly between its first and last day."""
     return states.where(~((F.col(day) > F.lit(first)) & (F.col(day) < F.lit(last))))

@@ -46,3 +46,23 @@ def sensitivity(perturbed: Column, base: Column, kind: Column, emission_step: Co
     """Change of the model per unit of an element: its step is its own for emissions, fixed for OH and boundaries."""
     step = F.when(kind == "oh", F.lit(oh_step)).when(kind == "boundary", F.lit(bc_step)).otherwise(emission_step)
     return F.transform(F.arrays_zip(perturbed.alias("p"), base.alias("b")), lambda x: (x["p"] - x["b"]) / step)
+
+
+def at_hours(rows: DataFrame, state: DataFrame, hour: str = "hour") -> DataFrame:
+    """``rows`` (hour, i, j, ...) with the model state of their hour and cell; rows of an hour that the model lacks fall out.
+
+    An equi join, so only the hours and cells that occur in ``rows`` are kept of ``state`` (hour, i, j, ...).
+    """
+    return rows.join(state, [hour, "i", "j"])
+
+
+def element_axis(tracers: DataFrame, bases: DataFrame, kind: Column, emission_step: Column, oh_step: float, bc_step: float) -> DataFrame:
+    """hour, i, j, element, dch4: change of the model layers per unit of every element.
+
+    ``tracers`` has hour, element, i, j, ch4 (array) of the perturbed runs, whichever run holds an element; ``bases``
+    has hour, run_id, i, j, ch4. Emission and boundary elements are compared with base run 0001, OH with base run 0000.
+    """
+    rows = tracers.withColumn("kind", kind).withColumn("run_id", F.when(F.col("kind") == "oh", "0000").otherwise("0001"))
+    both = rows.join(bases.withColumnRenamed("ch4", "base"), ["hour", "run_id", "i", "j"])
+    change = sensitivity(F.col("ch4"), F.col("base"), F.col("kind"), emission_step, oh_step, bc_step)
+    return both.select("hour", "i", "j", "element", change.alias("dch4"))

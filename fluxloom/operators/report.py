@@ -73,3 +73,14 @@ def conservative_regrid(tenths: DataFrame, dlon: float, dlat: float) -> DataFram
     share = lambda a, b, k, d: F.least(b, (k + 1) * d) - F.greatest(a, k * d)
     w = share(x0, x1, F.col("I"), dlon) * share(y0, y1, F.col("J"), dlat)
     return rows.withColumn("w", w).where(F.col("w") > 1e-12).groupBy("I", "J").agg((F.sum(F.col("w") * F.col("mean")) / F.sum("w")).alias("mean"), F.count("*").alias("n"))
+
+
+def paired(prior: DataFrame, posterior: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``prior`` and ``posterior`` (keys, value) with equal keys: keys, prior, posterior; unpaired rows fall out."""
+    return prior.select(*keys, F.col("value").alias("prior")).join(posterior.select(*keys, F.col("value").alias("posterior")), keys)
+
+
+def site_years(readings: DataFrame) -> DataFrame:
+    """site, year, n, mean and first value (by time, then row_id) of ``readings`` (site, time, row_id, ppb)."""
+    first = F.min_by("ppb", F.struct("time", "row_id"))
+    return readings.where(F.col("ppb").isNotNull()).groupBy("site", F.year("time").alias("year")).agg(F.count("*").alias("n"), F.avg("ppb").alias("mean"), first.alias("first"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import timedelta
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxloom.functions.geo import position
-from fluxloom.operators import bias, emissions, inversion, kalman, model, preview, report, soundings, statevector, units
+from fluxloom.operators import bias, emissions, grid, inversion, kalman, model, preview, report, soundings, statevector, units
 from fluxloom.operators.grid import GRID, dilate
-from fluxloom.session import ensure_checkpoint_dir
+from fluxloom.session import cut, ensure_checkpoint_dir
 from fluxloom.sources.tables import dataset_of, finite, site_of, table
 from fluxloom.streaming import incremental
 
@@ -233,8 +233,7 @@ def obs_in_mask(spark: SparkSession, d: str) -> DataFrame:
 def grid_summary(spark: SparkSession, d: str) -> DataFrame:
     """Bounds of the grid, its step, and the number of labels."""
     sv = table(spark, d, "state_vector")
-    lons = sv.select("lon").distinct().withColumn("step", F.col("lon") - F.lag("lon").over(W.partitionBy(F.lit(0)).orderBy("lon")))  # the grid's columns only
-    step = lons.agg(F.median("step").alias("step")).first()["step"]
+    step = grid.axis_edges(sv, "lon").agg(F.median(F.col("upper") - F.col("lower")).alias("step")).first()["step"]
     out = sv.agg(F.min("lon").alias("lon0"), F.max("lon").alias("lon1"), F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.count_distinct("element").alias("labels"))
     return out.withColumn("step", F.lit(step))
 
@@ -413,26 +412,66 @@ def corrected_boundaries(spark: SparkSession, d: str) -> DataFrame:
 # --- sequential updates ------------------------------------------------------------------------
 
 
+def _periods(spark: SparkSession, d: str, step_days: int = 30) -> tuple[DataFrame, int]:
+    """Whole periods from the first to the last day of the emissions, and their number."""
+    span = daily_emissions(spark, d).agg(F.min("d").alias("a"), F.max("d").alias("b")).first()
+    plan = kalman.periods(spark, span["a"], span["b"] + timedelta(days=1), step_days)
+    return plan, plan.count()
+
+
 @query
 def kalman_periods(spark: SparkSession, d: str) -> DataFrame:
-    """Emissions per whole 30-day period of the year 1996."""
-    rows = daily_emissions(spark, d)
-    plan = kalman.periods(spark, date(1996, 1, 1), date(1997, 1, 1), 30)
-    return kalman.in_periods(rows, plan).groupBy("period_number").agg(F.count("*").alias("n"), _r(F.sum(F.col("flux") * F.col("area")), 2).alias("total"))
+    """Emissions per whole 30-day period from the first day to the last."""
+    plan, _ = _periods(spark, d)
+    return kalman.in_periods(daily_emissions(spark, d), plan).groupBy("period_number").agg(F.count("*").alias("n"), _r(F.sum(F.col("flux") * F.col("area")), 2).alias("total"))
+
+
+def _period_scale(spark: SparkSession, d: str, p: Column | int) -> Column:
+    """Posterior factor of an element in a period, made of their numbers; some are negative."""
+    return F.lit(0.75) + ((F.col("element") * 3 + p) % 5) * 0.125 - F.when(F.col("element") % 97 == p, 2.0).otherwise(0.0)
+
+
+def _nudge_steps(spark: SparkSession, d: str, step_days: int) -> list[tuple[DataFrame, DataFrame]]:
+    plan, n = _periods(spark, d, step_days)
+    mean = kalman.in_periods(daily_emissions(spark, d).where(F.col("sector") != "Soil"), plan).groupBy("period_number", "i", "j").agg(F.avg("flux").alias("flux"), F.avg("area").alias("area"))
+    mean = cut(mean)
+    cells = table(spark, d, "state_vector").select("i", "j")
+    post = lambda p: labelled(spark, d).select("i", "j", _period_scale(spark, d, p).alias("post"))
+    return [(post(p), cells.join(mean.where(F.col("period_number") == p).drop("period_number"), ["i", "j"])) for p in range(1, n + 1)]
 
 
 @query
 def kalman_nudge(spark: SparkSession, d: str) -> DataFrame:
-    """Scale factors after three periods of 30 days, each with its own posterior."""
-    plan = kalman.periods(spark, date(1996, 1, 1), date(1997, 1, 1), 30)
-    rows = kalman.in_periods(daily_emissions(spark, d), plan).where(F.col("sector") != "Soil")
-    sv = table(spark, d, "state_vector")
-    steps = []
-    for p in (1, 2, 3):
-        em = rows.where(F.col("period_number") == p).groupBy("i", "j").agg(F.avg("flux").alias("flux"), F.avg("area").alias("area"))
-        post = labelled(spark, d).select("i", "j", (F.lit(0.75) + ((F.col("element") * 3 + p) % 5) * 0.125 - F.when(F.col("element") % 97 == p, 2.0).otherwise(0.0)).alias("post"))
-        steps.append((post, em))
-    return kalman.fold(sv, [(post, sv.select("i", "j").join(em, ["i", "j"])) for post, em in steps], region(spark, d)).select("i", "j", _r("sf").alias("sf"))
+    """Scale factors after all periods of 360 days, each with its own posterior."""
+    return kalman.fold(table(spark, d, "state_vector"), _nudge_steps(spark, d, 360), region(spark, d)).select("i", "j", _r("sf").alias("sf"))
+
+
+@query
+def kalman_restart(spark: SparkSession, d: str) -> DataFrame:
+    """As kalman_nudge, stopped after three periods and taken up again from the archived states."""
+    steps, sv, mask = _nudge_steps(spark, d, 360), table(spark, d, "state_vector"), region(spark, d)
+    archive = f"{ensure_checkpoint_dir(spark)}/states-{uuid4().hex}"
+    kalman.fold(sv, steps[:3], mask, archive=archive)
+    return kalman.fold(sv, steps[3:], mask, first=4, archive=archive).select("i", "j", _r("sf").alias("sf"))
+
+
+@query
+def posterior_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Prior and posterior totals of the region per 30-day period."""
+    plan, n = _periods(spark, d)
+    scale = labelled(spark, d).select("i", "j", "element", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("period_number"))
+    scale = scale.select("period_number", "i", "j", _period_scale(spark, d, F.col("period_number")).alias("sf"))
+    out = emissions.posterior_totals(kalman.in_periods(daily_emissions(spark, d), plan), scale, region(spark, d))
+    return out.select("period_number", _r("prior", 5).alias("prior"), _r("posterior", 5).alias("posterior"))
+
+
+@query
+def period_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The region's cells clustered anew in every period of 720 days, by that period's share of the emissions."""
+    steps = _nudge_steps(spark, d, 720)
+    roi = table(spark, d, "state_vector").where("is_roi").select("i", "j", "lon", "lat")
+    cells = [roi.join(em.select("i", "j", (F.col("flux") / 1000).alias("a")), ["i", "j"], "left").na.fill(0.0, ["a"]) for _, em in steps]
+    return kalman.reclustered(cells, lambda c: statevector.reduce_by_information(c, "a", 0.05, statevector.MAX_CLUSTER[0.25]))
 
 
 # --- plumes ------------------------------------------------------------------------------------
@@ -626,3 +665,89 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     # of a window updated in several batches the last state holds
     out = spark.read.parquet(f"{base}/out").groupBy("start", "key").agg(F.max_by(F.struct("n", "total"), "epoch").alias("s"))
     return out.select("start", F.col("key").alias("event_type"), "s.n", _r("s.total", 3).alias("total"))
+
+
+# --- model state by hour, element axis, pairs -------------------------------------------------------
+
+
+@query
+def model_at_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Super-observations with the surface value of the model at their hour and cell; the model lacks some hours."""
+    s = soundings.superobservations(soundings.center_weights(soundings_in(spark, d))).select("file_id", "i", "j", "hour", "xch4")
+    state = s.select("hour", "i", "j").distinct().where(F.col("hour") % 17 != 0).withColumn("ppb", F.lit(1900.0) + F.col("i") % 5 + (F.col("hour") % 24) * 0.25)
+    return model.at_hours(s, state).select("file_id", "i", "j", "hour", _r("xch4", 4).alias("xch4"), _r("ppb").alias("ppb"))
+
+
+@query
+def element_sensitivities(spark: SparkSession, d: str) -> DataFrame:
+    """Change of the lowest satellite layer per unit of six elements (the last is OH, the four before it boundaries)."""
+    cells = cut(model_cells(spark, d).withColumn("hour", F.lit(0)))
+    element = F.explode(F.sequence(F.lit(1), F.lit(6))).alias("element")
+    moved = lambda c, e: F.transform(c, lambda x: x * (1 + 0.01 * e))
+    tracers = cells.select("hour", "i", "j", "conc", element).select("hour", "i", "j", "element", moved(F.col("conc"), F.col("element")).alias("ch4"))
+    bases = cells.select("hour", "i", "j", F.lit("0001").alias("run_id"), F.col("conc").alias("ch4")).unionByName(cells.select("hour", "i", "j", F.lit("0000").alias("run_id"), moved(F.col("conc"), F.lit(0.5)).alias("ch4")))
+    kind = model.element_kind(F.col("element"), 6, True, True, True)
+    axis = model.element_axis(tracers, bases, kind, F.lit(0.5), 0.1, 10.0).join(cells.select("i", "j", "pedge"), ["i", "j"])
+    rows = soundings.center_weights(soundings_in(spark, d, "psurf", "dp")).join(axis, ["i", "j"])
+    edges = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.greatest(F.col("psurf") - k * F.col("dp"), F.lit(0.0)))
+    out = rows.select("file_id", "scanline", "pixel", "element", soundings.remapped(edges, F.col("pedge"), F.col("dch4")).alias("x"))
+    return out.where(F.col("x").isNotNull()).select("file_id", "scanline", "pixel", "element", _r(F.col("x")[0] * 1e9, 4).alias("bottom"))
+
+
+@query
+def prior_posterior_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Prior and posterior super-observations of the files that have both, averaged per file."""
+    s = soundings.superobservations(soundings.center_weights(soundings_in(spark, d))).select("file_id", "i", "j", F.col("xch4").alias("value"))
+    post = s.where(F.col("file_id").contains("OFFL")).withColumn("value", F.col("value") * 0.99 + F.col("i") * 0.5)
+    out = report.paired(s, post, ["file_id", "i", "j"])
+    return out.groupBy("file_id").agg(F.count("*").alias("n"), _r(F.avg("prior"), 4).alias("prior"), _r(F.avg("posterior"), 4).alias("posterior"))
+
+
+@query
+def total_without_sink(spark: SparkSession, d: str) -> DataFrame:
+    out = emissions.without_sink(emissions.sector_mean(daily_emissions(spark, d)))
+    return out.select("i", "j", _r("total").alias("total"), _r("total_without_sink").alias("total_without_sink"))
+
+
+@query
+def site_years(spark: SparkSession, d: str) -> DataFrame:
+    out = report.site_years(readings(spark, d))
+    return out.select("site", "year", "n", _r("mean", 4).alias("mean"), _r("first", 4).alias("first"))
+
+
+@query
+def grid_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the grid's columns and rows."""
+    sv = table(spark, d, "state_vector")
+    return grid.axis_edges(sv, "lon").withColumn("axis", F.lit("lon")).unionByName(grid.axis_edges(sv, "lat").withColumn("axis", F.lit("lat")))
+
+
+@query
+def buffer_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled cells within three cells of the inner part of the region, without that part."""
+    cells = table(spark, d, "state_vector").where("element is not null")
+    return statevector.buffer_cells(cells, cells.where("i between 8 and 17 and j between 10 and 21")).select("i", "j")
+
+
+@query
+def native_state_vector(spark: SparkSession, d: str) -> DataFrame:
+    sv = table(spark, d, "state_vector").select("i", "j", "lon", "lat", F.col("element").isNotNull().alias("land"))
+    return statevector.native_state_vector(sv, F.col("i").between(8, 17) & F.col("j").between(10, 21), F.col("land"), 8)
+
+
+@query
+def cell_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The polygon that each cell of the grid shares most area with, else the nearest within 100 km."""
+    regions = table(spark, d, "roi_polygons").select(F.col("roi_id").alias("place_id"), "wkt")
+    return statevector.cell_regions(table(spark, d, "state_vector").select("i", "j", "lon", "lat"), regions, GRID.dlon, GRID.dlat, 100_000.0)
+
+
+#: Operators that settings may name, by what they make of the soundings.
+DISPATCH: dict[str, Query] = {"centers": superobs_center, "overlaps": superobs_overlap, "pixels": pixel_model}
+
+
+def observe(name: str, spark: SparkSession, d: str) -> DataFrame:
+    """The observation operator ``name``; ValueError for a name that is not registered."""
+    if name not in DISPATCH:
+        raise ValueError(f"no such operator: {name!r}; known are {sorted(DISPATCH)}")
+    return DISPATCH[name](spark, d)

@@ -97,3 +97,19 @@ def paths_in_log(spark: SparkSession, path: str) -> DataFrame:
 def any_line_contains(spark: SparkSession, path: str, token: str) -> bool:
     """Whether a line of a text contains a token; reading stops at the first."""
     return spark.read.text(path).where(F.col("value").contains(token)).limit(1).count() > 0
+
+
+def cached(spark: SparkSession, name: str, path: str, cache: str) -> DataFrame:
+    """The plumes of a connector, kept as Parquet in ``cache``: read from there, else fetched from ``path`` and stored.
+
+    A cache that cannot be read, for whatever reason, is fetched anew.
+    """
+    if name not in CONNECTORS:
+        raise ValueError(f"no such connector: {name!r}; known are {sorted(CONNECTORS)}")
+    try:
+        held = spark.read.parquet(f"{cache}/{name}").select(*COLUMNS)
+        held.limit(1).count()
+        return held
+    except Exception:
+        CONNECTORS[name](spark, path).select(*COLUMNS).write.mode("overwrite").parquet(f"{cache}/{name}")
+        return spark.read.parquet(f"{cache}/{name}")
