@@ -97,6 +97,30 @@ _POSITION = f"""raw AS (SELECT plume_id, trim(geometry) AS g, lon, lat, regexp_m
  turned AS (SELECT plume_id, CASE WHEN abs(b) <= 90 THEN a ELSE b END AS lon, CASE WHEN abs(b) <= 90 THEN b ELSE a END AS lat FROM both_ WHERE a IS NOT NULL AND b IS NOT NULL),
  pos AS (SELECT plume_id, lon - 360 * CAST(round(lon / 360) AS INT) AS lon, lat FROM turned)"""
 
+_REMAP = f"""{_CENTER}, mod AS (SELECT i, j, 995.0 - (i + j) % 17 AS s FROM state_vector),
+ lay AS (SELECT i, j, s, k, s - k * (999.5 / 47) AS b, s - (k + 1) * (999.5 / 47) AS t, (1900.0 - 3 * k + i % 5) AS c FROM mod, (SELECT unnest(generate_series(0, 46)) AS k) g),
+ px AS (SELECT c.file_id, c.scanline, c.pixel, c.i, c.j, q.l, greatest(psurf - q.l * dp, 0) AS b, greatest(psurf - (q.l + 1) * dp, 0) AS t, psurf, greatest(psurf - 12 * dp, 0) AS top FROM cen c, (SELECT unnest(generate_series(0, 11)) AS l) q),
+ ov AS (SELECT px.file_id, px.scanline, px.pixel, px.l, px.top, lay.s, lay.c, greatest(0, least(px.b, CASE WHEN lay.k = 0 THEN greatest(lay.b, px.psurf) ELSE lay.b END) - greatest(px.t, lay.t)) AS w FROM px JOIN lay ON px.i = lay.i AND px.j = lay.j),
+ av AS (SELECT file_id, scanline, pixel, l, sum(w * c) / nullif(sum(w), 0) AS x FROM ov WHERE top >= s - 999.5 - 1e-9 GROUP BY file_id, scanline, pixel, l)"""
+_SPAN = "span AS (SELECT min(d) AS d0, date_diff('day', min(d), max(d)) + 1 AS days FROM em)"
+
+
+def _nudge(periods: int = 8, step: int = 360) -> str:
+    """The chain of states, one CTE per period; periods beyond the table's leave the state as it is."""
+    out = f"""WITH {_EMIS}, {_SPAN}, {_ROI}, {_LAB}, x AS (SELECT em.*, date_diff('day', d0, d) AS n, days FROM em, span WHERE sector <> 'Soil'),
+ mp AS (SELECT CAST(n // {step} + 1 AS INT) AS period, i, j, avg(flux) AS flux, avg(area) AS area FROM x WHERE n < {step} * (days // {step}) GROUP BY 1, 2, 3), s0 AS (SELECT i, j, 1.0 AS sf FROM state_vector)"""
+    for p in range(1, periods + 1):
+        post = f"0.75 + (element * 3 + {p}) % 5 * 0.125 - CASE WHEN element % 97 = {p} THEN 2.0 ELSE 0.0 END"
+        out += f""",
+ a{p} AS (SELECT s.i, s.j, sf, flux, area, roi.i IS NOT NULL AS inroi, flux * sf * coalesce({post.replace("element", "lab.element")}, 1.0) AS now FROM s{p - 1} s LEFT JOIN (SELECT * FROM mp WHERE period = {p}) m ON s.i = m.i AND s.j = m.j
+  LEFT JOIN lab ON s.i = lab.i AND s.j = lab.j LEFT JOIN roi ON s.i = roi.i AND s.j = roi.j),
+ n{p} AS (SELECT *, 0.1 * flux + 0.9 * greatest(now, 0) AS nudged FROM a{p}), t{p} AS (SELECT sum(now * area) / sum(nudged * area) AS share FROM n{p} WHERE inroi),
+ s{p} AS (SELECT i, j, CASE WHEN days // {step} < {p} THEN sf ELSE coalesce(CASE WHEN inroi AND flux <> 0 THEN nudged * share / flux END, 1.0) END AS sf FROM n{p}, t{p}, span)"""
+    return out + f" SELECT i, j, round(sf, 6) AS sf FROM s{periods}"
+
+
+_NUDGE = _nudge()
+
 ORACLE_SQL: dict[str, str] = {
     "p5_found": f"""WITH u AS (SELECT DISTINCT split_part(split_part(obspack_id, '~', 2), '_', 2) AS site, CAST(floor(epoch(time) / 3600) AS BIGINT) AS h FROM obspack
   WHERE contains(split_part(obspack_id, '~', 2), 'insitu') AND {_USABLE}),
@@ -116,11 +140,7 @@ SELECT site AS sitecode, strftime(make_timestamp(h * 3600000000), '%Y-%m-%dT%H')
     "superobs_center": f"WITH {_CENTER} SELECT file_id, i, j, n, round(xch4 + 1e-9, 4) AS xch4, round(lon, 6) AS lon, round(lat, 6) AS lat, hour FROM sup",
     "superobs_profiles": f"WITH {_CENTER} SELECT file_id, i, j, round(avg(ak[1]), 6) AS ak_0, round(avg(ak[12]), 6) AS ak_11, round(avg(list_sum(subcol)), 5) AS \"column\" FROM cen GROUP BY file_id, i, j",
     "superobs_error": f"WITH {_CENTER}, g AS (SELECT CAST(n AS BIGINT) AS p, count(*) AS n FROM sup GROUP BY 1) SELECT p, n, round(225.0 * {_ERR2} / 245.25, 6) AS variance, round(sqrt({_ERR2}), 6) AS error FROM g",
-    "vertical_remap": f"""WITH {_CENTER}, mod AS (SELECT i, j, 995.0 - (i + j) % 17 AS s FROM state_vector),
- lay AS (SELECT i, j, s, k, s - k * (999.5 / 47) AS b, s - (k + 1) * (999.5 / 47) AS t, (1900.0 - 3 * k + i % 5) AS c FROM mod, (SELECT unnest(generate_series(0, 46)) AS k) g),
- px AS (SELECT c.file_id, c.scanline, c.pixel, c.i, c.j, q.l, greatest(psurf - q.l * dp, 0) AS b, greatest(psurf - (q.l + 1) * dp, 0) AS t, psurf, greatest(psurf - 12 * dp, 0) AS top FROM cen c, (SELECT unnest([0, 11]) AS l) q),
- ov AS (SELECT px.file_id, px.scanline, px.pixel, px.l, px.top, lay.s, lay.c, greatest(0, least(px.b, CASE WHEN lay.k = 0 THEN greatest(lay.b, px.psurf) ELSE lay.b END) - greatest(px.t, lay.t)) AS w FROM px JOIN lay ON px.i = lay.i AND px.j = lay.j),
- av AS (SELECT file_id, scanline, pixel, l, sum(w * c) / nullif(sum(w), 0) AS x FROM ov WHERE top >= s - 999.5 - 1e-9 GROUP BY file_id, scanline, pixel, l)
+    "vertical_remap": f"""WITH {_REMAP}
 SELECT file_id, scanline, pixel, round(max(CASE WHEN l = 0 THEN x END), 5) AS bottom, round(max(CASE WHEN l = 11 THEN x END), 5) AS top FROM av GROUP BY file_id, scanline, pixel""",
     "preview_dofs": f"""WITH {_ELC}, {_MEAN}, tg AS (SELECT i, j, sum(flux * area) * {_TG} AS tg FROM mean GROUP BY i, j),
  sz AS (SELECT element, coalesce(sum(tg), 0) AS emission, count(*) AS cells FROM roi LEFT JOIN tg USING (i, j) GROUP BY element),
@@ -147,7 +167,35 @@ SELECT CAST(r - 1 AS INT) AS "row", CAST(c - 1 AS INT) AS col, round(sum(k[r] *
     "trailing_bias": f"WITH {_TRAIL} SELECT day, i, j, round(bias + 1e-9, 4) AS bias FROM tr WHERE bias IS NOT NULL",
     "lat_fill": f"WITH {_BANDS} SELECT day, j, round(band + 1e-9, 4) AS band FROM band WHERE band IS NOT NULL",
     "corrected_boundaries": f"WITH {_BANDS}, fb AS (SELECT day, i, j, coalesce(bias, band, 0) AS bias FROM tr LEFT JOIN band USING (day, j)) SELECT day, CAST(lev AS INT) AS lev, round(avg(1900.0 - 10 * lev - bias) + 1e-9, 4) AS ppb FROM fb, (SELECT unnest([1, 2, 3]) AS lev) l GROUP BY day, lev",
-    "kalman_periods": f"WITH {_EMIS}, x AS (SELECT *, date_diff('day', DATE '1996-01-01', d) AS n FROM em) SELECT CAST(n // 30 + 1 AS INT) AS period_number, count(*) AS n, round(sum(flux * area), 2) AS total FROM x WHERE n >= 0 AND n < 360 GROUP BY 1",
+    "kalman_periods": f"WITH {_EMIS}, {_SPAN}, x AS (SELECT *, date_diff('day', d0, d) AS n FROM em, span) SELECT CAST(n // 30 + 1 AS INT) AS period_number, count(*) AS n, round(sum(flux * area), 2) AS total FROM x WHERE n < 30 * (days // 30) GROUP BY 1",
+    "posterior_totals": f"""WITH {_EMIS}, {_SPAN}, {_ROI}, {_LAB}, x AS (SELECT em.*, date_diff('day', d0, d) AS n, days FROM em, span),
+ m AS (SELECT CAST(n // 30 + 1 AS INT) AS period_number, i, j, sector, avg(flux) AS flux, avg(area) AS area FROM x WHERE n < 30 * (days // 30) GROUP BY 1, 2, 3, 4),
+ y AS (SELECT m.*, CASE WHEN sector = 'Soil' OR element IS NULL THEN 1.0 ELSE 0.75 + (element * 3 + period_number) % 5 * 0.125 - CASE WHEN element % 97 = period_number THEN 2.0 ELSE 0.0 END END AS sf
+  FROM m LEFT JOIN lab ON m.i = lab.i AND m.j = lab.j WHERE (m.i, m.j) IN (SELECT (i, j) FROM roi))
+SELECT period_number, round(sum(flux * area) * {_TG}, 5) AS prior, round(sum(flux * sf * area) * {_TG}, 5) AS posterior FROM y GROUP BY period_number""",
+    "kalman_nudge": _NUDGE,
+    "kalman_restart": _NUDGE,
+    "model_at_hours": f"WITH {_CENTER} SELECT file_id, i, j, hour, round(xch4 + 1e-9, 4) AS xch4, round(1900.0 + i % 5 + (hour % 24) * 0.25, 6) AS ppb FROM sup WHERE hour % 17 <> 0",
+    "element_sensitivities": f"""WITH {_REMAP}, el AS (SELECT CAST(e AS INT) AS element, CASE WHEN e = 1 THEN 0.01 / 0.5 WHEN e < 6 THEN 0.01 * e / 10.0 ELSE (0.06 - 0.005) / 0.1 END AS f FROM (SELECT unnest(generate_series(1, 6)) AS e) g)
+SELECT file_id, scanline, pixel, element, round(x * f + 1e-9, 4) AS bottom FROM av, el WHERE l = 0 AND x IS NOT NULL""",
+    "column_xch4": f"""WITH {_REMAP}, lv AS (SELECT av.file_id, av.scanline, av.pixel, sum(c.prior[l + 1] + c.ak[l + 1] * (x * 1e-9 * c.subcol[l + 1] - c.prior[l + 1])) / sum(c.subcol[l + 1]) * 1e9 AS model, any_value(c.xch4) AS xch4, any_value(floor(epoch(c.obs_time) / 86400)) AS day
+  FROM av JOIN cen c ON av.file_id = c.file_id AND av.scanline = c.scanline AND av.pixel = c.pixel GROUP BY 1, 2, 3)
+SELECT CAST(day AS BIGINT) AS day, count(*) AS n, round(avg(model) + 1e-9, 4) AS model, round(avg(xch4) + 1e-9, 4) AS satellite FROM lv GROUP BY 1""",
+    "prior_posterior_pairs": f"WITH {_CENTER} SELECT file_id, count(*) AS n, round(avg(xch4) + 1e-9, 4) AS prior, round(avg(xch4 * 0.99 + i * 0.5) + 1e-9, 4) AS posterior FROM sup WHERE contains(file_id, 'OFFL') GROUP BY file_id",
+    "total_without_sink": f"WITH {_MEAN} SELECT i, j, round(sum(flux), 6) AS total, round(coalesce(sum(CASE WHEN sector <> 'Soil' THEN flux END), 0), 6) AS total_without_sink FROM mean GROUP BY i, j",
+    "site_years": f"WITH {_READ}, y AS (SELECT site, CAST(year(time) AS INT) AS year, ppb, row_number() OVER (PARTITION BY site, year(time) ORDER BY time, row_id) AS k FROM rd WHERE ppb IS NOT NULL) SELECT site, year, count(*) AS n, round(avg(ppb) + 1e-9, 4) AS mean, round(max(CASE WHEN k = 1 THEN ppb END) + 1e-9, 4) AS first FROM y GROUP BY site, year",
+    "grid_edges": """WITH a AS (SELECT DISTINCT 'lon' AS axis, lon AS mid FROM state_vector UNION SELECT DISTINCT 'lat', lat FROM state_vector)
+SELECT axis, CAST(row_number() OVER (PARTITION BY axis ORDER BY mid) - 1 AS INT) AS k, mid, mid - CASE axis WHEN 'lon' THEN 0.15625 ELSE 0.125 END AS lower, mid + CASE axis WHEN 'lon' THEN 0.15625 ELSE 0.125 END AS upper FROM a""",
+    "buffer_cells": "WITH c AS (SELECT i, j FROM state_vector WHERE element IS NOT NULL), k AS (SELECT * FROM c WHERE i BETWEEN 8 AND 17 AND j BETWEEN 10 AND 21) SELECT i, j FROM c WHERE (i, j) NOT IN (SELECT (i, j) FROM k) AND EXISTS (SELECT 1 FROM k WHERE abs(k.i - c.i) <= 3 AND abs(k.j - c.j) <= 3)",
+    "plume_cells": f"""WITH {_POSITION}, r AS (SELECT plume_id, datasource, CASE WHEN emission_rate > 0 AND NOT isnan(emission_rate) THEN emission_rate END AS rate, coalesce({_RATE_OF.format("rate_unit")}, {_RATE_OF.format("remarks")}, {_RATE_OF.format("description")}) AS unit
+  FROM plumes LEFT JOIN (SELECT source_name, description FROM sources WHERE feeds_table = 'plumes') s ON datasource = source_name WHERE coalesce(instrument, '') NOT IN ('GAO', 'ang', 'av3')),
+ c AS (SELECT {_I} AS i, {_J} AS j, datasource, rate * CASE unit WHEN 'kg/h' THEN 1.0 WHEN 't/h' THEN 1e3 WHEN 'g/s' THEN 3.6 WHEN 'lb/h' THEN 0.45359237 WHEN 'kt/yr' THEN 1e6 / 8760.0 END AS kg, lon, lat FROM r JOIN pos USING (plume_id)),
+ e AS (SELECT i, j, datasource, count(kg) AS detect, count(CASE WHEN kg IS NULL THEN 1 END) AS blank, avg(kg) AS rate FROM c WHERE abs(lon - (-108.0 + i * 0.3125)) < 0.5 AND abs(lat - (28.0 + j * 0.25)) < 0.5 GROUP BY i, j, datasource),
+ b AS (SELECT i, j, CAST(sum(detect) AS BIGINT) AS detect, CAST(sum(blank) AS BIGINT) AS blank, avg(rate) AS rate FROM e GROUP BY i, j)
+SELECT i, j, detect, blank, round(rate, 3) AS rate FROM b WHERE rate > 100 OR detect > 10""",
+    "background_sites": f"""WITH {_READ}, f AS (SELECT site, dataset, time, p AS ppb, c AS ch4_ppb FROM ro WHERE contains(dataset, 'flask') AND p > 500 AND c > 500 AND obs_flag = 1),
+ s AS (SELECT dataset, avg(ppb) AS mean, 3 * stddev_samp(ppb) AS sd3 FROM f GROUP BY dataset)
+SELECT site, dataset, CAST(floor(epoch(time) / 86400) AS BIGINT) AS day, count(*) AS n, round(avg(ppb), 3) AS ppb, round(avg(ch4_ppb), 3) AS ch4_ppb FROM f JOIN s USING (dataset) WHERE abs(ppb - mean) <= sd3 GROUP BY 1, 2, 3""",
     "point_source_cells": f"WITH {_PT} SELECT i, j, count(*) AS n FROM ptc GROUP BY i, j",
     "dataset_sigma": f"WITH {_READ}, s AS (SELECT dataset, avg(ppb) AS mean, stddev_samp(ppb) AS sd FROM rd WHERE ppb IS NOT NULL GROUP BY dataset) SELECT dataset, round(any_value(mean) + 1e-9, 4) AS mean, round(any_value(sd) + 1e-9, 4) AS sd, count(*) AS n, count(CASE WHEN abs(ppb - mean) > 3 * sd THEN 1 END) AS beyond FROM rd JOIN s USING (dataset) WHERE ppb IS NOT NULL GROUP BY dataset",
     "site_daily_means": f"WITH {_READ} SELECT site, CAST(floor(epoch(time) / 86400) AS BIGINT) AS day, count(*) AS n, round(avg(ppb) + 1e-9, 4) AS ppb, round(avg(ch4_ppb) + 1e-9, 4) AS ch4_ppb FROM rd WHERE ppb IS NOT NULL AND ch4_ppb IS NOT NULL GROUP BY 1, 2",
