@@ -256,7 +256,8 @@ def find_duplicates(records: DataFrame, path: str, tol: Tolerance = Tolerance(),
     if not batches:
         index.accept_prepared(wide)
     for b in batches:
-        index.accept_prepared(wide.where(F.col("batch") == b))
+        # written by itself, so that the plans of all batches are alike and their compiled code is shared
+        index.accept_prepared(cut(wide.where(F.col("batch") == b)))
     return index.repeats()
 
 
