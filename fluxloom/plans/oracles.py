@@ -42,7 +42,6 @@ _ELC = (
     + f", {_ROI}, src AS (SELECT * FROM roi), {_DIL}, cell AS (SELECT bi + 346 AS i, bj - 112 AS j, sum(obs_count) AS obs, count(*) AS days FROM cnt GROUP BY 1, 2), "
     + "elc AS (SELECT element, CAST(sum(obs) AS BIGINT) AS num_obs, CAST(sum(days) AS BIGINT) AS num_days FROM dil JOIN cell USING (i, j) GROUP BY element)"
 )
-_K = "kk AS (SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS k, CAST(embedding[10] AS DOUBLE) AS dy, CAST(1 + label AS DOUBLE) AS p FROM embeddings)"
 _PAIRS = _CENTER + ", pairs AS (SELECT CAST(floor(epoch(obs_time) / 86400) AS BIGINT) AS day, i, j, 1850.0 + i * 0.5 - j * 0.25 AS model, xch4 AS satellite FROM cen), daily AS (SELECT day, i, j, avg(CAST(model AS DOUBLE)) - avg(satellite) AS bias FROM pairs GROUP BY day, i, j)"
 _TRAIL = (
     _PAIRS
@@ -121,6 +120,35 @@ def _nudge(periods: int = 8, step: int = 360) -> str:
 
 _NUDGE = _nudge()
 
+
+
+def _clip(source: str, axis: str, bound: str, sign: int) -> str:
+    """Polygons ``p`` of ``source`` cut at one side of their cell."""
+    far = lambda q: f"({sign} * ({q}.{axis} - ({bound})))"
+    cur, prev = "p[k]", "p[CASE WHEN k = 1 THEN len(p) ELSE k - 1 END]"
+    t = f"{far(prev)} / ({far(prev)} - {far(cur)})"
+    cross = "{" + ", ".join(f"'{c}': {prev}.{c} + {t} * ({cur}.{c} - {prev}.{c})" for c in "xy") + "}"
+    return f"SELECT * EXCLUDE (p), list_filter(flatten(list_transform(generate_series(1, len(p)), lambda k: [CASE WHEN ({far(prev)} >= 0) <> ({far(cur)} >= 0) THEN {cross} END, CASE WHEN {far(cur)} >= 0 THEN {cur} END])), lambda q: q IS NOT NULL) AS p FROM {source}"
+
+
+_NEAR_I, _NEAR_J = _I.replace("lon", "lon_b[{0}]"), _J.replace("lat", "lat_b[{0}]")
+_OVERLAP = (
+    _OBS
+    + ", ov0 AS (SELECT *, ["
+    + ", ".join(_NEAR_I.format(k) for k in range(1, 5))
+    + "] AS ii, ["
+    + ", ".join(_NEAR_J.format(k) for k in range(1, 5))
+    + "] AS jj, ["
+    + ", ".join(f"{{'x': lon_b[{k}], 'y': lat_b[{k}]}}" for k in range(1, 5))
+    + "] AS p FROM obs), ov1 AS (SELECT *, unnest(list_distinct(ii)) AS i FROM ov0 WHERE "
+    + " AND ".join(f"abs(lon_b[{k}] - (-108.0 + ii[{k}] * 0.3125)) < 0.5 AND abs(lat_b[{k}] - (28.0 + jj[{k}] * 0.25)) < 0.5" for k in range(1, 5))
+    + "), c0 AS (SELECT file_id, scanline, pixel, obs_time, lon, lat, xch4, p, i, unnest(list_distinct(jj)) AS j FROM ov1), "
+    + f"c1 AS ({_clip('c0', 'x', '-108.0 + i * 0.3125 - 0.15625', 1)}), c2 AS ({_clip('c1', 'x', '-108.0 + i * 0.3125 + 0.15625', -1)}), "
+    + f"c3 AS ({_clip('c2', 'y', '28.0 + j * 0.25 - 0.125', 1)}), c4 AS ({_clip('c3', 'y', '28.0 + j * 0.25 + 0.125', -1)}), "
+    + "ar AS (SELECT * EXCLUDE (p), 0.5 * abs(list_sum(list_transform(generate_series(1, len(p)), lambda k: p[k].x * p[k % len(p) + 1].y - p[k % len(p) + 1].x * p[k].y))) AS area FROM c4 WHERE len(p) > 2), "
+    + "wt AS (SELECT *, area / sum(area) OVER (PARTITION BY file_id, scanline, pixel) AS w FROM ar WHERE area > 0)"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "p5_found": f"""WITH u AS (SELECT DISTINCT split_part(split_part(obspack_id, '~', 2), '_', 2) AS site, CAST(floor(epoch(time) / 3600) AS BIGINT) AS h FROM obspack
   WHERE contains(split_part(obspack_id, '~', 2), 'insitu') AND {_USABLE}),
@@ -138,7 +166,7 @@ SELECT site AS sitecode, strftime(make_timestamp(h * 3600000000), '%Y-%m-%dT%H')
     "daily_bin_counts": f"WITH {_COUNTS} SELECT * FROM cnt",
     "nearest_cell": f"WITH {_CENTER} SELECT file_id, scanline, pixel, i, j FROM cen",
     "superobs_center": f"WITH {_CENTER} SELECT file_id, i, j, n, round(xch4 + 1e-9, 4) AS xch4, round(lon, 6) AS lon, round(lat, 6) AS lat, hour FROM sup",
-    "superobs_profiles": f"WITH {_CENTER} SELECT file_id, i, j, round(avg(ak[1]), 6) AS ak_0, round(avg(ak[12]), 6) AS ak_11, round(avg(list_sum(subcol)), 5) AS \"column\" FROM cen GROUP BY file_id, i, j",
+    "superobs_profiles": f"WITH {_CENTER}, x AS (SELECT *, unnest(generate_series(1, 12)) AS l FROM cen) SELECT file_id, i, j, CAST(l - 1 AS INT) AS layer, round(avg(ak[l]), 6) AS ak, round(avg(subcol[l]), 5) AS subcol FROM x GROUP BY file_id, i, j, l",
     "superobs_error": f"WITH {_CENTER}, g AS (SELECT CAST(n AS BIGINT) AS p, count(*) AS n FROM sup GROUP BY 1) SELECT p, n, round(225.0 * {_ERR2} / 245.25, 6) AS variance, round(sqrt({_ERR2}), 6) AS error FROM g",
     "vertical_remap": f"""WITH {_REMAP}
 SELECT file_id, scanline, pixel, round(max(CASE WHEN l = 0 THEN x END), 5) AS bottom, round(max(CASE WHEN l = 11 THEN x END), 5) AS top FROM av GROUP BY file_id, scanline, pixel""",
@@ -161,7 +189,8 @@ SELECT element, round(coalesce(least(m, 1.5e7), 1.0), 6) AS jacobian_sf, round(c
     "normal_equations": """WITH e AS (SELECT list_append(CAST(embedding AS DOUBLE[]), CAST(embedding[10] AS DOUBLE)) AS k, 225.0 * (225.0 * (0.45 / greatest(1 + label, 1) + 0.55) + 20.25) / 245.25 AS v FROM embeddings),
  r AS (SELECT k, v, unnest(generate_series(1, len(k) - 1)) AS r FROM e), c AS (SELECT *, unnest(generate_series(1, len(k))) AS c FROM r)
 SELECT CAST(r - 1 AS INT) AS "row", CAST(c - 1 AS INT) AS col, round(sum(k[r] * k[c] / v), 6) AS v FROM c GROUP BY r, c""",
-    "rescaled_jacobian": f"WITH {_K} SELECT vec_id, round(k[1] * (1.5 / (2.0 + k[1] * k[1]) * (1e-8 / 2e-8)), 6) AS k_first, round(k[6] * ((1.5 + 0.1 * 5) / (2.0 + k[6] * k[6]) * (1e-8 / 2e-8)), 5) AS k_sixth, round(k[8], 6) AS k_last FROM kk",
+    "rescaled_jacobian": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS k, unnest(generate_series(1, len(embedding))) AS e FROM embeddings)
+SELECT vec_id, CAST(e - 1 AS INT) AS element, round(k[e] * CASE WHEN e <= len(k) - 2 THEN (1.5 + 0.1 * (e - 1)) / (2.0 + k[e] * k[e]) * (1e-8 / 2e-8) ELSE 1.0 END, 5) AS k FROM v""",
     "daily_bias": f"WITH {_PAIRS} SELECT day, i, j, round(bias + 1e-9, 4) AS bias FROM daily",
     "spatial_smooth": f"WITH {_PAIRS}, {_OFF} SELECT day, i + di AS i, j + dj AS j, round(avg(bias) + 1e-9, 4) AS bias FROM daily, off WHERE i + di BETWEEN 0 AND 25 AND j + dj BETWEEN 0 AND 31 GROUP BY day, i + di, j + dj HAVING count(bias) >= 4",
     "trailing_bias": f"WITH {_TRAIL} SELECT day, i, j, round(bias + 1e-9, 4) AS bias FROM tr WHERE bias IS NOT NULL",
@@ -175,6 +204,9 @@ SELECT CAST(r - 1 AS INT) AS "row", CAST(c - 1 AS INT) AS col, round(sum(k[r] *
 SELECT period_number, round(sum(flux * area) * {_TG}, 5) AS prior, round(sum(flux * sf * area) * {_TG}, 5) AS posterior FROM y GROUP BY period_number""",
     "kalman_nudge": _NUDGE,
     "kalman_restart": _NUDGE,
+    "superobs_overlap": f"""WITH {_OVERLAP} SELECT file_id, i, j, round(sum(w), 6) AS n, round(sum(w * xch4) / sum(w) + 1e-9, 4) AS xch4, round(sum(w * lon) / sum(w), 6) AS lon, round(sum(w * lat) / sum(w), 6) AS lat,
+  CAST(round_even(floor(avg(floor(epoch(obs_time)))) / 3600.0, 0) AS BIGINT) AS hour FROM wt GROUP BY file_id, i, j""",
+    "pixel_model": f"WITH {_OVERLAP} SELECT file_id, scanline, pixel, round(sum(w * (1900.0 + i % 5)) / sum(w), 6) AS ppb, count(*) AS n_cells FROM wt GROUP BY file_id, scanline, pixel",
     "model_at_hours": f"WITH {_CENTER} SELECT file_id, i, j, hour, round(xch4 + 1e-9, 4) AS xch4, round(1900.0 + i % 5 + (hour % 24) * 0.25, 6) AS ppb FROM sup WHERE hour % 17 <> 0",
     "element_sensitivities": f"""WITH {_REMAP}, el AS (SELECT CAST(e AS INT) AS element, CASE WHEN e = 1 THEN 0.01 / 0.5 WHEN e < 6 THEN 0.01 * e / 10.0 ELSE (0.06 - 0.005) / 0.1 END AS f FROM (SELECT unnest(generate_series(1, 6)) AS e) g)
 SELECT file_id, scanline, pixel, element, round(x * f + 1e-9, 4) AS bottom FROM av, el WHERE l = 0 AND x IS NOT NULL""",
@@ -219,7 +251,8 @@ SELECT ci AS "I", cj AS "J", round(sum(w * mean) / sum(w) + 1e-9, 4) AS mean, co
   CAST(CASE WHEN element <= 462 THEN ceil(element / 5.0) ELSE 93 + element - 462 END AS INT) AS run, CAST(CASE WHEN element = 463 THEN 10 ELSE 0 END AS DOUBLE) AS north, CAST(CASE WHEN element = 466 THEN 10 ELSE 0 END AS DOUBLE) AS west
   FROM state_vector WHERE element IS NOT NULL""",
     "first_hour": "WITH r AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, user_id AS cell, sum(value) AS v FROM events GROUP BY 1, 2) SELECT hour % 24 AS h, count(*) AS n, round(sum(v), 3) AS v FROM r WHERE hour >= 19725 * 24 GROUP BY 1",
-    "tracer_sensitivity": f"WITH {_K}, x AS (SELECT *, CASE WHEN vec_id % 12 + 1 > 11 THEN 'oh' WHEN vec_id % 12 + 1 > 7 THEN 'boundary' ELSE 'emission' END AS kind FROM kk), y AS (SELECT *, CASE kind WHEN 'oh' THEN 0.1 WHEN 'boundary' THEN 10.0 ELSE 0.5 END AS s FROM x) SELECT vec_id, kind, round((k[1] * 1.5 + 0.25 - k[1]) / s, 6) AS first, round((k[8] * 1.5 + 0.25 - k[8]) / s, 6) AS last FROM y",
+    "tracer_sensitivity": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS k, unnest(generate_series(1, len(embedding))) AS e, CASE WHEN vec_id % 12 + 1 > 11 THEN 'oh' WHEN vec_id % 12 + 1 > 7 THEN 'boundary' ELSE 'emission' END AS kind FROM embeddings)
+SELECT vec_id, kind, CAST(e - 1 AS INT) AS "at", round((k[e] * 1.5 + 0.25 - k[e]) / CASE kind WHEN 'oh' THEN 0.1 WHEN 'boundary' THEN 10.0 ELSE 0.5 END, 6) AS v FROM v""",
     "stream_windows": "SELECT CAST(floor(epoch(ts) / 604800) * 604800 AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
     "p4_found": f"""WITH {_FILE_UNITS},
  o AS (SELECT 'value' AS field, row_id, {_NEAREST.format("vm")} AS unit FROM obspack JOIN fu USING (file_name) WHERE {_USABLE} UNION ALL

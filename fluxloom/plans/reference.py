@@ -22,7 +22,6 @@ QUERIES: dict[str, Query] = {}
 
 #: Domain of the grid's cells, edges included in the cells.
 LON, LAT = (-108.15625, -100.03125), (27.875, 35.875)
-K_SIZE = 8
 
 
 def query(f: Query) -> Query:
@@ -60,14 +59,8 @@ def daily_emissions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def jacobian_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(
-        "vec_id", F.transform(F.slice("embedding", 1, K_SIZE), lambda x: x.cast("double")).alias("k"), F.element_at("embedding", 10).cast("double").alias("dy"), (1 + F.col("label")).cast("double").alias("p")
-    )
-
-
 def whole_jacobian(spark: SparkSession, d: str) -> tuple[DataFrame, inversion.Layout]:
-    """As ``jacobian_rows`` with every element of the vectors, and the layout of a state vector of that length."""
+    """Rows of a Jacobian (vec_id, k, dy, p) made of the vectors, and the layout of a state vector of their length."""
     e = table(spark, d, "embeddings")
     n = e.agg(F.max(F.size("embedding"))).first()[0]
     whole = F.transform("embedding", lambda x: x.cast("double"))
@@ -177,9 +170,10 @@ def trimmed_superobs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def superobs_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Mean kernels and subcolumns of every layer per file and cell."""
     w = soundings.center_weights(soundings_in(spark, d, "ak", "subcol"))
-    s = soundings.profile_means(w, ["ak", "subcol"])
-    return s.select("file_id", "i", "j", _r(F.col("ak")[0]).alias("ak_0"), _r(F.col("ak")[11]).alias("ak_11"), _r(F.aggregate("subcol", F.lit(0.0), lambda a, x: a + x), 5).alias("column"))
+    s = soundings.profile_means(w, ["ak", "subcol"]).select("file_id", "i", "j", F.posexplode(F.arrays_zip("ak", "subcol")).alias("layer", "x"))
+    return s.select("file_id", "i", "j", "layer", _r("x.ak").alias("ak"), _r("x.subcol", 5).alias("subcol"))
 
 
 @query
@@ -366,10 +360,11 @@ def lognormal_posterior(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rescaled_jacobian(spark: SparkSession, d: str) -> DataFrame:
-    rows = jacobian_rows(spark, d)
+    """Every element of a reference Jacobian scaled to other perturbations; the last two have none and stay."""
+    rows, layout = whole_jacobian(spark, d)
     eff = F.transform("k", lambda x: 2.0 + x * x)
-    k = inversion.rescaled_jacobian(F.col("k"), F.array(*[F.lit(1.5 + 0.1 * e) for e in range(K_SIZE - 2)]), eff, 1e-8, 2e-8)
-    return rows.select("vec_id", _r(k[0]).alias("k_first"), _r(k[5], 5).alias("k_sixth"), _r(k[K_SIZE - 1]).alias("k_last"))
+    k = inversion.rescaled_jacobian(F.col("k"), F.array(*[F.lit(1.5 + 0.1 * e) for e in range(layout.n - 2)]), eff, 1e-8, 2e-8)
+    return rows.select("vec_id", F.posexplode(k).alias("element", "v")).select("vec_id", "element", _r("v", 5).alias("k"))
 
 
 # --- bias --------------------------------------------------------------------------------------
@@ -642,12 +637,12 @@ def first_hour(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tracer_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """Change per unit of two elements' tracers against the base run."""
-    rows = jacobian_rows(spark, d)
+    """Change per unit of an element's tracer against the base run, value by value."""
+    rows, _ = whole_jacobian(spark, d)
     base, moved = F.col("k"), F.transform("k", lambda x: x * 1.5 + 0.25)
     kind = model.element_kind((F.col("vec_id") % 12 + 1), 12, True, True, True)
     x = model.sensitivity(moved, base, kind, F.lit(0.5), 0.1, 10.0)
-    return rows.select("vec_id", kind.alias("kind"), _r(x[0]).alias("first"), _r(x[7]).alias("last"))
+    return rows.select("vec_id", kind.alias("kind"), F.posexplode(x).alias("at", "v")).select("vec_id", "kind", "at", _r("v").alias("v"))
 
 
 @query
