@@ -207,7 +207,7 @@ SELECT period_number, round(sum(flux * area) * {_TG}, 5) AS prior, round(sum(flu
     "superobs_overlap": f"""WITH {_OVERLAP} SELECT file_id, i, j, round(sum(w), 6) AS n, round(sum(w * xch4) / sum(w) + 1e-9, 4) AS xch4, round(sum(w * lon) / sum(w), 6) AS lon, round(sum(w * lat) / sum(w), 6) AS lat,
   CAST(round_even(floor(avg(floor(epoch(obs_time)))) / 3600.0, 0) AS BIGINT) AS hour FROM wt GROUP BY file_id, i, j""",
     "pixel_model": f"WITH {_OVERLAP} SELECT file_id, scanline, pixel, round(sum(w * (1900.0 + i % 5)) / sum(w), 6) AS ppb, count(*) AS n_cells FROM wt GROUP BY file_id, scanline, pixel",
-    "model_at_hours": f"WITH {_CENTER} SELECT file_id, i, j, hour, round(xch4 + 1e-9, 4) AS xch4, round(1900.0 + i % 5 + (hour % 24) * 0.25, 6) AS ppb FROM sup WHERE hour % 17 <> 0",
+    "model_at_hours": f"WITH {_CENTER} SELECT file_id, i, j, hour, round(xch4 + 1e-9, 4) AS xch4, round(CAST(1900.0 + i % 5 + (hour % 24) * 0.25 AS DOUBLE), 6) AS ppb FROM sup WHERE hour % 17 <> 0",
     "element_sensitivities": f"""WITH {_REMAP}, el AS (SELECT CAST(e AS INT) AS element, CASE WHEN e = 1 THEN 0.01 / 0.5 WHEN e < 6 THEN 0.01 * e / 10.0 ELSE (0.06 - 0.005) / 0.1 END AS f FROM (SELECT unnest(generate_series(1, 6)) AS e) g)
 SELECT file_id, scanline, pixel, element, round(x * f + 1e-9, 4) AS bottom FROM av, el WHERE l = 0 AND x IS NOT NULL""",
     "column_xch4": f"""WITH {_REMAP}, lv AS (SELECT av.file_id, av.scanline, av.pixel, sum(c.prior[l + 1] + c.ak[l + 1] * (x * 1e-9 * c.subcol[l + 1] - c.prior[l + 1])) / sum(c.subcol[l + 1]) * 1e9 AS model, any_value(c.xch4) AS xch4, any_value(floor(epoch(c.obs_time) / 86400)) AS day
