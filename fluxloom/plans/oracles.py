@@ -188,9 +188,9 @@ SELECT element, round(coalesce(least(m, 1.5e7), 1.0), 6) AS jacobian_sf, round(c
     "gridded_scale": "SELECT i, j, round(CASE WHEN element IS NULL THEN 1.0 ELSE 1.0 + (element % 11) / 10.0 END, 6) AS scale FROM state_vector",
     "normal_equations": """WITH e AS (SELECT list_append(CAST(embedding AS DOUBLE[]), CAST(embedding[10] AS DOUBLE)) AS k, 225.0 * (225.0 * (0.45 / greatest(1 + label, 1) + 0.55) + 20.25) / 245.25 AS v FROM embeddings),
  r AS (SELECT k, v, unnest(generate_series(1, len(k) - 1)) AS r FROM e), c AS (SELECT *, unnest(generate_series(1, len(k))) AS c FROM r)
-SELECT CAST(r - 1 AS INT) AS "row", CAST(c - 1 AS INT) AS col, round(sum(k[r] * k[c] / v), 6) AS v FROM c GROUP BY r, c""",
+SELECT CAST(r - 1 AS INT) AS "row", CAST(c - 1 AS INT) AS col, round(sum(k[r] * k[c] / v), 6) + 0.0 AS v FROM c GROUP BY r, c""",
     "rescaled_jacobian": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS k, unnest(generate_series(1, len(embedding))) AS e FROM embeddings)
-SELECT vec_id, CAST(e - 1 AS INT) AS element, round(k[e] * CASE WHEN e <= len(k) - 2 THEN (1.5 + 0.1 * (e - 1)) / (2.0 + k[e] * k[e]) * (1e-8 / 2e-8) ELSE 1.0 END, 5) AS k FROM v""",
+SELECT vec_id, CAST(e - 1 AS INT) AS element, round(k[e] * CASE WHEN e <= len(k) - 2 THEN (1.5 + 0.1 * (e - 1)) / (2.0 + k[e] * k[e]) * (1e-8 / 2e-8) ELSE 1.0 END, 5) + 0.0 AS k FROM v""",
     "daily_bias": f"WITH {_PAIRS} SELECT day, i, j, round(bias + 1e-9, 4) AS bias FROM daily",
     "spatial_smooth": f"WITH {_PAIRS}, {_OFF} SELECT day, i + di AS i, j + dj AS j, round(avg(bias) + 1e-9, 4) AS bias FROM daily, off WHERE i + di BETWEEN 0 AND 25 AND j + dj BETWEEN 0 AND 31 GROUP BY day, i + di, j + dj HAVING count(bias) >= 4",
     "trailing_bias": f"WITH {_TRAIL} SELECT day, i, j, round(bias + 1e-9, 4) AS bias FROM tr WHERE bias IS NOT NULL",
@@ -252,7 +252,7 @@ SELECT ci AS "I", cj AS "J", round(sum(w * mean) / sum(w) + 1e-9, 4) AS mean, co
   FROM state_vector WHERE element IS NOT NULL""",
     "first_hour": "WITH r AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, user_id AS cell, sum(value) AS v FROM events GROUP BY 1, 2) SELECT hour % 24 AS h, count(*) AS n, round(sum(v), 3) AS v FROM r WHERE hour >= 19725 * 24 GROUP BY 1",
     "tracer_sensitivity": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS k, unnest(generate_series(1, len(embedding))) AS e, CASE WHEN vec_id % 12 + 1 > 11 THEN 'oh' WHEN vec_id % 12 + 1 > 7 THEN 'boundary' ELSE 'emission' END AS kind FROM embeddings)
-SELECT vec_id, kind, CAST(e - 1 AS INT) AS "at", round((k[e] * 1.5 + 0.25 - k[e]) / CASE kind WHEN 'oh' THEN 0.1 WHEN 'boundary' THEN 10.0 ELSE 0.5 END, 6) AS v FROM v""",
+SELECT vec_id, kind, CAST(e - 1 AS INT) AS "at", round((k[e] * 1.5 + 0.25 - k[e]) / CASE kind WHEN 'oh' THEN 0.1 WHEN 'boundary' THEN 10.0 ELSE 0.5 END, 6) + 0.0 AS v FROM v""",
     "stream_windows": "SELECT CAST(floor(epoch(ts) / 604800) * 604800 AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
     "p4_found": f"""WITH {_FILE_UNITS},
  o AS (SELECT 'value' AS field, row_id, {_NEAREST.format("vm")} AS unit FROM obspack JOIN fu USING (file_name) WHERE {_USABLE} UNION ALL
