@@ -9,23 +9,26 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from uuid import uuid4
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fluxloom.functions.geo import EARTH_M, RadiusGrid, great_circle_m, position
 from fluxloom.operators.components import connected_classes
 from fluxloom.operators.timestamps import normalise_times, source_clocks
 from fluxloom.operators.units import with_kg_per_h
-from fluxloom.session import cut, row_bytes
+from fluxloom.session import broadcast_if_small, cut, row_bytes
 
 
 #: Rate bin of a tile whose records have no rate.
 UNKNOWN_RATE = -(10**6)
-#: Stored vectors and links of tiles.
+#: Stored vectors (tcol: column of the tile, kept as it rests on a cosine) and links of tiles.
 TILE = "struct<r: long, c: long, s: long, q: long>"
-VECTOR = f"id long, batch int, lon double, lat double, t long, rate double, row long, col long, slot long, tile {TILE}"
+VECTOR = "id long, batch int, lon double, lat double, t long, rate double, tcol long"
+COLUMNS = ("id", "batch", "lon", "lat", "t", "rate", "tcol")
 LINK = f"x {TILE}, y {TILE}, ky struct<batch: int, id: long>"
 
 
@@ -50,44 +53,62 @@ def same(a: str, b: str, tol: Tolerance) -> Column:
     return soon & near & like
 
 
-def to_cells(records: DataFrame, tol: Tolerance) -> DataFrame:
-    """Inverted-file entries of ``records`` (id, batch, lon, lat, t seconds, rate): cell (row, col, slot), tile, vector.
+def _fine(tol: Tolerance) -> float:
+    """Side in degrees of a square whose diagonal stays within the tolerance."""
+    return math.degrees(tol.metres / 1.45 / EARTH_M)
 
-    A tile is a part of a cell so small that all its records are duplicates of each other: its diagonal, duration and
-    rate ratio are within the tolerance. Records without position or time can repeat nothing and are left out.
-    """
-    grid = RadiusGrid(tol.cell_m)
-    fine = math.degrees(tol.metres / 1.45 / EARTH_M)  # side of a square whose diagonal stays within the tolerance
-    frow = F.floor((F.col("lat") + 90) / fine)
-    inner = F.least(F.abs(frow * fine - 90), F.abs((frow + 1) * fine - 90))
-    fcol = F.floor((F.col("lon") + 180) * F.cos(F.radians(inner)) / fine)
-    pace = -math.log(1 - tol.rate_share)
-    bin_ = F.when(F.col("rate").isNull(), F.lit(UNKNOWN_RATE)).otherwise(F.floor(F.log("rate") / pace))
-    tile = F.struct(frow.alias("r"), fcol.alias("c"), F.floor(F.col("t") / tol.seconds).alias("s"), bin_.cast("long").alias("q"))
+
+def to_vectors(records: DataFrame, tol: Tolerance) -> DataFrame:
+    """``records`` (id, batch, lon, lat, t seconds, rate) as vectors; those without position or time repeat nothing and are left out."""
     ok = records.where(F.col("lon").isNotNull() & F.col("lat").isNotNull() & F.col("t").isNotNull())
     ok = ok.withColumn("rate", F.when(F.col("rate") > 0, F.col("rate")))
     ok = ok.select(*[F.col(n).cast(k) for n, k in (("id", "long"), ("batch", "int"), ("lon", "double"), ("lat", "double"), ("t", "long"), ("rate", "double"))])
-    row = grid.row(F.col("lat"))
-    return ok.select(
-        "id", "batch", "lon", "lat", "t", "rate", row.alias("row"), grid.column(F.col("lon"), row).alias("col"), F.floor(F.col("t") / tol.cell_s).alias("slot"), tile.alias("tile")
-    )
+    fine = _fine(tol)
+    frow = F.floor((F.col("lat") + 90) / fine)
+    inner = F.least(F.abs(frow * fine - 90), F.abs((frow + 1) * fine - 90))
+    return ok.withColumn("tcol", F.floor((F.col("lon") + 180) * F.cos(F.radians(inner)) / fine)).select(*COLUMNS)
 
 
-def probes(entries: DataFrame, tol: Tolerance) -> DataFrame:
-    """``entries`` once per cell that their tolerance reaches (columns prow, pcol, pslot)."""
-    at = F.explode(RadiusGrid(tol.cell_m).touched(F.col("lon"), F.col("lat"), tol.metres))
-    slots = F.sequence(F.floor((F.col("t") - tol.seconds) / tol.cell_s), F.floor((F.col("t") + tol.seconds) / tol.cell_s))
-    return entries.withColumn("cell", at).withColumn("pslot", F.explode(slots)).select(*entries.columns, F.col("cell.row").alias("prow"), F.col("cell.col").alias("pcol"), "pslot")
+def tile_of(tol: Tolerance, side: str = "") -> Column:
+    """The tile of a vector: a part of space, time and rate so small that all its records are duplicates of each other.
+
+    Its diagonal, duration and rate ratio are within the tolerance.
+    """
+    c = lambda name: F.col(f"{side}.{name}" if side else name)
+    pace = -math.log(1 - tol.rate_share)
+    bin_ = F.when(c("rate").isNull(), F.lit(UNKNOWN_RATE)).otherwise(F.floor(F.log(c("rate")) / pace))
+    return F.struct(F.floor((c("lat") + 90) / _fine(tol)).alias("r"), c("tcol").alias("c"), F.floor(c("t") / tol.seconds).alias("s"), bin_.cast("long").alias("q"))
+
 
+def _slot(tol: Tolerance) -> Column:
+    return F.floor(F.col("t") / tol.cell_s)
 
-def _heads(entries: DataFrame) -> DataFrame:
-    """The first record of every tile (ordered by batch, then id)."""
-    first = F.min_by(F.struct("id", "batch", "lon", "lat", "t", "rate", "row", "col", "slot"), F.struct("batch", "id")).alias("f")
-    return entries.groupBy("tile").agg(first).select("tile", "f.*")
 
+def at_home(vectors: DataFrame, tol: Tolerance) -> DataFrame:
+    """``vectors`` with ``cell``, the hash of their cell of the inverted file (row, column, slot).
 
-def _in_reach(a: str, b: str) -> Column:
-    return (F.col(f"{a}.prow") == F.col(f"{b}.row")) & (F.col(f"{a}.pcol") == F.col(f"{b}.col")) & (F.col(f"{a}.pslot") == F.col(f"{b}.slot"))
+    One number makes joins on cells cheap. Cells of one hash are compared for nothing, as what matches is told exactly.
+    """
+    grid = RadiusGrid(tol.cell_m)
+    row = grid.row(F.col("lat"))
+    return vectors.withColumn("cell", F.xxhash64(row, grid.column(F.col("lon"), row), _slot(tol)))
+
+
+def probes(vectors: DataFrame, tol: Tolerance) -> DataFrame:
+    """``vectors`` once per ``cell`` that their tolerance reaches."""
+    grid = RadiusGrid(tol.cell_m)
+    reach = math.degrees(tol.metres / EARTH_M) * 1.000001
+    edge = F.least(F.abs(F.col("lat")) + reach, F.lit(90.0))
+    dlon = F.when(edge >= 89.9, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(math.radians(reach))) / F.cos(F.radians(edge))))))
+    # three explodes of plain sequences, which are compiled, where functions over arrays are interpreted row by row
+    out = vectors.withColumn("_dlon", dlon).withColumn("_row", F.explode(F.sequence(grid.row(F.col("lat") - reach), grid.row(F.col("lat") + reach))))
+    out = out.withColumn("_n", grid.columns(F.col("_row")))
+    at = lambda x: F.floor((x + 180) / 360 * F.col("_n")).cast("bigint")
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)
+    cols = F.when(F.col("_dlon") >= 180, every).otherwise(F.sequence(at(F.col("lon") - F.col("_dlon")), at(F.col("lon") + F.col("_dlon"))))
+    slots = F.sequence(F.floor((F.col("t") - tol.seconds) / tol.cell_s), F.floor((F.col("t") + tol.seconds) / tol.cell_s))
+    out = out.withColumn("_col", F.explode(cols)).withColumn("_slot", F.explode(slots))
+    return out.select(*vectors.columns, F.xxhash64("_row", F.pmod("_col", "_n"), "_slot").alias("cell"))
 
 
 def _rated(tile: Column) -> Column:
@@ -97,11 +118,14 @@ def _rated(tile: Column) -> Column:
 def _hits(probing: DataFrame, held: DataFrame, tol: Tolerance) -> DataFrame:
     """Pairs of tiles (x, y), in both orders, of a record of ``probing`` and one of ``held`` in another tile that match.
 
-    ``probing`` has its cells in reach (prow, pcol, pslot) and ``asks``, the ``kind`` of held record it is compared with.
+    ``probing`` has the cells in reach, ``held`` the cell at home.
     """
-    hits = probing.alias("m").join(held.alias("h"), _in_reach("m", "h") & (F.col("m.asks") == F.col("h.kind")) & (F.col("m.tile") != F.col("h.tile")) & same("m", "h", tol))
-    key = lambda s: F.struct(F.col(f"{s}.batch"), F.col(f"{s}.id"))
-    pair = lambda a, b: F.struct(F.col(f"{a}.tile").alias("x"), F.col(f"{b}.tile").alias("y"), key(b).alias("ky"))
+    other = F.col("m.lon") != F.col("h.lon")  # equal vectors, as a head and itself, share a tile
+    for c in ("lat", "t", "rate"):
+        other |= ~F.col(f"m.{c}").eqNullSafe(F.col(f"h.{c}"))
+    hits = probing.alias("m").join(held.alias("h"), (F.col("m.cell") == F.col("h.cell")) & other & same("m", "h", tol))
+    hits = hits.select(*[F.struct(F.col(f"{s}.batch"), F.col(f"{s}.id")).alias(f"k{s}") for s in "mh"], *[tile_of(tol, s).alias(s) for s in "mh"]).where(F.col("m") != F.col("h"))
+    pair = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"), F.col(f"k{b}").alias("ky"))
     return hits.select(F.explode(F.array(pair("m", "h"), pair("h", "m"))).alias("p")).select("p.*")
 
 
@@ -131,15 +155,15 @@ def _late_pairs(entries: DataFrame, heads: DataFrame, classes: DataFrame, first:
     extents = entries.groupBy("tile").agg(F.count("*").alias("n"), *[g(c).alias(f"{c}_{n}") for c in ("lat", "t") for g, n in ((F.min, "lo"), (F.max, "hi"))]).where(F.col("n") > 1)
     crowd = heads.join(extents, "tile").join(classes, heads.tile == classes.node, "left").join(first.select("x", F.col("ky").alias("tied")), F.col("tile") == F.col("x"), "left")
     crowd = crowd.withColumn("class", F.coalesce("label", "tile")).withColumn("key", F.struct("batch", "id"))
-    crowd = crowd.select("tile", "class", "key", "tied", "lon", "lat", "t", "row", "col", "slot", "lat_lo", "lat_hi", "t_lo", "t_hi")
-    a, b = probes(crowd, wide).alias("m"), crowd.alias("h")
+    crowd = cut(crowd.select("tile", "class", "key", "tied", "lon", "lat", "t", "lat_lo", "lat_hi", "t_lo", "t_hi"))
+    a, b = probes(crowd, wide).alias("m"), at_home(crowd, wide).alias("h")
     near = great_circle_m(F.col("m.lon"), F.col("m.lat"), F.col("h.lon"), F.col("h.lat")) <= wide.metres
     apart = lambda c: F.greatest(F.col(f"m.{c}_lo") - F.col(f"h.{c}_hi"), F.col(f"h.{c}_lo") - F.col(f"m.{c}_hi"))
     near &= (apart("lat") <= math.degrees(tol.metres / EARTH_M) * 1.000001) & (apart("t") <= tol.seconds)
     like = F.abs(F.col("m.tile")["q"] - F.col("h.tile")["q"]) <= 2
     even = like & (F.col("m.tile") < F.col("h.tile")) & (F.col("m.class") != F.col("h.class"))
     mixed = ~_rated(F.col("m.tile")) & _rated(F.col("h.tile")) & (F.col("m.tied").isNull() | (F.col("h.key") < F.col("m.tied")))
-    open_ = a.join(b, _in_reach("m", "h") & near & (even | mixed)).select(F.col("m.tile").alias("x"), F.col("h.tile").alias("y")).distinct()
+    open_ = a.join(b, (F.col("m.cell") == F.col("h.cell")) & near & (even | mixed)).select(F.col("m.tile").alias("x"), F.col("h.tile").alias("y")).distinct()
     vectors = entries.groupBy("tile", F.struct("lon", "lat", "t", "rate").alias("v")).agg(F.min(F.struct("batch", "id")).alias("k"))
     left = vectors.select(F.col("tile").alias("x"), F.col("v").alias("m"))
     right = vectors.select(F.col("tile").alias("y"), F.col("v").alias("h"), F.col("k").alias("ky"))
@@ -149,9 +173,9 @@ def _late_pairs(entries: DataFrame, heads: DataFrame, classes: DataFrame, first:
 class CellIndex:
     """Accepted records persisted as full vectors in the cells of an inverted file, with the links found between them.
 
-    ``path`` holds three append-only tables, partitioned by era (``era_days`` days), so a batch reads and writes the
-    eras it reaches: ``cells`` (vectors by cell and tile), ``heads`` (the first record of every tile) and ``links``
-    (pairs of tiles that a record of one and the head of the other tie together).
+    ``path`` holds three append-only tables; the vectors are partitioned by era (``era_days`` days), so a batch reads and
+    writes the eras it reaches: ``heads`` (the first accepted record of every tile), ``later`` (all other records) and
+    ``links`` (pairs of tiles that a record of one and the head of the other tie together).
     """
 
     def __init__(self, spark: SparkSession, path: str, tol: Tolerance = Tolerance(), era_days: int = 10):
@@ -163,60 +187,82 @@ class CellIndex:
     def _era(self, slot: Column) -> Column:
         return F.floor(slot * self.tol.cell_s / (self.era_days * 86400)).cast("int")
 
-    def _append(self, name: str, rows: DataFrame, mode: str = "append") -> None:
-        # a few files per era and batch, however crowded an era is
-        spread = rows.withColumn("era", self._era(F.col("slot"))).repartition("era", F.pmod(F.col("row"), F.lit(4)))
-        spread.write.mode(mode).partitionBy("era").parquet(self._folder(name))
+    def _append(self, name: str, rows: DataFrame, files: int | None = None) -> None:
+        """Add ``rows``, with ``files`` files per era at most; without that number by a shuffle into a few."""
+        rows = rows.select(*COLUMNS).withColumn("era", self._era(_slot(self.tol)))
+        rows = rows.coalesce(files) if files else rows.repartition("era", F.pmod(F.col("tcol"), F.lit(4)))
+        rows.write.mode("append").partitionBy("era").parquet(self._folder(name))
 
     def _held(self, name: str) -> DataFrame:
         """The rows of a table; none before the first batch."""
         schema = LINK if name == "links" else f"{VECTOR}, era int"
         try:
             return self.spark.read.schema(schema).parquet(self._folder(name))
-        except AnalysisException:  # the folder is not there yet
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException:  # the folder is not there yet; what is joined with a plan known to be empty is not run
+            return self.spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)])
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """``df`` written once beside the index: by columns, so smaller than a checkpoint and read in part."""
+        folder = f"{self.path}/work/{uuid4().hex}"
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
 
     def prepared(self, records: DataFrame) -> DataFrame:
-        """``records`` as vectors with their cells, a row for every cell in reach, written once."""
-        return cut(probes(to_cells(records, self.tol), self.tol))
+        """``records`` as vectors, written once."""
+        return self._kept(to_vectors(records, self.tol))
 
     def accept(self, records: DataFrame) -> None:
         """Check a batch against all accepted records and itself, keep the links found, and append it to the cells."""
         self.accept_prepared(self.prepared(records))
 
-    def accept_prepared(self, wide: DataFrame) -> None:
+    def _split(self, new: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The first records of tiles that ``heads`` (accepted) do not hold, and the other records of ``new``.
+
+        One aggregation counts the new and the accepted records of every tile. Of a tile with one new record the
+        smallest values are that record; only records of other tiles are read again.
+        """
+        tile = tile_of(self.tol).alias("tile")
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(VECTOR)]
+        rows = new.select(tile, F.lit(False).alias("known"), *COLUMNS).unionByName(heads.select(tile, F.lit(True).alias("known"), *nothing))
+        sums = rows.groupBy("tile").agg(F.count("t").alias("n"), F.max("known").alias("known"), *[F.min(c).alias(c) for c in COLUMNS]).where(F.col("n") > 0)
+        sums = self._kept(sums.select(F.when((F.col("n") > 1) | F.col("known"), F.col("tile")).alias("tile"), "known", *COLUMNS))
+        busy = sums.where(F.col("tile").isNotNull()).select("tile", "known")
+        many = cut(new.select(tile, *COLUMNS).join(broadcast_if_small(busy), "tile"))
+        first = many.where(~F.col("known")).groupBy("tile").agg(F.min(F.struct("batch", "id")).alias("first"))
+        head = F.col("first").isNotNull() & F.col("id").eqNullSafe(F.col("first.id"))
+        many = cut(many.join(broadcast_if_small(cut(first)), "tile", "left").select(*COLUMNS, head.alias("head")))
+        fresh = sums.where(F.col("tile").isNull()).select(*COLUMNS).unionByName(many.where(F.col("head")).select(*COLUMNS))
+        return fresh, many.where(~F.col("head")).select(*COLUMNS)
+
+    def accept_prepared(self, new: DataFrame) -> None:
         """``accept`` for rows that are ``prepared``.
 
-        Every new record probes the heads in the cells that its tolerance reaches, and the heads of new tiles probe the
-        accepted vectors, so each pair of a new and an accepted record's tile is seen from one side at least. What no
-        cell in reach holds cannot match; what one holds is compared exactly. A batch measured to be small is broadcast
-        to the index, which then is only scanned; a larger one is joined by a shuffle on the cell.
+        Every new record probes the heads in the cells that its tolerance reaches, and the heads of new tiles are probed
+        by the accepted later records, so each pair of a new and an accepted record's tile is seen from one side at
+        least. What no cell in reach holds cannot match; what one holds is compared exactly. A batch measured to be
+        small is broadcast to the index, which then is only scanned; a larger one is joined by a shuffle on the cell.
         """
-        vectors = [c for c in wide.columns if c not in ("prow", "pcol", "pslot")]
-        home = (F.col("prow") == F.col("row")) & (F.col("pcol") == F.col("col")) & (F.col("pslot") == F.col("slot"))
-        new = wide.where(home).select(*vectors)
-        eras = F.flatten(F.collect_set(F.array(*[self._era(F.col("slot") + k) for k in (-1, 1)])))
-        said = wide.agg(F.array_distinct(eras).alias("eras"), F.count("*").alias("n"), F.sum(row_bytes(wide)).alias("bytes")).first()
+        eras = F.flatten(F.collect_set(F.array(*[self._era(_slot(self.tol) + k) for k in (-1, 1)])))
+        said = new.agg(F.array_distinct(eras).alias("eras"), F.count("*").alias("n"), F.sum(row_bytes(new)).alias("bytes")).first()
         # the numbers of the eras in reach, a handful per batch, prune the folders that are read
-        heads, cells = (self._held(n).where(F.col("era").isin(said["eras"])).select(*vectors) for n in ("heads", "cells"))
-        small = said["n"] <= 200_000 and (said["bytes"] or 0) <= 32 << 20
+        heads, later = (self._held(n).where(F.col("era").isin(said["eras"])).select(*COLUMNS) for n in ("heads", "later"))
+        small = said["n"] <= 100_000 and (said["bytes"] or 0) <= 16 << 20
         few = F.broadcast if small else lambda df: df
-        fresh = cut(_heads(new).join(heads.select("tile"), "tile", "left_anti").select(*vectors))
-        as_ = lambda df, kind: df.withColumn("kind", F.lit(kind))
-        asking = wide.join(few(fresh.select("id", F.lit(True).alias("first"))), "id", "left")
-        asking = asking.withColumn("asks", F.explode(F.when(F.col("first"), F.array(F.lit("head"), F.lit("cell"))).otherwise(F.array(F.lit("head")))))
-        found = _hits(few(asking), as_(heads, "head").unionByName(as_(fresh, "head")).unionByName(as_(cells, "cell")), self.tol)
+        fresh, rest = self._split(new, heads)
+        found = _hits(few(probes(new, self.tol)), at_home(heads.unionByName(fresh), self.tol), self.tol)
+        found = found.unionByName(_hits(probes(later, self.tol), few(at_home(fresh, self.tol)), self.tol))
         found.groupBy("x", "y").agg(F.min("ky").alias("ky")).coalesce(4).write.mode("append").parquet(self._folder("links"))
-        self._append("heads", fresh)
-        self._append("cells", new)
+        files = 1 + said["n"] // 150_000
+        self._append("heads", fresh, files)
+        self._append("later", rest, files)
 
     def compact(self) -> None:
         """Rewrite the tables into few files per era, as a new generation; readers of the old one are not disturbed."""
-        held = {n: self._held(n) for n in ("heads", "cells", "links")}
+        held = {n: self._held(n) for n in ("heads", "later", "links")}
         self.generation += 1
         held["links"].groupBy("x", "y").agg(F.min("ky").alias("ky")).write.parquet(self._folder("links"))
-        for name in ("heads", "cells"):
-            self._append(name, held[name].drop("era"))
+        for name in ("heads", "later"):
+            self._append(name, held[name])
 
     def repeats(self) -> DataFrame:
         """id, batch, kept_id of every accepted record that repeats an earlier one (lower batch, or same batch and lower
@@ -225,8 +271,13 @@ class CellIndex:
         The classes follow from the stored links; pairs of tiles that only later members could link (of different
         classes, or one without rates) are then opened and compared member by member.
         """
-        entries, heads = (self._held(n).drop("era") for n in ("cells", "heads"))
+        heads, later = (self._held(n).select(tile_of(self.tol).alias("tile"), *COLUMNS) for n in ("heads", "later"))
+        later = cut(later)
         pairs = cut(self._held("links").groupBy("x", "y").agg(F.min("ky").alias("ky")))
+        # a tile of one record that no link names holds no repeat and no late link, so most heads are only scanned
+        touched = cut(pairs.select(F.col("x").alias("tile")).union(later.select("tile")).distinct())
+        heads = cut(heads.join(broadcast_if_small(touched), "tile", "left_semi"))
+        entries = heads.unionByName(later)
         classes = connected_classes(_even(pairs))
         late = cut(_late_pairs(entries, heads, classes, _mixed(pairs), self.tol))
         base = cut(heads.join(classes, heads.tile == classes.node, "left").select("tile", F.coalesce("label", "tile").alias("base")))
@@ -241,23 +292,42 @@ class CellIndex:
         return entries.join(kept, "tile").where(F.col("id") != F.col("kept_id")).select("kept_id", "id", "batch")
 
 
-def find_duplicates(records: DataFrame, path: str, tol: Tolerance = Tolerance(), by_batch: bool = True) -> DataFrame:
+def batch_groups(counts: list[tuple[int, int]], together: int = 0) -> list[tuple[int, int]]:
+    """First and last batch of the groups to accept, in order, of ``counts`` (batch, rows; ordered by batch).
+
+    Every batch by itself; with ``together``, a group goes on until it has that many rows and as many as all groups
+    before it. The index then doubles with each group, so all groups together read it about once, not once a batch.
+    """
+    groups: list[tuple[int, int]] = []
+    held, start, rows = 0, None, 0
+    for batch, n in counts:
+        start, rows = (batch if start is None else start), rows + n
+        if not together or rows >= max(together, held):
+            groups.append((start, batch))
+            held, start, rows = held + rows, None, 0
+    return groups if start is None else [*groups, (start, counts[-1][0])]
+
+
+def find_duplicates(records: DataFrame, path: str, tol: Tolerance = Tolerance(), by_batch: bool = True, together: int = 0) -> DataFrame:
     """id, batch, kept_id of the records that repeat an earlier one, through a ``CellIndex`` at ``path`` (a new folder).
 
     ``records``: id (unique), batch, lon, lat, t (seconds), rate (NULL when unknown). The batches are accepted one
-    after the other in their order (or all at once). Work stays linear in crowded cells: a record is compared with the
-    first record of each tile in reach, not with every record. Exact copies share a tile; ties in batch are ordered by
-    id. Records without position, time or batch repeat nothing. An empty table gives no rows.
+    after the other in their order (or all at once); with ``together``, waiting batches form groups (``batch_groups``)
+    that are accepted like one batch, with the same result. Work stays linear in crowded cells: a record is compared
+    with the first record of each tile in reach, not with every record. Exact copies share a tile; ties in batch are
+    ordered by id. Records without position, time or batch repeat nothing. An empty table gives no rows.
     """
     index = CellIndex(records.sparkSession, path, tol)
-    wide = index.prepared(records.where(F.col("batch").isNotNull()))
-    # only the numbers of the batches reach the driver
-    batches = [r["batch"] for r in wide.select("batch").distinct().orderBy("batch").collect()] if by_batch else []
-    if not batches:
-        index.accept_prepared(wide)
-    for b in batches:
-        # written by itself, so that the plans of all batches are alike and their compiled code is shared
-        index.accept_prepared(cut(wide.where(F.col("batch") == b)))
+    new = index.prepared(records.where(F.col("batch").isNotNull()))
+    # only the numbers and counts of the batches reach the driver
+    counts = [(r["batch"], r["count"]) for r in new.groupBy("batch").count().orderBy("batch").collect()] if by_batch else []
+    groups = batch_groups(counts, together)
+    if len(groups) < 2:
+        index.accept_prepared(new)
+    else:
+        for first, last in groups:
+            # written by itself, so that the plans of all groups are alike and their compiled code is shared
+            index.accept_prepared(index._kept(new.where(F.col("batch").between(first, last))))
     return index.repeats()
 
 

@@ -19,10 +19,14 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
 
 
+#: Rows up to which p3_found accepts the batches that wait together.
+TOGETHER = 4_000_000
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Batch after batch through the persisted cells: probe, compare, append."""
+    """Group after group of batches through the persisted cells: probe, compare, append."""
     records = batch_dedup.plume_records(table(spark, d, "plumes"), table(spark, d, "sources"))
-    return batch_dedup.find_duplicates(records, _folder(spark, "cells")).select("kept_id", F.col("id").alias("plume_id"))
+    return batch_dedup.find_duplicates(records, _folder(spark, "cells"), together=TOGETHER).select("kept_id", F.col("id").alias("plume_id"))
 
 
 def p3_new_batch(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,9 @@ import tempfile
 import numpy as np
 from pyspark.sql import functions as F
 
+from fluxloom.functions.geo import RadiusGrid
 from fluxloom.llm import batch_dedup as bd
+from fluxloom.llm import registry
 
 SCHEMA = "id long, batch int, lon double, lat double, t long, rate double, tile string, row string"
 
@@ -131,5 +133,46 @@ def test_index_is_appended_and_compacted(spark, tmp_path):
     assert {(r["kept_id"], r["id"]) for r in index.repeats().collect()} == brute(data)
 
 
+def test_groups_of_batches_double_the_index():
+    assert bd.batch_groups([(0, 5), (2, 5), (3, 5)]) == [(0, 0), (2, 2), (3, 3)]
+    groups = bd.batch_groups([(k, 10) for k in range(1000)], together=20)
+    assert groups[:3] == [(0, 1), (2, 3), (4, 7)] and groups[-1][1] == 999 and len(groups) == 10
+    assert all(b[0] == a[1] + 1 for a, b in zip(groups, groups[1:]))
+    assert bd.batch_groups([(1, 10), (4, 1)], together=5) == [(1, 1), (4, 4)] and bd.batch_groups([], together=5) == []
+
+
+def accepted(monkeypatch):
+    """Counts the groups that an index accepts."""
+    calls, accept = [], bd.CellIndex.accept_prepared
+    monkeypatch.setattr(bd.CellIndex, "accept_prepared", lambda self, new: (calls.append(1), accept(self, new))[1])
+    return calls
+
+
+def test_groups_give_the_rows_of_single_batches(spark, monkeypatch):
+    calls, data = accepted(monkeypatch), rows(120, seed=7)
+    with tempfile.TemporaryDirectory() as folder:
+        got = bd.find_duplicates(spark.createDataFrame(data, SCHEMA), f"{folder}/index", together=60).collect()
+    assert {(r["kept_id"], r["id"]) for r in got} == brute(data) and 1 < len(calls) < 6
+
+
+def test_the_query_does_not_read_its_index_once_a_batch(spark, sf_dir, monkeypatch):
+    calls = accepted(monkeypatch)
+    assert registry.p3_found(spark, sf_dir).count() > 0 and len(calls) == 1
+
+
+def test_probes_are_the_cells_in_reach(spark):
+    tol, grid = bd.Tolerance(), RadiusGrid(bd.Tolerance().cell_m)
+    rng = np.random.default_rng(5)
+    at = [(k, 0, float(rng.uniform(-180, 180)), float(rng.uniform(-90, 90)), 1000, 1.0) for k in range(300)]
+    at += [(1000 + k, 0, float(rng.uniform(-180, 180)), float(s * (90 - 10 ** rng.uniform(-4, 0))), 1000, 1.0) for k in range(100) for s in (-1, 1)]
+    at += [(2000, 0, 180.0, 10.0, 1000, 1.0), (2001, 0, -180.0, -10.0, 1190, 1.0), (2002, 0, 0.0, 90.0, 1000, 1.0), (2003, 0, 179.9999, 50.0, 1210, None)]
+    df = bd.to_vectors(spark.createDataFrame(at, "id long, batch int, lon double, lat double, t long, rate double"), tol)
+    slots = F.sequence(F.floor((F.col("t") - 240) / 1200), F.floor((F.col("t") + 240) / 1200))
+    want = df.withColumn("c", F.explode(grid.touched(F.col("lon"), F.col("lat"), tol.metres))).withColumn("s", F.explode(slots)).select("id", F.xxhash64("c.row", "c.col", "s").alias("cell"))
+    got = bd.probes(df, tol).select("id", "cell")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert bd.at_home(df, tol).select("id", "cell").exceptAll(got).count() == 0
+
+
 def test_empty(spark):
     assert found(spark, []) == set()
